@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.chat import CHATML, ChatTemplate, render_messages, token_length
+from ..functions.literal import literal_table
 
 log = logging.getLogger(__name__)
 
@@ -61,7 +62,7 @@ def label_sentences(
 
 def synthetic_examples(spark: SparkSession) -> DataFrame:
     """The three built-in examples (a fixed 3-row local relation)."""
-    return spark.createDataFrame(list(K.SYNTHETIC_EXAMPLES), EXAMPLE_SCHEMA)
+    return literal_table(spark, K.SYNTHETIC_EXAMPLES, EXAMPLE_SCHEMA)
 
 
 def assemble_examples(

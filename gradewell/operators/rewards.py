@@ -118,9 +118,14 @@ def _clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def reasoning_quality(reasoning: Column | str) -> Column:
+def _lowered(reasoning: Column | str, lowered: bool) -> Column:
+    c = F.coalesce(_col(reasoning), F.lit(""))
+    return c if lowered else F.lower(c)
+
+
+def reasoning_quality(reasoning: Column | str, lowered: bool = False) -> Column:
     """O-35: finance terms, connectives and cue balance."""
-    t = F.lower(F.coalesce(_col(reasoning), F.lit("")))
+    t = _lowered(reasoning, lowered)
     terms = F.least(count_terms(t, K.FINANCIAL_TERMS) / F.lit(3.0), F.lit(1.0)) * F.lit(0.4)
     links = F.least(count_terms(t, K.CONNECTIVES) / F.lit(2.0), F.lit(1.0)) * F.lit(0.3)
     pos, neg = any_term(t, K.QUALITY_POSITIVE_CUES), any_term(t, K.QUALITY_NEGATIVE_CUES)
@@ -128,9 +133,9 @@ def reasoning_quality(reasoning: Column | str) -> Column:
     return _clamp01(terms + links + balance)
 
 
-def reasoning_logic(reasoning: Column | str) -> Column:
+def reasoning_logic(reasoning: Column | str, lowered: bool = False) -> Column:
     """O-36: 0.5 (0.2 when contradictory) + conclusion + hedging."""
-    t = F.lower(F.coalesce(_col(reasoning), F.lit("")))
+    t = _lowered(reasoning, lowered)
     has = lambda w: F.instr(t, w) > 0
     contradictory = (has("growth") & has("decline")) | (has("profit") & has("loss"))
     base = F.when(contradictory, F.lit(0.2)).otherwise(F.lit(0.5))
@@ -139,9 +144,9 @@ def reasoning_logic(reasoning: Column | str) -> Column:
     return _clamp01(base + conclusion + hedge)
 
 
-def reasoning_context(reasoning: Column | str) -> Column:
+def reasoning_context(reasoning: Column | str, lowered: bool = False) -> Column:
     """O-37: context terms plus a timing horizon."""
-    t = F.lower(F.coalesce(_col(reasoning), F.lit("")))
+    t = _lowered(reasoning, lowered)
     terms = F.least(count_terms(t, K.CONTEXT_TERMS) / F.lit(3.0), F.lit(1.0)) * F.lit(0.6)
     timing = (
         F.when(any_term(t, K.TIMING_TERMS), F.lit(0.4))
@@ -168,9 +173,9 @@ class FinanceWeights:
     direction: float = 0.15
 
 
-def directional(reasoning: Column | str, sentiment: Column | str) -> Column:
+def directional(reasoning: Column | str, sentiment: Column | str, lowered: bool = False) -> Column:
     """O-40: cue direction agrees with the stated sentiment (own cue lists)."""
-    t = F.lower(F.coalesce(_col(reasoning), F.lit("")))
+    t = _lowered(reasoning, lowered)
     s = _col(sentiment)
     pos, neg = any_term(t, K.DIRECTION_POSITIVE_CUES), any_term(t, K.DIRECTION_NEGATIVE_CUES)
     agree = (
@@ -181,19 +186,31 @@ def directional(reasoning: Column | str, sentiment: Column | str) -> Column:
     return F.when(agree, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def score_reasoning(df: DataFrame, bundle: BundleWeights = BundleWeights()) -> DataFrame:
-    """O-35..O-38 over an extracted ``reasoning`` column."""
-    return (
-        df.withColumn("quality", reasoning_quality("reasoning"))
-        .withColumn("logic", reasoning_logic("reasoning"))
-        .withColumn("context", reasoning_context("reasoning"))
-        .withColumn(
-            "bundle",
-            F.lit(bundle.quality) * F.col("quality")
-            + F.lit(bundle.logic) * F.col("logic")
-            + F.lit(bundle.context) * F.col("context"),
-        )
+_LC = "_gw_reasoning_lc"
+
+
+def score_reasoning(df: DataFrame, bundle: BundleWeights = BundleWeights(), with_direction: bool = False) -> DataFrame:
+    """O-35..O-38 (and O-40) over an extracted ``reasoning`` column.
+
+    The reasoning is lower-cased once into its own column; the ~40 lexicon
+    tests read that column (a separate projection, so the optimizer does not
+    inline the costly ``lower`` into every test).
+    """
+    out = df.withColumn(_LC, F.lower(F.coalesce(F.col("reasoning"), F.lit(""))))
+    out = (
+        out.withColumn("quality", reasoning_quality(_LC, lowered=True))
+        .withColumn("logic", reasoning_logic(_LC, lowered=True))
+        .withColumn("context", reasoning_context(_LC, lowered=True))
+    )
+    if with_direction:
+        out = out.withColumn("direction", directional(_LC, "sentiment", lowered=True))
+    out = out.withColumn(
+        "bundle",
+        F.lit(bundle.quality) * F.col("quality")
+        + F.lit(bundle.logic) * F.col("logic")
+        + F.lit(bundle.context) * F.col("context"),
     )
+    return out.drop(_LC)
 
 
 def teacher_probabilities(
@@ -228,8 +245,7 @@ def finance_components(df: DataFrame, completion: str = "completion", prompt: st
     out = out.withColumn("confidence", parse_python_float("confidence_text"))
     if prompt is not None:
         out = out.withColumn("news", news_from_prompt(prompt))
-    out = score_reasoning(out)
-    return out.withColumn("direction", directional("reasoning", "sentiment"))
+    return score_reasoning(out, with_direction=True)
 
 
 def finance_reward(
