@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import round6
+from ..session import ensure_checkpoint_dir
 from ..functions.text import normalize_text
 
 
@@ -53,9 +54,19 @@ def group_advantage(
     reward: str = "reward",
     out: str = "advantage",
     eps: float = 1e-4,
+    materialize: bool = False,
 ) -> DataFrame:
     """O-48: ``(r - mean) / (std + eps)`` within each prompt group (sample std);
-    0 for a group of one or whose rewards are all equal."""
+    0 for a group of one or whose rewards are all equal.
+
+    The statistics are an aggregation joined back by group key (skew-safe).
+    The scores feed both sides, so with ``materialize=True`` they are first
+    written once to the reliable checkpoint folder (pass a narrow frame: keys
+    and reward) instead of being computed twice.
+    """
+    if materialize:
+        ensure_checkpoint_dir(scores.sparkSession)
+        scores = scores.checkpoint(eager=True)
     stats = scores.groupBy(group).agg(
         F.count(F.lit(1)).alias("_gw_n"),
         F.avg(reward).alias("_gw_mean"),

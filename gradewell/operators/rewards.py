@@ -66,7 +66,7 @@ def verifiable_reward(completion: Column | str, reference: Column | str | None =
         same_number = has_ref & ns.isNotNull() & nr.isNotNull() & (ns == nr)
         r_num = F.when(same_number, F.lit(K.NUMBER_BONUS)).otherwise(F.lit(0.0))
         total = total + r_exact + r_num
-    r_ai = F.when(F.instr(norm_txt, K.BOILERPLATE_PHRASE) > 0, F.lit(K.BOILERPLATE_PENALTY)).otherwise(F.lit(0.0))
+    r_ai = F.when(norm_txt.contains(K.BOILERPLATE_PHRASE), F.lit(K.BOILERPLATE_PENALTY)).otherwise(F.lit(0.0))
     return total - r_ai
 
 
@@ -136,7 +136,7 @@ def reasoning_quality(reasoning: Column | str, lowered: bool = False) -> Column:
 def reasoning_logic(reasoning: Column | str, lowered: bool = False) -> Column:
     """O-36: 0.5 (0.2 when contradictory) + conclusion + hedging."""
     t = _lowered(reasoning, lowered)
-    has = lambda w: F.instr(t, w) > 0
+    has = lambda w: t.contains(w)
     contradictory = (has("growth") & has("decline")) | (has("profit") & has("loss"))
     base = F.when(contradictory, F.lit(0.2)).otherwise(F.lit(0.5))
     conclusion = F.when(any_term(t, K.LOGIC_CONCLUSION_WORDS), F.lit(0.3)).otherwise(F.lit(0.0))
@@ -150,7 +150,7 @@ def reasoning_context(reasoning: Column | str, lowered: bool = False) -> Column:
     terms = F.least(count_terms(t, K.CONTEXT_TERMS) / F.lit(3.0), F.lit(1.0)) * F.lit(0.6)
     timing = (
         F.when(any_term(t, K.TIMING_TERMS), F.lit(0.4))
-        .when(F.instr(t, K.FUTURE_TERM) > 0, F.lit(0.2))
+        .when(t.contains(K.FUTURE_TERM), F.lit(0.2))
         .otherwise(F.lit(0.0))
     )
     return _clamp01(terms + timing)
@@ -253,7 +253,7 @@ def finance_reward(
     teacher_probs: DataFrame,
     key: str,
     completion: str = "completion",
-    prompt: str | None = "prompt",
+    prompt: str | None = None,
     weights: FinanceWeights = FinanceWeights(),
 ) -> DataFrame:
     """O-41 (+O-34, O-39, O-45): ``gate * (w1 p + w2 bundle + w3 calibration + w4 direction)``.

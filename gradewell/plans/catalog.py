@@ -206,7 +206,7 @@ def q_total_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _finance(spark, sf_dir).select(*GEN_KEY, "prompt_id", "finance_reward")
-    adv = analyze.group_advantage(scored, "prompt_id", "finance_reward")
+    adv = analyze.group_advantage(scored, "prompt_id", "finance_reward", materialize=True)
     return adv.select(*GEN_KEY, round6("finance_reward").alias("finance_reward"), round6("advantage").alias("advantage"))
 
 
