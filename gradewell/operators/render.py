@@ -61,8 +61,9 @@ def label_sentences(
 
 
 def synthetic_examples(spark: SparkSession) -> DataFrame:
-    """The three built-in examples (a fixed 3-row local relation)."""
-    return literal_table(spark, K.SYNTHETIC_EXAMPLES, EXAMPLE_SCHEMA)
+    """The three built-in examples (a fixed 3-row relation); ``source`` is null (Q-22)."""
+    schema = T.StructType(EXAMPLE_SCHEMA.fields + [T.StructField("source", T.StringType())])
+    return literal_table(spark, [row + (None,) for row in K.SYNTHETIC_EXAMPLES], schema)
 
 
 def assemble_examples(
