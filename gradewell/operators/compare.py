@@ -55,6 +55,12 @@ def next_turn_pairs(
     )
 
 
+def attach_prompts(completions: DataFrame, prompts: DataFrame, key: str) -> DataFrame:
+    """O-43: completions INNER JOIN prompts on the prompt key (the reference
+    zips two lists and cuts to the shorter; here rows meet by key)."""
+    return completions.join(prompts, key, "inner")
+
+
 def compare_variants(
     base: DataFrame,
     tuned: DataFrame,
@@ -71,7 +77,14 @@ def compare_variants(
     """
     b = base.select(F.col(key), F.col(prompt).alias("prompt"), F.col(base_output).alias("base_output"))
     t = tuned.select(F.col(key), F.col(tuned_output).alias("lora_output"))
-    return b.join(t, key, how)
+    if how == "inner":
+        return b.join(t, key, how)
+    joined = b.withColumn("_gw_b", F.lit(True)).join(t.withColumn("_gw_t", F.lit(True)), key, how)
+    return joined.select(
+        key, "prompt", "base_output", "lora_output",
+        F.coalesce("_gw_b", F.lit(False)).alias("in_base"),
+        F.coalesce("_gw_t", F.lit(False)).alias("in_lora"),
+    )
 
 
 def with_previews(df: DataFrame, cols=("base_output", "lora_output"), n: int = K.PREVIEW_CHARS) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.chat import completion_text, flatten_chat
+from ..functions.chat import completion_text, flatten_chat, token_length
 from ..functions.numeric import round6
-from ..functions.text import extract_answer, news_from_prompt
+from ..functions.text import extract_answer, extract_number, news_from_prompt
 from ..operators import analyze, compare, normalize, render, rewards, sample
 from . import fixtures as X
 
@@ -31,6 +31,17 @@ def q_verifiable_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("pair_id", "variant", round6("reward").alias("reward"))
 
 
+def q_extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-27 on both sides of the completion/reference join."""
+    completions, references = X.verifiable_inputs(spark, sf_dir)
+    joined = completions.join(references, "pair_id", "left")
+    return joined.select(
+        "pair_id",
+        extract_number("completion").alias("completion_number"),
+        extract_number("reference").alias("reference_number"),
+    )
+
+
 def q_reward_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: mean / min / max verifiable reward per completion shape."""
     completions, references = X.verifiable_inputs(spark, sf_dir)
@@ -161,10 +172,16 @@ def q_format_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_news_from_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gens = X.finance_completions(spark, sf_dir)
+    gens = compare.attach_prompts(X.finance_completions(spark, sf_dir), X.finance_prompts(spark, sf_dir), "prompt_id")
     return gens.select(*GEN_KEY, news_from_prompt("prompt").alias("news"))
 
 
+def q_prompt_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-43: each generation meets its prompt by key; prompt length per generation."""
+    gens = compare.attach_prompts(X.finance_completions(spark, sf_dir), X.finance_prompts(spark, sf_dir), "prompt_id")
+    return gens.select(*GEN_KEY, "prompt_id", token_length("prompt").alias("prompt_tokens"))
+
+
 def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     probs = rewards.teacher_probabilities(X.teacher_table(spark, sf_dir), "prompt_id")
     return probs.select(
@@ -234,6 +251,12 @@ def q_compare_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("changed", F.col("base_output") != F.col("lora_output"))
 
 
+def q_compare_variants_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-46, full outer form: which prompts a variant did not answer."""
+    base, tuned = X.variant_outputs(spark, sf_dir)
+    return compare.compare_variants(base, tuned, "doc_id", how="full").select("doc_id", "in_base", "in_lora")
+
+
 def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, tuned = X.variant_outputs(spark, sf_dir)
     joined = compare.with_previews(compare.compare_variants(base, tuned, "doc_id"))
@@ -260,6 +283,10 @@ def q_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.accuracy(_numbered(spark, sf_dir))
 
 
+def q_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.status_counts(_numbered(spark, sf_dir))
+
+
 def q_training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.training_curve(X.train_log(spark, sf_dir))
 
@@ -268,6 +295,11 @@ def q_best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.best_checkpoint(X.train_log(spark, sf_dir))
 
 
+def q_last_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checkpoints a total limit of 3 keeps (top-k by step; the limit is the feature)."""
+    return analyze.last_checkpoints(X.train_log(spark, sf_dir), 3).select("step", "eval_loss")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -219,12 +219,18 @@ def finance_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem").select(*GEN_KEY)
     tid = ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % 20).cast("int")
+    gens = li.select(*GEN_KEY, F.col("l_orderkey").alias("prompt_id"), tid.alias("template_id"))
+    return gens.join(F.broadcast(finance_templates(spark)), "template_id").drop("template_id")
+
+
+def finance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The RL prompt of every order: system + user news line, open for generation."""
+    o = table(spark, sf_dir, "orders")
     prompt = render_messages(
-        [("system", K.SYSTEM_FINANCIAL_RL), ("user", F.concat(F.lit(K.NEWS_PREFIX), news_text(F.col("l_orderkey"))))],
+        [("system", K.SYSTEM_FINANCIAL_RL), ("user", F.concat(F.lit(K.NEWS_PREFIX), news_text(F.col("o_orderkey"))))],
         add_generation_prompt=True,
     )
-    gens = li.select(*GEN_KEY, F.col("l_orderkey").alias("prompt_id"), tid.alias("template_id"), prompt.alias("prompt"))
-    return gens.join(F.broadcast(finance_templates(spark)), "template_id").drop("template_id")
+    return o.select(F.col("o_orderkey").alias("prompt_id"), prompt.alias("prompt"))
 
 
 def teacher_table(spark: SparkSession, sf_dir: str) -> DataFrame:

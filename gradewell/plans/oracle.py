@@ -166,18 +166,20 @@ def news_sql(k: str) -> str:
 
 
 _TEMPLATE_VALUES = ",\n    ".join(f"({i}, {lit(t)})" for i, t in enumerate(X.FINANCE_TEMPLATES))
-GEN_PROMPT = chatml([("system", lit(K.SYSTEM_FINANCIAL_RL)), ("user", f"{lit(K.NEWS_PREFIX)} || {news_sql('l_orderkey')}")], open_=True)
+ORDER_PROMPT = chatml([("system", lit(K.SYSTEM_FINANCIAL_RL)), ("user", f"{lit(K.NEWS_PREFIX)} || {news_sql('o_orderkey')}")], open_=True)
 
 GENS = f"""templates AS (SELECT * FROM (VALUES
     {_TEMPLATE_VALUES}) t(template_id, completion)),
 gens AS (
-  SELECT {GEN_KEY_SQL}, l_orderkey AS prompt_id, {GEN_PROMPT} AS prompt, t.completion
-  FROM lineitem JOIN templates t ON t.template_id = CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20 AS INTEGER))"""
+  SELECT {GEN_KEY_SQL}, l_orderkey AS prompt_id, t.completion
+  FROM lineitem JOIN templates t ON t.template_id = CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20 AS INTEGER)),
+prompts AS (SELECT o_orderkey AS prompt_id, {ORDER_PROMPT} AS prompt FROM orders),
+gp AS (SELECT g.*, p.prompt FROM gens g JOIN prompts p ON p.prompt_id = g.prompt_id)"""
 
 _LOW_R = "lower(reasoning)"
 COMPONENTS = f"""{GENS},
 comp AS (
-  SELECT {GEN_KEY_SQL}, prompt_id, prompt, completion,
+  SELECT {GEN_KEY_SQL}, prompt_id, completion,
     CAST(CASE WHEN {" AND ".join(once("completion", t) for pair in K.TAG_PAIRS for t in pair)} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS gate,
     {tagged("completion", K.REASONING_START, K.REASONING_END)} AS reasoning,
     lower({tagged("completion", K.SENTIMENT_START, K.SENTIMENT_END)}) AS sentiment,
@@ -361,7 +363,15 @@ SELECT doc_id, row_index, CASE WHEN row_index < round(80 * n / 100.0) THEN 'trai
     "q_format_gate": f"WITH {COMPONENTS}\nSELECT {GEN_KEY_SQL}, gate FROM comp",
     "q_news_from_prompt": f"""WITH {GENS}
 SELECT {GEN_KEY_SQL}, CASE WHEN strpos(prompt, {lit(K.NEWS_PREFIX)}) > 0
-  THEN {strip(f"substr(prompt, strpos(prompt, {lit(K.NEWS_PREFIX)}) + {len(K.NEWS_PREFIX)})")} ELSE '' END AS news FROM gens""",
+  THEN {strip(f"substr(prompt, strpos(prompt, {lit(K.NEWS_PREFIX)}) + {len(K.NEWS_PREFIX)})")} ELSE '' END AS news FROM gp""",
+    "q_prompt_completion": f"WITH {GENS}\nSELECT {GEN_KEY_SQL}, prompt_id, CAST(greatest(1, length(prompt) // 4) AS INTEGER) AS prompt_tokens FROM gp",
+    "q_extract_number": f"WITH {VERIFIABLE}\nSELECT pair_id, {number('txt')} AS completion_number, {number('ref')} AS reference_number FROM vjoined",
+    "q_compare_variants_full": f"""WITH {VARIANTS},
+fo AS (SELECT coalesce(b.doc_id, t.doc_id) AS doc_id, b.doc_id IS NOT NULL AS in_base, t.doc_id IS NOT NULL AS in_lora
+       FROM base b FULL OUTER JOIN tuned t ON t.doc_id = b.doc_id)
+SELECT doc_id, in_base, in_lora FROM fo""",
+    "q_status_counts": f"WITH {CHART_OUT}\nSELECT processing_status, count(*) AS n FROM numbered GROUP BY processing_status",
+    "q_last_checkpoints": f"WITH {TRAIN_LOG}\nSELECT step, eval_loss FROM tlog WHERE eval_loss IS NOT NULL ORDER BY step DESC LIMIT 3",
     "q_softmax": f"WITH {TEACHER}\nSELECT prompt_id, {r6('p_negative')} AS p_negative, {r6('p_neutral')} AS p_neutral, {r6('p_positive')} AS p_positive FROM tprobs",
     "q_teacher_alignment": _finance_select(f"{GEN_KEY_SQL}, sentiment, {r6('p_teacher')} AS p_teacher"),
     "q_reasoning": f"WITH {COMPONENTS}\nSELECT {GEN_KEY_SQL}, {r6('quality')} AS quality, {r6('logic')} AS logic, {r6('context')} AS context, {r6('bundle')} AS bundle FROM bundled",
