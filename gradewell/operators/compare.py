@@ -107,9 +107,9 @@ def number_results(
     position among samples whose image resolved (skipped ones take no
     number); error rows keep their number and carry ``ERROR: message``.
     """
-    with_pos, _ = with_row_index(outputs, order_by, "dataset_index")
+    with_pos, _ = with_row_index(outputs, order_by, "dataset_index", count=False)
     processed = with_pos.filter(F.col(resolvable).isNotNull())
-    numbered, _ = with_row_index(processed, ["dataset_index"], "sample_id")
+    numbered, _ = with_row_index(processed, ["dataset_index"], "sample_id", count=False)
     is_error = F.col(status) == "error"
     return numbered.withColumn(
         answer,

@@ -220,20 +220,33 @@ def teacher_probabilities(
     logits: str = "logits",
     labels=K.TEACHER_LABELS,
 ) -> DataFrame:
-    """O-32/O-33 (table form): (key, probs map). A row without logits is no
-    prediction (null); blank text -> 1/n each, as the teacher returns for an
-    empty input; otherwise softmax of the logits."""
+    """O-32/O-33 (table form): (key, probs) with ``probs`` an array aligned with
+    ``labels`` (narrower than a map, so the side stays broadcastable longer).
+    A row without logits is no prediction (null); blank text -> 1/n each, as
+    the teacher returns for an empty input; otherwise softmax of the logits."""
     blank = F.col(text).isNull() | (F.col(text) == "")
     probs = (
         F.when(F.col(logits).isNull(), F.lit(None).cast("array<double>"))
         .when(blank, uniform_probabilities(labels))
         .otherwise(softmax(logits))
     )
-    return teacher.select(F.col(key), label_probabilities(probs, labels).alias("probs"))
+    return teacher.select(F.col(key), probs.alias("probs"))
 
 
-def teacher_alignment(probs: Column | str, sentiment: Column | str) -> Column:
-    """O-34: teacher probability of the model's sentiment; unknown -> 0."""
+def teacher_alignment(probs: Column | str, sentiment: Column | str, labels=K.TEACHER_LABELS) -> Column:
+    """O-34: teacher probability of the model's sentiment; unknown -> 0.
+
+    ``probs`` is an array aligned with ``labels`` or a ``map<label, p>``
+    (as :func:`score_teacher` returns)."""
+    p, s = _col(probs), _col(sentiment)
+    picked = None
+    for i, label in enumerate(labels):
+        picked = (picked.when if picked is not None else F.when)(s == label, F.get(p, i))
+    return F.coalesce(picked, F.lit(0.0))
+
+
+def teacher_alignment_map(probs: Column | str, sentiment: Column | str) -> Column:
+    """O-34 for a ``map<label, p>`` of probabilities."""
     return F.coalesce(F.try_element_at(_col(probs), _col(sentiment)), F.lit(0.0))
 
 
@@ -300,7 +313,8 @@ def score_teacher(
     max_chars: int = K.TEACHER_MAX_CHARS,
     batch_size: int = 64,
 ) -> DataFrame:
-    """O-33 with a user model: (text, probs) for every distinct text in ``df``.
+    """O-33 with a user model: (text, probs) for every distinct text in ``df``
+    (``probs`` aligned with ``labels``).
 
     Each distinct text is predicted once (six generations share a prompt), cut
     to ``max_chars`` before the model; blank texts never reach the model and
@@ -322,10 +336,6 @@ def score_teacher(
             yield pd.DataFrame({"text": texts, "p": out})
 
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    predicted = to_score.mapInPandas(run, schema).select(
-        "text", label_probabilities("p", labels).alias("probs")
-    )
-    blanks = distinct.filter(blank).select(
-        "text", label_probabilities(F.array(*[F.lit(1.0 / n) for _ in labels]), labels).alias("probs")
-    )
+    predicted = to_score.mapInPandas(run, schema).select("text", F.col("p").alias("probs"))
+    blanks = distinct.filter(blank).select("text", F.array(*[F.lit(1.0 / n) for _ in labels]).alias("probs"))
     return predicted.unionByName(blanks)

@@ -53,8 +53,10 @@ def with_row_index(
     order_by: list[str],
     name: str = "row_index",
     num_partitions: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Dense 0..n-1 index in ``order_by`` order; returns (frame, row count).
+    count: bool = True,
+) -> tuple[DataFrame, int | None]:
+    """Dense 0..n-1 index in ``order_by`` order; returns (frame, row count or
+    None when ``count`` is False).
 
     Work is spread over ``num_partitions`` range partitions; the only
     single-task step is a running sum over one row per partition.
@@ -76,15 +78,15 @@ def with_row_index(
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col(_PID), F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias(_OFF), F.col("_gw_n")
-    ).cache()
-    total = offsets.agg(F.coalesce(F.sum("_gw_n"), F.lit(0))).first()[0]
+    )
+    total = offsets.agg(F.coalesce(F.sum("_gw_n"), F.lit(0))).first()[0] if count else None
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     indexed = (
         tagged.join(F.broadcast(offsets.select(_PID, _OFF)), _PID)
         .withColumn(name, F.col(_OFF) + local)
         .drop(_PID, _MID, _OFF)
     )
-    return indexed, int(total)
+    return indexed, (int(total) if total is not None else None)
 
 
 _SLICE = re.compile(r"^(?P<name>[^\[\]]*)(\[(?P<start>-?\d+%?)?:(?P<stop>-?\d+%?)?\])?$")
@@ -130,6 +132,20 @@ def slice_split(df: DataFrame, spec: str, order_by: list[str], name: str = "row_
     return indexed.filter((F.col(name) >= lo) & (F.col(name) < hi))
 
 
+def split_by_slices(df: DataFrame, slices: dict[str, str], order_by: list[str], name: str = "row_index") -> DataFrame:
+    """Several O-22 slices of one frame over one shared row index: each row
+    once per slice it falls in, labelled with the slice's name in ``split``."""
+    indexed, n = with_row_index(df, order_by, name)
+    parts = []
+    for label, spec in slices.items():
+        lo, hi = SliceSpec.parse(spec).bounds(n)
+        parts.append(indexed.filter((F.col(name) >= lo) & (F.col(name) < hi)).withColumn("split", F.lit(label)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def take_skip_split(
     df: DataFrame,
     order_by: list[str],
@@ -144,7 +160,7 @@ def take_skip_split(
     ``total`` is the exact count unless ``estimated_total`` is given (the
     reference always estimates 1,000, Q-21).
     """
-    indexed, n = with_row_index(df, order_by, name)
+    indexed, n = with_row_index(df, order_by, name, count=estimated_total is None)
     total = n if estimated_total is None else estimated_total
     n_train = int(train_fraction * total)
     n_val = int(validation_fraction * total)

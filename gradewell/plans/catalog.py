@@ -147,9 +147,8 @@ def q_take_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_slice_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.table(spark, sf_dir, "documents").select("doc_id")
-    head = sample.slice_split(docs, "train[:80%]", ["doc_id"]).withColumn("split", F.lit("train"))
-    tail = sample.slice_split(docs, "train[80%:]", ["doc_id"]).withColumn("split", F.lit("validation"))
-    return head.unionByName(tail).select("doc_id", "row_index", "split")
+    slices = {"train": "train[:80%]", "validation": "train[80%:]"}
+    return sample.split_by_slices(docs, slices, ["doc_id"]).select("doc_id", "row_index", "split")
 
 
 # ------------------------------------------------------------- financial rewards
@@ -185,7 +184,7 @@ def q_prompt_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     probs = rewards.teacher_probabilities(X.teacher_table(spark, sf_dir), "prompt_id")
     return probs.select(
-        "prompt_id", *[round6(F.col("probs")[label]).alias(f"p_{label}") for label in K.TEACHER_LABELS]
+        "prompt_id", *[round6(F.get("probs", i)).alias(f"p_{label}") for i, label in enumerate(K.TEACHER_LABELS)]
     )
 
 

@@ -142,7 +142,7 @@ def read_prompts(
             py_strip("value").alias("prompt"),
         )
         kept = lines.filter(F.length("prompt") > 0)
-        indexed, _ = with_row_index(kept, ["_gw_file", "_gw_pos"], "_gw_line")
+        indexed, _ = with_row_index(kept, ["_gw_file", "_gw_pos"], "_gw_line", count=False)
         from_file = indexed.select((F.col("_gw_line") + F.lit(len(literals))).alias("prompt_id"), "prompt")
         out = from_file if out is None else out.unionByName(from_file)
     return out

@@ -98,7 +98,7 @@ def test_softmax_golden(spark):
     assert got == pytest.approx([0.0900306, 0.2447285, 0.6652410], abs=1e-7)
     blank = spark.createDataFrame([(1, "", [5.0, 0.0, 0.0])], "prompt_id long, text string, logits array<double>")
     probs = rewards.teacher_probabilities(blank, "prompt_id").first().probs
-    assert probs == pytest.approx({"negative": 1 / 3, "neutral": 1 / 3, "positive": 1 / 3})
+    assert probs == pytest.approx([1 / 3, 1 / 3, 1 / 3])
 
 
 def test_unknown_sentiment_aligns_to_zero(spark):
@@ -140,7 +140,7 @@ def test_score_teacher_predicts_each_distinct_text_once(spark):
 
     out = {r.text: r.probs for r in rewards.score_teacher(texts, "news", factory).collect()}
     assert len(out) == 4  # good, long, '', null
-    assert out["good"]["positive"] == pytest.approx(0.7)
+    assert out["good"][2] == pytest.approx(0.7)
     long_text = "bad news " * 300
-    assert out[long_text]["negative"] == pytest.approx(0.1)  # cut to 1,024 characters first
-    assert out[""]["neutral"] == pytest.approx(1 / 3)
+    assert out[long_text][0] == pytest.approx(0.1)  # cut to 1,024 characters first
+    assert out[""][1] == pytest.approx(1 / 3)
