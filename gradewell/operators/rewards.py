@@ -25,14 +25,11 @@ from ..functions.numeric import (
 )
 from ..functions.text import (
     PY_SPACE,
-    any_term,
-    count_terms,
     extract_number,
     extract_tagged,
     is_truthy_string,
     news_from_prompt,
     normalize_text,
-    occurs_once,
 )
 
 
@@ -94,66 +91,99 @@ def score_verifiable(
 # ---------------------------------------------------------------- financial
 
 
-def format_gate(c: Column | str) -> Column:
-    """O-31: 1.0 when each of the six tags occurs exactly once (case-sensitive)."""
-    txt = F.coalesce(_col(c), F.lit(""))
-    ok = None
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _has(col_sql: str, term: str) -> str:
+    return f"contains({col_sql}, {_lit(term)})"
+
+
+def _count(col_sql: str, terms) -> str:
+    return "(" + " + ".join(f"CAST({_has(col_sql, t)} AS INT)" for t in terms) + ")"
+
+
+def _any(col_sql: str, terms) -> str:
+    return "(" + " OR ".join(_has(col_sql, t) for t in terms) + ")"
+
+
+def format_gate(c: str) -> Column:
+    """O-31: 1.0 when each of the six tags occurs exactly once (case-sensitive).
+
+    One SQL expression (a single call to build): ``contains`` first, then the
+    byte-length difference of removing the tag equals one tag's length.
+    """
+    txt = f"coalesce({_q(c)}, '')"
+    checks = []
     for start, end in K.TAG_PAIRS:
-        pair = occurs_once(txt, start) & occurs_once(txt, end)
-        ok = pair if ok is None else ok & pair
-    return F.when(ok, F.lit(1.0)).otherwise(F.lit(0.0))
+        for tag in (start, end):
+            width = len(tag.encode("utf-8"))
+            checks.append(
+                f"({_has(txt, tag)} AND octet_length({txt}) - octet_length(replace({txt}, {_lit(tag)}, '')) = {width})"
+            )
+    return F.expr(f"CASE WHEN {' AND '.join(checks)} THEN 1.0D ELSE 0.0D END")
+
+
+def component_columns(completion: Column | str) -> dict[str, Column]:
+    """O-25 as named columns: reasoning / sentiment (lower-cased) / confidence text."""
+    c = _col(completion)
+    return {
+        "reasoning": extract_tagged(c, K.REASONING_START, K.REASONING_END),
+        "sentiment": F.lower(extract_tagged(c, K.SENTIMENT_START, K.SENTIMENT_END)),
+        "confidence_text": extract_tagged(c, K.CONFIDENCE_START, K.CONFIDENCE_END),
+    }
 
 
 def extract_components(df: DataFrame, completion: str = "completion") -> DataFrame:
     """O-25: reasoning / sentiment (lower-cased) / confidence text, '' when missing."""
-    c = F.col(completion)
-    return (
-        df.withColumn("reasoning", extract_tagged(c, K.REASONING_START, K.REASONING_END))
-        .withColumn("sentiment", F.lower(extract_tagged(c, K.SENTIMENT_START, K.SENTIMENT_END)))
-        .withColumn("confidence_text", extract_tagged(c, K.CONFIDENCE_START, K.CONFIDENCE_END))
-    )
+    return df.withColumns(component_columns(completion))
 
 
-def _clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+def _text(reasoning: str, lowered: bool) -> str:
+    c = f"coalesce({_q(reasoning)}, '')"
+    return c if lowered else f"lower({c})"
 
 
-def _lowered(reasoning: Column | str, lowered: bool) -> Column:
-    c = F.coalesce(_col(reasoning), F.lit(""))
-    return c if lowered else F.lower(c)
+def _clamp01_sql(x: str) -> str:
+    return f"greatest(0.0D, least(1.0D, {x}))"
 
 
-def reasoning_quality(reasoning: Column | str, lowered: bool = False) -> Column:
-    """O-35: finance terms, connectives and cue balance."""
-    t = _lowered(reasoning, lowered)
-    terms = F.least(count_terms(t, K.FINANCIAL_TERMS) / F.lit(3.0), F.lit(1.0)) * F.lit(0.4)
-    links = F.least(count_terms(t, K.CONNECTIVES) / F.lit(2.0), F.lit(1.0)) * F.lit(0.3)
-    pos, neg = any_term(t, K.QUALITY_POSITIVE_CUES), any_term(t, K.QUALITY_NEGATIVE_CUES)
-    balance = F.when(pos & neg, F.lit(0.3)).when(pos | neg, F.lit(0.15)).otherwise(F.lit(0.0))
-    return _clamp01(terms + links + balance)
+def reasoning_quality(reasoning: str, lowered: bool = False) -> Column:
+    """O-35: 0.4 x min(finance terms / 3, 1) + 0.3 x min(connectives / 2, 1)
+    + cue balance (0.3 both polarities, 0.15 one), clamped to [0, 1]."""
+    t = _text(reasoning, lowered)
+    pos, neg = _any(t, K.QUALITY_POSITIVE_CUES), _any(t, K.QUALITY_NEGATIVE_CUES)
+    terms = f"least({_count(t, K.FINANCIAL_TERMS)} / 3.0D, 1.0D) * 0.4D"
+    links = f"least({_count(t, K.CONNECTIVES)} / 2.0D, 1.0D) * 0.3D"
+    balance = f"CASE WHEN {pos} AND {neg} THEN 0.3D WHEN {pos} OR {neg} THEN 0.15D ELSE 0.0D END"
+    return F.expr(_clamp01_sql(f"{terms} + {links} + {balance}"))
 
 
-def reasoning_logic(reasoning: Column | str, lowered: bool = False) -> Column:
-    """O-36: 0.5 (0.2 when contradictory) + conclusion + hedging."""
-    t = _lowered(reasoning, lowered)
-    has = lambda w: t.contains(w)
-    contradictory = (has("growth") & has("decline")) | (has("profit") & has("loss"))
-    base = F.when(contradictory, F.lit(0.2)).otherwise(F.lit(0.5))
-    conclusion = F.when(any_term(t, K.LOGIC_CONCLUSION_WORDS), F.lit(0.3)).otherwise(F.lit(0.0))
-    hedge = F.when(any_term(t, K.LOGIC_HEDGE_WORDS), F.lit(0.2)).otherwise(F.lit(0.0))
-    return _clamp01(base + conclusion + hedge)
+def reasoning_logic(reasoning: str, lowered: bool = False) -> Column:
+    """O-36: 0.5 (0.2 when growth & decline or profit & loss) + 0.3 for a
+    conclusion word + 0.2 for a hedge word, clamped."""
+    t = _text(reasoning, lowered)
+    contradictory = (
+        f"(({_has(t, 'growth')} AND {_has(t, 'decline')}) OR ({_has(t, 'profit')} AND {_has(t, 'loss')}))"
+    )
+    base = f"CASE WHEN {contradictory} THEN 0.2D ELSE 0.5D END"
+    conclusion = f"CASE WHEN {_any(t, K.LOGIC_CONCLUSION_WORDS)} THEN 0.3D ELSE 0.0D END"
+    hedge = f"CASE WHEN {_any(t, K.LOGIC_HEDGE_WORDS)} THEN 0.2D ELSE 0.0D END"
+    return F.expr(_clamp01_sql(f"{base} + {conclusion} + {hedge}"))
 
 
-def reasoning_context(reasoning: Column | str, lowered: bool = False) -> Column:
-    """O-37: context terms plus a timing horizon."""
-    t = _lowered(reasoning, lowered)
-    terms = F.least(count_terms(t, K.CONTEXT_TERMS) / F.lit(3.0), F.lit(1.0)) * F.lit(0.6)
+def reasoning_context(reasoning: str, lowered: bool = False) -> Column:
+    """O-37: 0.6 x min(context terms / 3, 1) + timing (0.4 horizon, 0.2 future), clamped."""
+    t = _text(reasoning, lowered)
+    terms = f"least({_count(t, K.CONTEXT_TERMS)} / 3.0D, 1.0D) * 0.6D"
     timing = (
-        F.when(any_term(t, K.TIMING_TERMS), F.lit(0.4))
-        .when(t.contains(K.FUTURE_TERM), F.lit(0.2))
-        .otherwise(F.lit(0.0))
+        f"CASE WHEN {_any(t, K.TIMING_TERMS)} THEN 0.4D WHEN {_has(t, K.FUTURE_TERM)} THEN 0.2D ELSE 0.0D END"
     )
-    return _clamp01(terms + timing)
+    return F.expr(_clamp01_sql(f"{terms} + {timing}"))
 
 
 @dataclass(frozen=True)
@@ -173,17 +203,16 @@ class FinanceWeights:
     direction: float = 0.15
 
 
-def directional(reasoning: Column | str, sentiment: Column | str, lowered: bool = False) -> Column:
+def directional(reasoning: str, sentiment: str, lowered: bool = False) -> Column:
     """O-40: cue direction agrees with the stated sentiment (own cue lists)."""
-    t = _lowered(reasoning, lowered)
-    s = _col(sentiment)
-    pos, neg = any_term(t, K.DIRECTION_POSITIVE_CUES), any_term(t, K.DIRECTION_NEGATIVE_CUES)
+    t = _text(reasoning, lowered)
+    s = _q(sentiment)
+    pos, neg = _any(t, K.DIRECTION_POSITIVE_CUES), _any(t, K.DIRECTION_NEGATIVE_CUES)
     agree = (
-        (pos & neg & (s == "neutral"))
-        | (pos & ~neg & (s == "positive"))
-        | (neg & ~pos & (s == "negative"))
+        f"({pos} AND {neg} AND {s} = 'neutral') OR ({pos} AND NOT {neg} AND {s} = 'positive') "
+        f"OR ({neg} AND NOT {pos} AND {s} = 'negative')"
     )
-    return F.when(agree, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.expr(f"CASE WHEN {agree} THEN 1.0D ELSE 0.0D END")
 
 
 _LC = "_gw_reasoning_lc"
@@ -194,23 +223,23 @@ def score_reasoning(df: DataFrame, bundle: BundleWeights = BundleWeights(), with
 
     The reasoning is lower-cased once into its own column; the ~40 lexicon
     tests read that column (a separate projection, so the optimizer does not
-    inline the costly ``lower`` into every test).
+    inline the costly ``lower`` into every test). Three projections in all.
     """
     out = df.withColumn(_LC, F.lower(F.coalesce(F.col("reasoning"), F.lit(""))))
-    out = (
-        out.withColumn("quality", reasoning_quality(_LC, lowered=True))
-        .withColumn("logic", reasoning_logic(_LC, lowered=True))
-        .withColumn("context", reasoning_context(_LC, lowered=True))
-    )
+    scores = {
+        "quality": reasoning_quality(_LC, lowered=True),
+        "logic": reasoning_logic(_LC, lowered=True),
+        "context": reasoning_context(_LC, lowered=True),
+    }
     if with_direction:
-        out = out.withColumn("direction", directional(_LC, "sentiment", lowered=True))
-    out = out.withColumn(
-        "bundle",
+        scores["direction"] = directional(_LC, "sentiment", lowered=True)
+    out = out.withColumns(scores)
+    weighted = (
         F.lit(bundle.quality) * F.col("quality")
         + F.lit(bundle.logic) * F.col("logic")
-        + F.lit(bundle.context) * F.col("context"),
+        + F.lit(bundle.context) * F.col("context")
     )
-    return out.drop(_LC)
+    return out.select(*[c for c in out.columns if c != _LC], weighted.alias("bundle"))
 
 
 def teacher_probabilities(
@@ -250,14 +279,13 @@ def teacher_alignment_map(probs: Column | str, sentiment: Column | str) -> Colum
     return F.coalesce(F.try_element_at(_col(probs), _col(sentiment)), F.lit(0.0))
 
 
-def finance_components(df: DataFrame, completion: str = "completion", prompt: str | None = "prompt") -> DataFrame:
+def finance_components(df: DataFrame, completion: str = "completion", prompt: str | None = None) -> DataFrame:
     """Gate, components, parsed confidence, news text and reasoning scores in one
     projection chain (no shuffle)."""
-    out = df.withColumn("gate", format_gate(completion))
-    out = extract_components(out, completion)
-    out = out.withColumn("confidence", parse_python_float("confidence_text"))
+    first = {"gate": format_gate(completion), **component_columns(completion)}
     if prompt is not None:
-        out = out.withColumn("news", news_from_prompt(prompt))
+        first["news"] = news_from_prompt(prompt)
+    out = df.withColumns(first).withColumn("confidence", parse_python_float("confidence_text"))
     return score_reasoning(out, with_direction=True)
 
 
@@ -286,11 +314,11 @@ def finance_reward(
         + F.lit(weights.calibration) * F.col("calibration")
         + F.lit(weights.direction) * F.col("direction")
     )
-    return (
-        joined.withColumn("p_teacher", p)
-        .withColumn("calibration", calibration("p_teacher", "confidence"))
-        .withColumn("finance_reward", F.when(F.col("gate") == 0.0, F.lit(0.0)).otherwise(F.col("gate") * total))
-        .drop("probs")
+    keep = [c for c in joined.columns if c != "probs"]
+    aligned = joined.select(*keep, p.alias("p_teacher"))
+    with_cal = aligned.withColumn("calibration", calibration("p_teacher", "confidence"))
+    return with_cal.withColumn(
+        "finance_reward", F.when(F.col("gate") == 0.0, F.lit(0.0)).otherwise(F.col("gate") * total)
     )
 
 
