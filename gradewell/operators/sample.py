@@ -58,13 +58,15 @@ def with_row_index(
     """Dense 0..n-1 index in ``order_by`` order; returns (frame, row count or
     None when ``count`` is False).
 
-    Work is spread over ``num_partitions`` range partitions; the only
-    single-task step is a running sum over one row per partition.
+    Work is spread over ``num_partitions`` range partitions (default: as many
+    as the input has, so partitions keep the input's split size at any
+    scale); the only single-task step is a running sum over one row per
+    partition.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if num_partitions is None:
-        num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = max(1, df.rdd.getNumPartitions())
     keys = [F.col(c) for c in order_by]
     tagged = (
         df.repartitionByRange(num_partitions, *keys)
