@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import round6
-from ..session import ensure_checkpoint_dir
+from ..session import reliable_checkpoint
 from ..functions.text import normalize_text
 
 
@@ -65,8 +65,7 @@ def group_advantage(
     and reward) instead of being computed twice.
     """
     if materialize:
-        ensure_checkpoint_dir(scores.sparkSession)
-        scores = scores.checkpoint(eager=True)
+        scores = reliable_checkpoint(scores)
     stats = scores.groupBy(group).agg(
         F.count(F.lit(1)).alias("_gw_n"),
         F.avg(reward).alias("_gw_mean"),

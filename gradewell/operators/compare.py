@@ -106,10 +106,16 @@ def number_results(
     """O-56: ``dataset_index`` = position among all samples, ``sample_id`` =
     position among samples whose image resolved (skipped ones take no
     number); error rows keep their number and carry ``ERROR: message``.
+
+    ``order_by`` is the sample key (unique). Both positions are computed on
+    the narrow key frame (keys + one flag), so only that is range-shuffled and
+    checkpointed; the wide outputs are joined to their numbers once.
     """
-    with_pos, _ = with_row_index(outputs, order_by, "dataset_index", count=False)
-    processed = with_pos.filter(F.col(resolvable).isNotNull())
-    numbered, _ = with_row_index(processed, ["dataset_index"], "sample_id", count=False)
+    keys = outputs.select(*[F.col(k) for k in order_by], F.col(resolvable).isNotNull().alias("_gw_ok"))
+    positions, _ = with_row_index(keys, order_by, "dataset_index", count=False)
+    kept = positions.filter(F.col("_gw_ok")).select(*order_by, "dataset_index")
+    numbers, _ = with_row_index(kept, ["dataset_index"], "sample_id", count=False)
+    numbered = outputs.filter(F.col(resolvable).isNotNull()).join(numbers, order_by, "inner")
     is_error = F.col(status) == "error"
     return numbered.withColumn(
         answer,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 
 _PID = "_gw_pid"
 _MID = "_gw_mid"
@@ -75,7 +75,7 @@ def with_row_index(
         .withColumn(_MID, F.monotonically_increasing_id())
     )
     # partition numbers and ordinals must be the same for both uses below
-    tagged = tagged.checkpoint(eager=True)
+    tagged = reliable_checkpoint(tagged)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_gw_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

@@ -69,3 +69,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/ABFS) "
         "that every executor can reach"
     )
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder, computed once.
+
+    The checkpoint write is a second job over the same plan; persisting first
+    lets it read the computed partitions instead of recomputing them. The
+    cache is released as soon as the files are written: the returned frame
+    reads the checkpoint, so a lost executor costs a re-read, not a recompute.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
