@@ -71,9 +71,27 @@ def occurs_once(c: Column | str, needle: str) -> Column:
     return c.contains(needle) & (removed == F.lit(width))
 
 
+# Non-ASCII letters that Python's case-insensitive matching equates with an
+# ASCII letter (dotless/dotted i, long s, Kelvin sign). Listing them in
+# character classes makes ASCII-only (?i) exact, and faster than (?iu).
+_FOLD_CLASSES = {"i": "[iI\\x{131}\\x{130}]", "s": "[sS\\x{17f}]", "k": "[kK\\x{212a}]"}
+
+
+def _ci_literal(literal: str) -> str:
+    """A literal as a pattern that matches it case-insensitively like Python ``re.I``."""
+    out = []
+    for ch in literal:
+        low = ch.lower()
+        if low in _FOLD_CLASSES:
+            out.append(_FOLD_CLASSES[low])
+        else:
+            out.append(_quote(ch))
+    return "".join(out)
+
+
 def extract_tagged(c: Column | str, start: str, end: str) -> Column:
     """First ``start(.*?)end``, dot matches newline, case-insensitive, stripped."""
-    pattern = "(?isu)" + _quote(start) + "(.*?)" + _quote(end)
+    pattern = "(?is)" + _ci_literal(start) + "(.*?)" + _ci_literal(end)
     return py_strip(F.regexp_extract(F.coalesce(_col(c), F.lit("")), pattern, 1))
 
 

@@ -144,3 +144,16 @@ def test_score_teacher_predicts_each_distinct_text_once(spark):
     long_text = "bad news " * 300
     assert out[long_text][0] == pytest.approx(0.1)  # cut to 1,024 characters first
     assert out[""][1] == pytest.approx(1 / 3)
+
+
+def test_extraction_folds_like_python_re(spark):
+    import re
+
+    texts = ["<REAſONING>x</reasonıng>", "<REASONİNG>y</REASONING>", "<reasoning>z</REASONING>", "<REASONING>w"]
+    df = spark.createDataFrame([(t,) for t in texts], "completion string")
+    got = [r.reasoning for r in rewards.extract_components(df).collect()]
+    expected = []
+    for t in texts:
+        m = re.search(r"<REASONING>(.*?)</REASONING>", t, re.I | re.S)
+        expected.append(m.group(1).strip() if m else "")
+    assert got == expected == ["x", "y", "z", ""]
