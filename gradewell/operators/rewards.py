@@ -7,6 +7,7 @@ so each regex runs once per row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
@@ -111,21 +112,39 @@ def _any(col_sql: str, terms) -> str:
     return "(" + " OR ".join(_has(col_sql, t) for t in terms) + ")"
 
 
-def format_gate(c: str) -> Column:
+def _overlap_free(tags: list[str]) -> bool:
+    """No tag occurs inside another and no suffix of one is a prefix of another,
+    so a left-to-right scan sees every occurrence of every tag."""
+    for a in tags:
+        for b in tags:
+            if a != b and a in b:
+                return False
+            for k in range(1, min(len(a), len(b))):
+                if a[-k:] == b[:k]:
+                    return False
+    return True
+
+
+def format_gate(c: str, tag_pairs=K.TAG_PAIRS) -> Column:
     """O-31: 1.0 when each of the six tags occurs exactly once (case-sensitive).
 
-    One SQL expression (a single call to build): ``contains`` first, then the
-    byte-length difference of removing the tag equals one tag's length.
+    One regex scan collects every tag occurrence; the gate holds when the
+    sorted occurrences are exactly the six tags (each once). A ``contains``
+    guard skips the scan for text missing a tag. Tags that could overlap fall
+    back to counting by replacement.
     """
+    tags = [t for pair in tag_pairs for t in pair]
     txt = f"coalesce({_q(c)}, '')"
-    checks = []
-    for start, end in K.TAG_PAIRS:
-        for tag in (start, end):
-            width = len(tag.encode("utf-8"))
-            checks.append(
-                f"({_has(txt, tag)} AND octet_length({txt}) - octet_length(replace({txt}, {_lit(tag)}, '')) = {width})"
-            )
-    return F.expr(f"CASE WHEN {' AND '.join(checks)} THEN 1.0D ELSE 0.0D END")
+    guard = " AND ".join(_has(txt, t) for t in tags)
+    if _overlap_free(tags):
+        pattern = "(?:" + "|".join(re.escape(t) for t in tags) + ")"
+        expected = ", ".join(_lit(t) for t in sorted(tags))
+        exact = f"sort_array(regexp_extract_all({txt}, {_lit(pattern)}, 0)) = array({expected})"
+    else:
+        exact = " AND ".join(
+            f"octet_length({txt}) - octet_length(replace({txt}, {_lit(t)}, '')) = {len(t.encode('utf-8'))}" for t in tags
+        )
+    return F.expr(f"CASE WHEN {guard} AND {exact} THEN 1.0D ELSE 0.0D END")
 
 
 def component_columns(completion: Column | str) -> dict[str, Column]:
