@@ -188,6 +188,17 @@ def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_score_teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-33: a user model over every distinct news text (Arrow batches through
+    mapInPandas, blank texts never sent), joined back to the prompts by text."""
+    teacher = X.teacher_table(spark, sf_dir).select("prompt_id", "text")
+    scored = rewards.score_teacher(teacher, "text", X.length_logit_predictor)
+    joined = teacher.join(scored, "text", "left")
+    return joined.select(
+        "prompt_id", *[round6(F.get("probs", i)).alias(f"p_{label}") for i, label in enumerate(K.TEACHER_LABELS)]
+    )
+
+
 def q_teacher_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finance(spark, sf_dir).select(*GEN_KEY, "sentiment", round6("p_teacher").alias("p_teacher"))
 

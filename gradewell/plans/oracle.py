@@ -373,6 +373,15 @@ SELECT doc_id, in_base, in_lora FROM fo""",
     "q_status_counts": f"WITH {CHART_OUT}\nSELECT processing_status, count(*) AS n FROM numbered GROUP BY processing_status",
     "q_last_checkpoints": f"WITH {TRAIN_LOG}\nSELECT step, eval_loss FROM tlog WHERE eval_loss IS NOT NULL ORDER BY step DESC LIMIT 3",
     "q_softmax": f"WITH {TEACHER}\nSELECT prompt_id, {r6('p_negative')} AS p_negative, {r6('p_neutral')} AS p_neutral, {r6('p_positive')} AS p_positive FROM tprobs",
+    "q_score_teacher": f"""WITH {TEACHER},
+lens AS (SELECT prompt_id, text, CAST(length(text) % 7 AS DOUBLE) / 2.0 AS a, CAST(length(text) % 5 AS DOUBLE) / 2.0 AS b,
+                CAST(length(text) % 3 AS DOUBLE) / 2.0 AS c FROM teacher),
+mx AS (SELECT *, greatest(a, b, c) AS m FROM lens)
+SELECT prompt_id,
+  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(a - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_negative,
+  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_neutral,
+  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(c - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_positive
+FROM mx""",
     "q_teacher_alignment": _finance_select(f"{GEN_KEY_SQL}, sentiment, {r6('p_teacher')} AS p_teacher"),
     "q_reasoning": f"WITH {COMPONENTS}\nSELECT {GEN_KEY_SQL}, {r6('quality')} AS quality, {r6('logic')} AS logic, {r6('context')} AS context, {r6('bundle')} AS bundle FROM bundled",
     "q_calibration": _finance_select(f"{GEN_KEY_SQL}, {r6('calibration')} AS calibration"),
