@@ -369,20 +369,20 @@ def score_teacher(
     and fed Arrow batches through ``mapInPandas``.
     """
     distinct = df.select(F.col(text).alias("text")).distinct()
-    blank = F.col("text").isNull() | (F.col("text") == "")
-    to_score = distinct.filter(~blank)
     n = len(labels)
+    uniform = [1.0 / n] * n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = predictor_factory()
         for pdf in batches:
             texts = pdf["text"].tolist()
-            out: list[list[float]] = []
-            for i in range(0, len(texts), batch_size):
-                out.extend(predict([t[:max_chars] for t in texts[i : i + batch_size]]))
-            yield pd.DataFrame({"text": texts, "p": out})
-
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
-    predicted = to_score.mapInPandas(run, schema).select("text", F.col("p").alias("probs"))
-    blanks = distinct.filter(blank).select("text", F.array(*[F.lit(1.0 / n) for _ in labels]).alias("probs"))
-    return predicted.unionByName(blanks)
+            probs: list[list[float] | None] = [None] * len(texts)
+            todo = [i for i, t in enumerate(texts) if t]  # blank texts never reach the model
+            for lo in range(0, len(todo), batch_size):
+                chunk = todo[lo : lo + batch_size]
+                for i, p in zip(chunk, predict([texts[i][:max_chars] for i in chunk])):
+                    probs[i] = list(p)
+            yield pd.DataFrame({"text": texts, "probs": [p if p is not None else uniform for p in probs]})
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("probs", T.ArrayType(T.DoubleType()))])
+    return distinct.mapInPandas(run, schema)
