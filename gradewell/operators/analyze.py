@@ -110,9 +110,18 @@ def best_of_group(
     )
 
 
-def reward_summary(scored: DataFrame, by: list[str], reward: str, components: list[str], gate: str = "gate") -> DataFrame:
+def reward_summary(
+    scored: DataFrame,
+    by: list[str],
+    reward: str,
+    components: list[str],
+    gate: str = "gate",
+    grouping: str = "rollup",
+) -> DataFrame:
     """O-50: count, mean/min/max reward, gate pass rate and mean of each component,
-    per group and in total (``rollup``; ``is_total`` marks the total row)."""
+    per group and in total. ``grouping`` is ``rollup`` (hierarchy + total) or
+    ``cube`` (every combination of ``by``); ``is_total`` is the grouping id
+    (0 for the finest groups)."""
     aggs = [
         F.count(F.lit(1)).alias("n"),
         round6(F.avg(reward)).alias("mean_reward"),
@@ -122,7 +131,11 @@ def reward_summary(scored: DataFrame, by: list[str], reward: str, components: li
         *[round6(F.avg(c)).alias(f"mean_{c}") for c in components],
         F.grouping_id().cast("int").alias("is_total"),
     ]
-    return scored.rollup(*by).agg(*aggs)
+    if grouping == "cube":
+        return scored.cube(*by).agg(*aggs)
+    if grouping == "rollup":
+        return scored.rollup(*by).agg(*aggs)
+    raise ValueError(f"unknown grouping {grouping!r}")
 
 
 def training_curve(log: DataFrame, step: str = "step", loss: str = "loss", extra=("reward", "kl")) -> DataFrame:

@@ -120,6 +120,31 @@ def load_splits(
     return train, evaluation, train_name, eval_name
 
 
+def load_splits_by_column(
+    spark: SparkSession,
+    path: str,
+    column: str = "split",
+    fmt: str = "parquet",
+    normalise: bool = True,
+    keep: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame | None, str, str | None]:
+    """O-5 for one table holding every split in ``column`` (usually a
+    partition column, so the filters below prune whole folders). Only the
+    distinct split names reach the driver."""
+    try:
+        df = spark.read.format(fmt).load(path)
+        names = [r[0] for r in df.select(column).distinct().collect() if r[0] is not None]
+        train_name, eval_name = pick_splits(names)
+    except Exception as exc:  # noqa: BLE001
+        raise RuntimeError(f"could not detect splits in {path!r}: {exc}") from exc
+    train = df.filter(F.col(column) == train_name).drop(column)
+    evaluation = df.filter(F.col(column) == eval_name).drop(column) if eval_name else None
+    if normalise:
+        train = to_prompt_reference(train, keep=keep)
+        evaluation = to_prompt_reference(evaluation, keep=keep) if evaluation is not None else None
+    return train, evaluation, train_name, eval_name
+
+
 PROMPT_SCHEMA = T.StructType([T.StructField("prompt_id", T.LongType()), T.StructField("prompt", T.StringType())])
 
 

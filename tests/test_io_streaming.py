@@ -62,6 +62,19 @@ def test_load_splits(spark, tmp_dir):
         load_splits(spark, os.path.join(tmp_dir, "missing"))
 
 
+def test_load_splits_by_partition_column(spark, tmp_dir):
+    from gradewell.sources.readers import load_splits_by_column
+
+    root = os.path.join(tmp_dir, "one")
+    rows = [("q1", "a1", "train_sft"), ("q2", "a2", "test_sft"), ("q3", "a3", "train")]
+    spark.createDataFrame(rows, "question string, answer string, split string").write.partitionBy("split").parquet(root)
+    train, ev, tname, ename = load_splits_by_column(spark, root)
+    assert (tname, ename) == ("train_sft", "test_sft")
+    assert [r.prompt for r in train.collect()] == ["q1"] and [r.reference for r in ev.collect()] == ["a2"]
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "train_sft" in plan
+
+
 def test_read_prompts(spark, tmp_dir):
     assert [r.prompt for r in read_prompts(spark).orderBy("prompt_id").collect()] == list(K.DEFAULT_COMPARISON_PROMPTS)
     path = os.path.join(tmp_dir, "prompts.txt")

@@ -112,3 +112,15 @@ def test_balance_only_when_needed(spark):
     assert balance(one, min_partitions=4).rdd.getNumPartitions() == 4
     many = spark.range(0, 100, numPartitions=6)
     assert balance(many, min_partitions=4).rdd.getNumPartitions() == 6
+
+
+def test_reward_summary_rollup_and_cube(spark):
+    df = spark.createDataFrame(
+        [("a", "x", 1.0, 1.0), ("a", "y", 0.0, 0.0), ("b", "x", 0.5, 1.0)], "s string, t string, reward double, gate double"
+    )
+    roll = analyze.reward_summary(df, ["s"], "reward", [], grouping="rollup").collect()
+    assert sorted(((r.s, r.n, r.is_total) for r in roll), key=str) == sorted([("a", 2, 0), ("b", 1, 0), (None, 3, 1)], key=str)
+    cube = analyze.reward_summary(df, ["s", "t"], "reward", [], grouping="cube").collect()
+    assert len(cube) == 3 + 2 + 2 + 1
+    total = [r for r in cube if r.is_total == 3][0]
+    assert total.n == 3 and total.mean_reward == 0.5 and total.gate_rate == pytest.approx(2 / 3, abs=1e-6)
