@@ -93,3 +93,38 @@ def to_prompt_reference(df: DataFrame, keep: list[str] | None = None, combine: b
         synthesize_prompt(df, combine=combine).alias("prompt"),
         pick_reference(df).alias("reference"),
     )
+
+
+def flatten_turns(
+    turns: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    content: str = "text",
+    out: str = "prompt",
+    bucket_turns: int = 256,
+) -> DataFrame:
+    """O-10 on a table of turns (one row per message) instead of an array:
+    ``role: content`` lines in turn order, joined by newline and stripped.
+
+    Lines are built per row, then joined inside buckets of ``bucket_turns``
+    consecutive turns (many tasks, even for one huge conversation), and only
+    the bucket strings are concatenated per conversation. The result row is
+    the whole conversation by definition.
+    """
+    line = F.concat(
+        F.coalesce(F.col(role).cast("string"), F.lit("user")),
+        F.lit(": "),
+        py_strip(F.coalesce(F.col(content).cast("string"), F.lit(""))),
+    )
+    lines = turns.select(F.col(conv), F.col(turn), line.alias("_gw_line"))
+    ordered = lambda items, field: F.array_join(
+        F.transform(F.array_sort(items), lambda x: x[field]), "\n"
+    )
+    chunks = lines.groupBy(F.col(conv), F.floor(F.col(turn) / bucket_turns).alias("_gw_bucket")).agg(
+        ordered(F.collect_list(F.struct(F.col(turn).alias("k"), F.col("_gw_line").alias("v"))), "v").alias("_gw_chunk")
+    )
+    joined = chunks.groupBy(conv).agg(
+        ordered(F.collect_list(F.struct(F.col("_gw_bucket").alias("k"), F.col("_gw_chunk").alias("v"))), "v").alias("_gw_all")
+    )
+    return joined.select(F.col(conv), py_strip("_gw_all").alias(out))

@@ -62,6 +62,12 @@ def q_flatten_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", flatten_chat("messages", chats.schema["messages"].dataType).alias("prompt"))
 
 
+def q_flatten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-10 in table form: the same text as ``q_flatten_chat`` without
+    gathering a conversation's messages into one array first."""
+    return normalize.flatten_turns(X.table(spark, sf_dir, "conversations"))
+
+
 def q_completion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = X.chat_rows(spark, sf_dir)
     text = completion_text("messages", chats.schema["messages"].dataType)

@@ -334,6 +334,7 @@ ORACLE: dict[str, str] = {
 SELECT variant, count(*) AS n, {r6('avg(reward)')} AS mean_reward, {r6('min(reward)')} AS min_reward, {r6('max(reward)')} AS max_reward
 FROM vscored GROUP BY variant""",
     "q_flatten_chat": f"WITH {CHATS}\nSELECT conv_id, {_flat_chat()} AS prompt FROM chats GROUP BY conv_id",
+    "q_flatten_turns": f"WITH {CHATS}\nSELECT conv_id, {_flat_chat()} AS prompt FROM chats GROUP BY conv_id",
     "q_completion_text": f"WITH {CHATS}\nSELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS completion_text FROM chats GROUP BY conv_id",
     "q_prompt_reference": f"WITH {RAW_EXAMPLES}\nSELECT doc_id, {_prompt_sql()} AS prompt, coalesce(reference, answer, chosen) AS reference FROM raw",
     "q_label_sentences": f"WITH {SENTENCES}\nSELECT doc_id, text, reasoning, sentiment, {r6('confidence')} AS confidence, source FROM sentences",

@@ -110,3 +110,15 @@ def test_format_chart_answers(spark):
     assert rows[0].messages[1].content[0].image == "i1" and rows[0].messages[1].content[1].text == "q1"
     s = spark.createDataFrame([("i", "q", "yes")], "image string, query string, label string")
     assert render.format_chart(s).first().messages[2].content[0].text == "yes"
+
+
+def test_flatten_turns_matches_array_form(spark):
+    from gradewell.plans import fixtures as X
+    from conftest import SF_SMALL
+
+    turns = X.table(spark, SF_SMALL, "conversations")
+    chats = X.chat_rows(spark, SF_SMALL)
+    array_form = {r.conv_id: r.p for r in chats.select("conv_id", flatten_chat("messages", chats.schema["messages"].dataType).alias("p")).collect()}
+    for bucket in (1, 3, 256):
+        table_form = {r.conv_id: r.prompt for r in normalize.flatten_turns(turns, bucket_turns=bucket).collect()}
+        assert table_form == array_form
