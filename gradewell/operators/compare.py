@@ -95,6 +95,12 @@ def with_previews(df: DataFrame, cols=("base_output", "lora_output"), n: int = K
     return out
 
 
+def preview_rows(df: DataFrame, key: str, n: int = K.PREVIEW_ROWS, cols=("base_output", "lora_output")) -> DataFrame:
+    """O-29 as the reference shows it: previews of the first n prompts by key
+    (a top-n report; the limit is the feature)."""
+    return with_previews(df, cols).orderBy(key).limit(n)
+
+
 def number_results(
     outputs: DataFrame,
     order_by: list[str],

@@ -47,6 +47,25 @@ def read_examples(
     return df
 
 
+LABELLED_SCHEMA = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("label", T.IntegerType())])
+
+
+def read_labelled_sentences(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """O-2's source: (sentence, label) rows; a load failure only warns and
+    gives no rows, so the example assembly falls back to synthetic rows."""
+    import logging
+
+    try:
+        df = spark.read.format(fmt).load(path)
+        missing = [c for c in ("sentence", "label") if c not in df.columns]
+        if missing:
+            raise ValueError(f"missing columns {missing}")
+        return df
+    except Exception as exc:  # noqa: BLE001 - the reference warns and continues
+        logging.getLogger(__name__).warning("could not load labelled sentences from %s: %s", path, exc)
+        return spark.createDataFrame([], LABELLED_SCHEMA)
+
+
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a permissive read into (good rows, corrupt lines).
 

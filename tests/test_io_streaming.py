@@ -75,6 +75,16 @@ def test_load_splits_by_partition_column(spark, tmp_dir):
     assert "PartitionFilters" in plan and "train_sft" in plan
 
 
+def test_labelled_sentences_load_failure_falls_back(spark, tmp_dir):
+    from gradewell.operators.render import assemble_examples, label_sentences
+    from gradewell.sources.readers import read_labelled_sentences
+
+    missing = read_labelled_sentences(spark, os.path.join(tmp_dir, "nope"))
+    assert missing.count() == 0
+    out = assemble_examples(spark, label_sentences(missing), mode="real")
+    assert out.count() == 3  # nothing loaded -> the synthetic rows
+
+
 def test_read_prompts(spark, tmp_dir):
     assert [r.prompt for r in read_prompts(spark).orderBy("prompt_id").collect()] == list(K.DEFAULT_COMPARISON_PROMPTS)
     path = os.path.join(tmp_dir, "prompts.txt")

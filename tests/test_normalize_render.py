@@ -122,3 +122,12 @@ def test_flatten_turns_matches_array_form(spark):
     for bucket in (1, 3, 256):
         table_form = {r.conv_id: r.prompt for r in normalize.flatten_turns(turns, bucket_turns=bucket).collect()}
         assert table_form == array_form
+
+
+def test_preview_rows_first_five(spark):
+    from gradewell.operators.compare import preview_rows
+
+    df = spark.createDataFrame([(i, "b" * 200, "l") for i in range(9)], "k int, base_output string, lora_output string")
+    rows = preview_rows(df, "k").collect()
+    assert [r.k for r in rows] == [0, 1, 2, 3, 4]
+    assert rows[0].base_output_preview == "b" * 160 + "…" and rows[0].lora_output_preview == "l"
