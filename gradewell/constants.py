@@ -171,7 +171,7 @@ END_TOKENS = ("<|end_of_text|>", "<|im_end|>")
 ANSWER_MAX_WORDS = 10
 ANSWER_DIGIT_WINDOW = 5
 ERROR_PREFIX = "ERROR: "
-SUMMARY_TITLE = "SMOLVLM-256M FINETUNED MODEL TEST RESULTS"
+SUMMARY_TITLE = "FINETUNED MODEL TEST RESULTS"  # default; the caller names its model
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES - sampling defaults

@@ -44,14 +44,16 @@ def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.select(*cols).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def summary_lines(results: DataFrame, model: str, adapter: str, output_dir: str) -> DataFrame:
+def summary_lines(
+    results: DataFrame, model: str, adapter: str, output_dir: str, title: str = K.SUMMARY_TITLE
+) -> DataFrame:
     """O-55 as a frame of (order, text): a header with the sample count, then
     one block per sample numbered ``sample_id + 1`` with two digits."""
     total = results.agg(F.count(F.lit(1)).alias("n"))
     header = total.select(
         F.lit(-1).cast("long").alias("_gw_order"),
         F.concat(
-            F.lit(K.SUMMARY_TITLE + "\n" + "=" * 50 + "\n\n"),
+            F.lit(title + "\n" + "=" * 50 + "\n\n"),
             F.lit(f"Model: {model}\nAdapter: {adapter}\n"),
             F.lit("Total samples processed: "),
             F.col("n").cast("string"),
@@ -79,10 +81,18 @@ def summary_lines(results: DataFrame, model: str, adapter: str, output_dir: str)
     return header.unionByName(blocks)
 
 
-def write_summary(results: DataFrame, path: str, model: str, adapter: str, output_dir: str, mode: str = "overwrite") -> None:
+def write_summary(
+    results: DataFrame,
+    path: str,
+    model: str,
+    adapter: str,
+    output_dir: str,
+    mode: str = "overwrite",
+    title: str = K.SUMMARY_TITLE,
+) -> None:
     """O-55: the summary as text, header first, blocks in sample order
     (range-partitioned sort, so files are in order without one task)."""
-    lines = summary_lines(results, model, adapter, output_dir)
+    lines = summary_lines(results, model, adapter, output_dir, title)
     lines.repartitionByRange("_gw_order").sortWithinPartitions("_gw_order").select("value").write.mode(mode).option(
         "lineSep", "\n"
     ).text(path)
