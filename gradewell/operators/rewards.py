@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.numeric import (
     calibration,
-    label_probabilities,
     parse_python_float,
     softmax,
     uniform_probabilities,
