@@ -67,18 +67,16 @@ def group_advantage(
     if materialize:
         scores = reliable_checkpoint(scores)
     stats = scores.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_gw_n"),
         F.avg(reward).alias("_gw_mean"),
-        F.stddev_samp(reward).alias("_gw_std"),
-        F.min(reward).alias("_gw_min"),
-        F.max(reward).alias("_gw_max"),
+        (F.stddev_samp(reward) + F.lit(eps)).alias("_gw_den"),
+        ((F.count(F.lit(1)) <= 1) | (F.min(reward) == F.max(reward))).alias("_gw_flat"),
     )
-    flat = (F.col("_gw_n") <= 1) | (F.col("_gw_min") == F.col("_gw_max"))
-    adv = (F.col(reward) - F.col("_gw_mean")) / (F.col("_gw_std") + F.lit(eps))
+    # narrow stats side (key, mean, std + eps, flag): broadcast while it fits
+    adv = (F.col(reward) - F.col("_gw_mean")) / F.col("_gw_den")
     return (
         scores.join(stats, group, "inner")
-        .withColumn(out, F.when(flat, F.lit(0.0)).otherwise(adv))
-        .drop("_gw_n", "_gw_mean", "_gw_std", "_gw_min", "_gw_max")
+        .withColumn(out, F.when(F.col("_gw_flat"), F.lit(0.0)).otherwise(adv))
+        .drop("_gw_mean", "_gw_den", "_gw_flat")
     )
 
 
@@ -96,15 +94,18 @@ def best_of_group(
     group is sorted or buffered whole.
     """
     carry = list(carry or [])
+    types = dict(scores.dtypes)
     rank = F.struct(
         round6(F.col(reward)).alias("_r"),
         *[(-F.col(k)).alias(f"_k{i}") for i, k in enumerate(tie_keys)],
-        *[F.col(c).alias(f"_c_{c}") for c in [reward] + tie_keys + carry],
+        *[F.col(c).alias(f"_c_{c}") for c in [reward] + carry],
     )
     best = scores.groupBy(group).agg(F.max(rank).alias("_gw_best"), F.count(F.lit(1)).alias("n_generations"))
+    # tie keys are numeric and stored negated; negating again gives them back
     return best.select(
         F.col(group),
-        *[F.col(f"_gw_best._c_{c}").alias(c) for c in tie_keys + carry],
+        *[(-F.col(f"_gw_best._k{i}")).cast(types[k]).alias(k) for i, k in enumerate(tie_keys)],
+        *[F.col(f"_gw_best._c_{c}").alias(c) for c in carry],
         F.col(f"_gw_best._c_{reward}").alias(reward),
         F.col("n_generations"),
     )

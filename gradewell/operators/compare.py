@@ -108,6 +108,7 @@ def number_results(
     status: str = "processing_status",
     answer: str = "model_answer",
     error: str = "error_message",
+    max_samples: int | None = None,
 ) -> DataFrame:
     """O-56: ``dataset_index`` = position among all samples, ``sample_id`` =
     position among samples whose image resolved (skipped ones take no
@@ -116,11 +117,15 @@ def number_results(
     ``order_by`` is the sample key (unique). Both positions are computed on
     the narrow key frame (keys + one flag), so only that is range-shuffled and
     checkpointed; the wide outputs are joined to their numbers once.
+    ``max_samples`` stops after that many processed samples (skipped ones do
+    not count), as the evaluation's sample limit does.
     """
     keys = outputs.select(*[F.col(k) for k in order_by], F.col(resolvable).isNotNull().alias("_gw_ok"))
     positions, _ = with_row_index(keys, order_by, "dataset_index", count=False)
     kept = positions.filter(F.col("_gw_ok")).select(*order_by, "dataset_index")
     numbers, _ = with_row_index(kept, ["dataset_index"], "sample_id", count=False)
+    if max_samples is not None:
+        numbers = numbers.filter(F.col("sample_id") < max_samples)
     numbered = outputs.filter(F.col(resolvable).isNotNull()).join(numbers, order_by, "inner")
     is_error = F.col(status) == "error"
     return numbered.withColumn(

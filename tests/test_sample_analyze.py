@@ -124,3 +124,17 @@ def test_reward_summary_rollup_and_cube(spark):
     assert len(cube) == 3 + 2 + 2 + 1
     total = [r for r in cube if r.is_total == 3][0]
     assert total.n == 3 and total.mean_reward == 0.5 and total.gate_rate == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_number_results_skips_and_limit(spark):
+    from gradewell.operators.compare import number_results
+
+    rows = [(i, None if i in (1, 4) else f"img/{i}.png", "error" if i == 3 else "success", "a", "boom" if i == 3 else None) for i in range(8)]
+    df = spark.createDataFrame(rows, "k int, image_path string, processing_status string, model_answer string, error_message string")
+    out = {r.k: r for r in number_results(df, ["k"]).collect()}
+    assert sorted(out) == [0, 2, 3, 5, 6, 7]
+    assert [out[k].sample_id for k in (0, 2, 3, 5, 6, 7)] == [0, 1, 2, 3, 4, 5]
+    assert [out[k].dataset_index for k in (0, 2, 3)] == [0, 2, 3]
+    assert out[3].model_answer == "ERROR: boom"
+    limited = number_results(df, ["k"], max_samples=3).collect()
+    assert sorted(r.k for r in limited) == [0, 2, 3]
