@@ -55,22 +55,6 @@ def extract_number(c: Column | str) -> Column:
     return F.when(found != "", found)
 
 
-def count_occurrences(c: Column | str, needle: str) -> Column:
-    """Non-overlapping, case-sensitive occurrences of a literal."""
-    c = _col(c)
-    removed = F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))
-    return (removed / F.lit(len(needle))).cast("int")
-
-
-def occurs_once(c: Column | str, needle: str) -> Column:
-    """Exactly one occurrence; the cheap ``contains`` test runs first and the
-    count compares UTF-8 byte lengths (O(1), no character walk)."""
-    c = _col(c)
-    width = len(needle.encode("utf-8"))
-    removed = F.octet_length(c) - F.octet_length(F.replace(c, F.lit(needle), F.lit("")))
-    return c.contains(needle) & (removed == F.lit(width))
-
-
 # Non-ASCII letters that Python's case-insensitive matching equates with an
 # ASCII letter (dotless/dotted i, long s, Kelvin sign). Listing them in
 # character classes makes ASCII-only (?i) exact, and faster than (?iu).
@@ -115,28 +99,6 @@ def news_from_prompt(c: Column | str) -> Column:
     return text_after(F.coalesce(_col(c), F.lit("")), K.NEWS_PREFIX)
 
 
-def contains_term(lowered: Column, term: str) -> Column:
-    """Substring test (``contains`` scans bytes; about 4x cheaper than ``instr``)."""
-    return lowered.contains(term)
-
-
-def count_terms(lowered: Column, terms) -> Column:
-    """Number of distinct lexicon terms that occur as substrings (code-generated sum)."""
-    total = None
-    for term in terms:
-        hit = contains_term(lowered, term).cast("int")
-        total = hit if total is None else total + hit
-    return total
-
-
-def any_term(lowered: Column, terms) -> Column:
-    result = None
-    for term in terms:
-        hit = contains_term(lowered, term)
-        result = hit if result is None else (result | hit)
-    return result
-
-
 def extract_answer(c: Column | str) -> Column:
     """O-28: short answer from a raw generation.
 
