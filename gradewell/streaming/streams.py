@@ -23,6 +23,21 @@ def _start(df: DataFrame, sink_path: str, checkpoint: str, fmt: str, available_n
     return writer.start(sink_path)
 
 
+def stream_transform(
+    stream: DataFrame,
+    transform,
+    sink_path: str,
+    checkpoint: str,
+    fmt: str = "parquet",
+    available_now: bool = False,
+    query_name: str | None = None,
+) -> StreamingQuery:
+    """Any per-row batch operator (DataFrame -> DataFrame: projections,
+    filters, stream-static joins) applied to arriving files, e.g.
+    ``render.format_chart`` for chart training rows (O-57)."""
+    return _start(transform(stream), sink_path, checkpoint, fmt, available_now, query_name)
+
+
 def stream_normalise(
     stream: DataFrame,
     sink_path: str,

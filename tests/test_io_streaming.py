@@ -156,3 +156,16 @@ def test_stream_rewards_equals_batch(spark, tmp_dir):
     streamed = sorted((r.pair_id, round(r.reward, 9)) for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
     batch = sorted((r.pair_id, round(r.reward, 9)) for r in rewards.score_verifiable(spark.read.schema(schema).json(src), refs, "pair_id").collect())
     assert streamed == batch == [(1, 1.0), (2, 0.2)]
+
+
+def test_stream_chart_rows_equal_batch(spark, tmp_dir):
+    from gradewell.operators.render import format_chart
+    from gradewell.streaming.streams import stream_transform
+
+    src = os.path.join(tmp_dir, "charts")
+    _write_lines(os.path.join(src, "1.json"), [json.dumps({"image": "a.png", "query": "q?", "label": ["x", "y"]}), json.dumps({"image": "b.png", "query": "r?", "label": []})])
+    schema = "image string, query string, label array<string>"
+    q = stream_transform(stream_examples(spark, src, schema), format_chart, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"), available_now=True)
+    q.awaitTermination(120)
+    flat = lambda df: sorted((r.images[0], r.messages[2].content[0].text) for r in df.collect())
+    assert flat(spark.read.parquet(os.path.join(tmp_dir, "out"))) == flat(format_chart(spark.read.schema(schema).json(src))) == [("a.png", "x"), ("b.png", None)]
