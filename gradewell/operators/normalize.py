@@ -66,7 +66,8 @@ def synthesize_prompt(df: DataFrame, combine: bool = False) -> Column:
             col = F.col(name)
             options.append(F.when(_truthy(col, schema[name]), col.cast("string")))
     for name in K.CHAT_FIELDS:
-        if name in schema:
+        # a chat that is not a list gives no prompt (only lists are flattened)
+        if name in schema and isinstance(schema[name], T.ArrayType):
             col = F.col(name)
             flat = flatten_chat(col, schema[name])
             options.append(F.when(_truthy(col, schema[name]) & (F.length(flat) > 0), flat))

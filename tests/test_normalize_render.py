@@ -131,3 +131,8 @@ def test_preview_rows_first_five(spark):
     rows = preview_rows(df, "k").collect()
     assert [r.k for r in rows] == [0, 1, 2, 3, 4]
     assert rows[0].base_output_preview == "b" * 160 + "…" and rows[0].lora_output_preview == "l"
+
+
+def test_non_list_chat_field_is_skipped(spark):
+    df = spark.createDataFrame([("{\"role\": \"user\"}", "ctx")], "messages string, context string")
+    assert normalize.to_prompt_reference(df).first().prompt == "ctx"
