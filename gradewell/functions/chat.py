@@ -75,6 +75,12 @@ def completion_text(c: Column | str, c_type: T.DataType) -> Column:
         names = c_type.fieldNames()
         options = [c[n].cast("string") for n in ("content", "text") if n in names]
         return F.coalesce(*options, F.lit("")) if options else F.lit("")
+    if isinstance(c_type, T.MapType):
+        return F.coalesce(
+            F.try_element_at(c, F.lit("content")).cast("string"),
+            F.try_element_at(c, F.lit("text")).cast("string"),
+            F.lit(""),
+        )
     return c.cast("string")
 
 

@@ -136,3 +136,9 @@ def test_preview_rows_first_five(spark):
 def test_non_list_chat_field_is_skipped(spark):
     df = spark.createDataFrame([("{\"role\": \"user\"}", "ctx")], "messages string, context string")
     assert normalize.to_prompt_reference(df).first().prompt == "ctx"
+
+
+def test_completion_text_from_map(spark):
+    df = spark.createDataFrame([({"text": "t"},), ({"content": "c", "text": "t"},), ({},)], "m map<string,string>")
+    got = [r[0] for r in df.select(completion_text("m", df.schema["m"].dataType)).collect()]
+    assert got == ["t", "c", ""]
