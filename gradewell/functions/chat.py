@@ -59,7 +59,7 @@ def completion_text(c: Column | str, c_type: T.DataType) -> Column:
     """O-13: completion value as text; the shape is read from the schema.
 
     string -> as is; list of messages -> their ``content`` joined by newline;
-    struct -> ``content``, else ``text``.
+    struct or map -> ``content``, else ``text``.
     """
     c = _col(c)
     if isinstance(c_type, T.StringType):
