@@ -258,6 +258,12 @@ def q_reward_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_reward_summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-50 with ``cube`` over sentiment and gate (every combination + total)."""
+    scored = _finance(spark, sf_dir)
+    return analyze.reward_summary(scored, ["sentiment", "gate"], "finance_reward", ["calibration"], grouping="cube")
+
+
 # ------------------------------------------------------------- comparison / evaluation
 
 

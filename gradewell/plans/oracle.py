@@ -408,6 +408,11 @@ SELECT sentiment, count(*) AS n, {r6('avg(finance_reward)')} AS mean_reward, {r6
   {r6('avg(logic)')} AS mean_logic, {r6('avg(context)')} AS mean_context, {r6('avg(calibration)')} AS mean_calibration,
   {r6('avg(direction)')} AS mean_direction, CAST(grouping(sentiment) AS INTEGER) AS is_total
 FROM fin GROUP BY ROLLUP (sentiment)""",
+    "q_reward_summary_cube": f"""WITH {FINANCE}
+SELECT sentiment, gate, count(*) AS n, {r6('avg(finance_reward)')} AS mean_reward, {r6('min(finance_reward)')} AS min_reward,
+  {r6('max(finance_reward)')} AS max_reward, {r6('avg(gate)')} AS gate_rate, {r6('avg(calibration)')} AS mean_calibration,
+  CAST(grouping(sentiment, gate) AS INTEGER) AS is_total
+FROM fin GROUP BY CUBE (sentiment, gate)""",
     "q_compare_variants": f"WITH {VARIANTS}\nSELECT doc_id, prompt, base_output, lora_output, base_output <> lora_output AS changed FROM cmp",
     "q_preview": f"WITH {VARIANTS}\nSELECT doc_id, {_preview('base_output')} AS base_output_preview, {_preview('lora_output')} AS lora_output_preview FROM cmp",
     "q_extract_answer": f"WITH {CHART_OUT}\nSELECT doc_id, model_answer FROM answers",
