@@ -351,6 +351,17 @@ def total_reward(gate: Column | str, finance: Column | str, gate_weight: float =
 Predictor = Callable[[list[str]], list[list[float]]]
 
 
+def _ship_by_value() -> None:
+    """Serialise this package's functions by value for Python workers, so a
+    predictor defined here runs even where the package is not installed on
+    the executors (it only has to be importable on the driver)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
+
 def score_teacher(
     df: DataFrame,
     text: str,
@@ -367,6 +378,7 @@ def score_teacher(
     get 1/n each. The model is built once per task by ``predictor_factory``
     and fed Arrow batches through ``mapInPandas``.
     """
+    _ship_by_value()
     distinct = df.select(F.col(text).alias("text")).distinct()
     n = len(labels)
     uniform = [1.0 / n] * n
