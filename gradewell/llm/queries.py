@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, secret_scan, token_counts, token_store
+from gradewell.llm import bpe, line_dedup, secret_scan, simhash, token_counts, token_store
 from gradewell.llm.common import shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,12 +22,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, STORE_END_ID)
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = shared_path(spark, "flat-tokens")
@@ -40,7 +52,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
+    "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
 }
 ORACLE: dict[str, str] = {}
