@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, line_dedup, secret_scan, simhash, token_counts, token_store
-from gradewell.llm.common import shared_path, table
+from gradewell.llm import bpe, language_id, line_dedup, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm.common import id_crc, shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.read_tokens(spark, path))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc() % 4 == 2
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -49,12 +57,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc() % 5 == 0
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, model, "score")
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_store": op5_token_store,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
