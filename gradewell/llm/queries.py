@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, language_id, line_dedup, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm import bpe, language_id, line_dedup, quality, secret_scan, simhash, token_counts, token_store, toxicity
 from gradewell.llm.common import id_crc, shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = id_crc() % 5 == 0
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
     "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE: dict[str, str] = {}
