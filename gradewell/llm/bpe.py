@@ -331,7 +331,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "bpe") ->
         memo = Memo(Codec(json.loads(spec.value)))
         for texts in batches:
             both = list(memo.of(texts))
-            yield pd.DataFrame({"ids": [np.array(i.split(), np.int32) for i, _ in both], "decoded": [d for _, d in both]})
+            yield pd.DataFrame({"ids": [np.fromstring(i, np.int32, sep=" ") for i, _ in both], "decoded": [d for _, d in both]})
 
     return docs.withColumn(into, F.pandas_udf(run, "ids array<int>, decoded string")(F.col(text)))
 

@@ -18,7 +18,7 @@ CENTROIDS = 4  # clusters per language
 PER_LANGUAGE = 600  # training documents per language, at most about
 LANGUAGES = 64  # languages learned, the most frequent ones
 SHARPNESS = 20.0  # of the softmax over languages that gives the score
-SLACK = 0.5  # a text is rejected under this share of the least training cosine
+SLACK = 0.3  # a text is rejected under this share of the least training cosine
 MULTIPLIER = np.uint32(2654435761)
 
 

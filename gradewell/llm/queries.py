@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, language_id, line_dedup, quality, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm import bpe, decontaminate, language_id, line_dedup, quality, secret_scan, simhash, token_counts, token_store, toxicity
 from gradewell.llm.common import id_crc, shared_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 STORE_END_ID = 2
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -71,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe": op3_bpe,
     "op4_line_dedup": op4_line_dedup,
