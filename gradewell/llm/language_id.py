@@ -19,6 +19,7 @@ PER_LANGUAGE = 600  # training documents per language, at most about
 LANGUAGES = 64  # languages learned, the most frequent ones
 SHARPNESS = 20.0  # of the softmax over languages that gives the score
 SLACK = 0.3  # a text is rejected under this share of the least training cosine
+GUARD = 40  # trigrams; the distance of a shorter text says too little
 MULTIPLIER = np.uint32(2654435761)
 
 
@@ -54,7 +55,8 @@ class Model:
         np.maximum.at(cosine, self.owner, self.centroids @ self.vector(counts))
         best = int(cosine.argmax())
         share = np.exp(SHARPNESS * (cosine - cosine[best]))
-        far = cosine[best] < SLACK * self.least[size_class(counts.sum())]
+        n = counts.sum()
+        far = n >= GUARD and cosine[best] < SLACK * self.least[size_class(n)]
         return self.languages[best], float(1 / share.sum()), bool(far)
 
 
