@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +24,12 @@ from gradewell.llm.common import small_batches
 WORD_END = "</w>"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 # Fixed value: the split pattern of the vocabulary file's pre-tokenizer.
+# It splits words of plain letters here; other texts go to the library's own
+# normaliser and pre-tokenizer, whose Unicode tables may be of another version.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER = np.int64(1 << 40)
 CACHED = 300_000  # chunks a task remembers, and as many words
+PLAIN = regex.compile(r"[\x00-\u024f]*+")
 SHORT = 48  # symbols up to which exact merging scans instead of using a heap
 
 
@@ -47,8 +49,11 @@ class Codec:
 
     def __init__(self, spec: dict):
         model = spec["model"]
-        vocab, alphabet = model["vocab"], byte_alphabet()
-        code = {c: b for b, c in enumerate(alphabet)}
+        vocab = model["vocab"]
+        self.code = code = {c: b for b, c in enumerate(byte_alphabet())}
+        self.library = None
+        self.front = {"version": "1.0", "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.front |= {k: spec[k] for k in ("normalizer", "pre_tokenizer")}
         size = max(vocab.values()) + 1
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
@@ -254,10 +259,15 @@ class Codec:
         return out + self._words(chunk[at:])
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
-            # the final form of sigma is no special case here
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
+        if PLAIN.fullmatch(text):
+            return self.words.findall(text.lower())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(json.dumps(self.front))
+        normal = self.library.normalizer.normalize_str(text)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(map(self.code.__getitem__, piece)).decode() for piece, _ in pieces]
 
 
 def chunks(text: str) -> list[str]:
@@ -310,7 +320,8 @@ def load_spec(path: str) -> dict:
     """The parts of a tokenizers file that encoding needs, read on the driver."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    return {"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec["added_tokens"]}
+    kept = {k: spec[k] for k in ("added_tokens", "normalizer", "pre_tokenizer")}
+    return kept | {"model": {k: spec["model"][k] for k in ("vocab", "merges")}}
 
 
 def _shared_spec(docs: DataFrame, path: str):
