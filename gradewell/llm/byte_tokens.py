@@ -13,9 +13,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHED = 300_000  # chunks a task remembers
+CACHED = 600_000  # chunks a task remembers
 # a space that the chunk rule does not cover: such texts are encoded in whole
 ODD_SPACE = re.compile(r" (?=\s|$)")
+# After a letter or digit, a run of these to the chunk's end is a piece of its own.
+TAIL = ".,;:!?#$%&*|)"
 
 
 class Encoder:
@@ -32,43 +34,50 @@ class Encoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.size[i] = len(token)  # a character of a token stands for a byte
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # chunks that follow a space, without it
+        self.tails: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _learn(self, wanted: set[str]) -> None:
         if len(self.known) + len(wanted) > CACHED:
             self.known = {c: k for c, k in self.known.items() if c in wanted}
-        new = [c for c in wanted if c not in self.known]
-        spaced = [c for c in new if c[:1] == " "]
-        if spaced:
-            ids = np.array(self._ids(["".join(spaced)])[0], "<u4")
-            ends = np.cumsum(self.size[ids])
-            bounds = np.cumsum([len(c.encode()) for c in spaced])
-            at = np.searchsorted(ends, bounds) + 1
-            raw, stops = ids.tobytes(), (at * 4).tolist()
-            for c, a, b in zip(spaced, [0, *stops[:-1]], stops):
-                self.known[c] = raw[a:b]
-        bare = [c for c in new if c[:1] != " "]
-        for c, ids in zip(bare, self._ids(bare)):
-            self.known[c] = np.array(ids, "<u4").tobytes()
+        known = self.known
+        new = wanted.difference(known)
+        cut = [(c, base) for c in new if (base := c.rstrip(TAIL)) != c and base and base[-1].isalnum()]
+        fresh = list(new.difference([c for c, _ in cut]).union([b for _, b in cut]).difference(known))
+        if fresh:
+            text = " " + " ".join(fresh)
+            raw = self._ids([text])[0]
+            ends = np.cumsum(self.size[np.frombuffer(raw, "<u4")])
+            # a chunk ends where the next one's space begins
+            spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            stops = 4 * (np.searchsorted(ends, np.append(spaces[1:], ends[-1])) + 1)
+            starts = np.append(0, stops[:-1])
+            known.update(zip(fresh, map(raw.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
+        if cut:
+            unseen = list({c[len(b) :] for c, b in cut}.difference(self.tails))
+            self.tails.update(zip(unseen, self._ids(unseen)))
+            for c, base in cut:
+                known[c] = known[base] + self.tails[c[len(base) :]]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         texts = [t or "" for t in texts]
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if ODD_SPACE.search(t):
-                parts.append(None)
-            else:
-                own = t.split(" ")
-                own[1:] = [" " + c for c in own[1:]]
-                parts.append(own)
-        self._learn({c for p in parts if p for c in p})
-        odd = iter(self._ids([t for t, p in zip(texts, parts) if p is None]))
-        known = self.known.__getitem__
-        return [b"".join(map(known, p)) if p is not None else np.array(next(odd), "<u4").tobytes() for p in parts]
+        # the first chunk has no space before it, so it is encoded on its own
+        parts = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        alone = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts)]))
+        for p in parts:
+            if p:
+                p[0] = ""
+        wanted = set().union(*[p for p in parts if p])
+        wanted.discard("")
+        self._learn(wanted)
+        known = self.known
+        known[""] = b""
+        return [next(alone) + b"".join(map(known.__getitem__, p or ())) for p in parts]
 
 
 def read_spec(path: str) -> str:
