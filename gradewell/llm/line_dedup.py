@@ -149,8 +149,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
         for texts, dropped in batches:
             out = []
             for text, gone in zip(texts, dropped):
-                if gone is None or not len(gone):
-                    out.append((text or "", 0))
+                text = text or ""
+                if gone is None:
+                    out.append((text, 0))
                     continue
                 gone = set(map(bytes, gone))
                 drop = {i for i, k in line_keys(text, min_chars) if xxhash.xxh3_128_digest(k) in gone}
