@@ -52,13 +52,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     path = shared_path(spark, "flat-tokens")
-    token_counts.write_flat(docs, path, BYTE_BPE)
-    counts = token_counts.count_tokens(spark, path)
-    return counts.join(token_counts.document_index(docs), "doc_index").select(
-        "doc_id", "doc_index", "start", "n_tokens"
-    )
+    token_counts.write_flat(table(spark, sf_dir, "documents"), path, BYTE_BPE)
+    return token_counts.count_tokens(spark, path)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

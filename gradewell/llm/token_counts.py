@@ -1,7 +1,7 @@
 """Token counts by a separator scan of flat token files.
 
-A flat file holds little-endian unsigned 32-bit ids and nothing else: no
-index, no lengths. Each block is searched for the end-of-document id with
+A flat file holds ids of a fixed width and nothing else: no index, no lengths,
+no document ids. Each block is searched for the end-of-document id with
 numpy; prefix sums over blocks, then over files, give every block its place,
 and a prefix maximum gives it the end of the document before its first one.
 """
@@ -19,20 +19,25 @@ from gradewell.llm.byte_tokens import Encoder, read_spec
 from gradewell.llm.common import small_batches, stored
 from gradewell.llm.token_store import in_order
 
-# The end-of-document id of files written here: beyond the vocabulary, so no
-# text yields it, and its four bytes are text that Spark's writer can add.
-END_ID = 1 << 16
+# Ids as big-endian unsigned 16-bit integers. The end-of-document id is beyond
+# the vocabulary (50,257 ids), so no text yields it, and its two bytes are a
+# character of UTF-8 that Spark's text writer can add.
+KIND = ">u2"
+END_ID = 0xC580
 BLOCK_IDS = 1 << 20
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
-    """Ids of every text, ascending by doc_id, each document closed by
-    ``end_id``, as flat files. Each byte of ``end_id`` must be under 128.
+def write_flat(
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, kind: str = KIND, ordered: bool = False
+) -> None:
+    """Ids of every text as flat files, each document closed by ``end_id``,
+    whose bytes must be valid UTF-8. Null texts are the end id alone.
 
     Spark's text writer does the writing: a document's bytes are a line, the
-    end id is the line separator.
+    end id is the line separator. Documents are in the order of the rows, or
+    with ``ordered`` ascending by doc_id, which shuffles the texts.
     """
-    closing = int(end_id).to_bytes(4, "little").decode("ascii")
+    closing = np.array(end_id, kind).tobytes().decode()
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
@@ -40,34 +45,41 @@ def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = EN
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(spec.value, special=False)
-            raw = encoder.encode(batch.column("text").to_pylist())
+            each = encoder.encode(batch.column("text").to_pylist())
+            raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in each]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["value"])
 
-    rows = in_order(docs).select("text").mapInArrow(run, "value binary")
+    rows = (in_order(docs) if ordered else docs).select("text").mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", closing).text(path)
 
 
-def scan_blocks(spark: SparkSession, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+def scan_blocks(
+    spark: SparkSession, path: str, end_id: int = END_ID, kind: str = KIND, block_ids: int = BLOCK_IDS
+) -> DataFrame:
     """One row per block: (file, block, size, ends), ``ends`` the places of the
     end id in the block. A file is read by one task, block by block."""
+    schema = pa.schema(
+        [("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content")):
-                buffer = content.as_buffer()
-                ids = np.frombuffer(buffer, "<u4", count=buffer.size // 4)
+                buffer, width = content.as_buffer(), np.dtype(kind).itemsize
+                ids = np.frombuffer(buffer, kind, count=buffer.size // width)
                 for block, at in enumerate(range(0, len(ids), block_ids)):
                     part = ids[at : at + block_ids]
                     row = {"file": file.as_py(), "block": block, "size": len(part)}
                     row["ends"] = np.flatnonzero(part == end_id)
-                    yield pa.RecordBatch.from_pylist([row], schema=kind)
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, "file string, block long, size long, ends array<long>")
 
 
-def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
+def count_tokens(
+    spark: SparkSession, path: str, end_id: int = END_ID, kind: str = KIND, block_ids: int = BLOCK_IDS
+) -> DataFrame:
     """One row per document: doc_index (0 first), start (ids before it) and
     n_tokens (with its end id), over all files in order of their names.
 
@@ -76,7 +88,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids
     no rows. Only block totals go through the windows: one row per file
     through the last one.
     """
-    blocks = stored(scan_blocks(spark, path, end_id, block_ids), "token-blocks")
+    blocks = stored(scan_blocks(spark, path, end_id, kind, block_ids), "token-blocks")
     files = blocks.groupBy("file").agg(
         F.sum("size").alias("size"), F.sum(F.size("ends")).alias("n")
     )
@@ -122,20 +134,3 @@ def count_tokens(spark: SparkSession, path: str, end_id: int = END_ID, block_ids
     )
     tail = totals.where("stop > start").select("doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
     return whole.unionByName(tail)
-
-
-def document_index(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_index): the place of each row in order of doc_id.
-
-    monotonically_increasing_id gives a row's partition and place; adding the
-    sizes of the partitions before it makes that a running number.
-    """
-    keys = ["doc_id", F.xxhash64("text")]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", keys[1].alias("h"))
-    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    numbered = stored(ordered.select("doc_id", F.monotonically_increasing_id().alias("n")), "doc-order").select(
-        "doc_id", F.shiftright("n", 33).alias("part"), F.col("n").bitwiseAND((1 << 33) - 1).alias("place")
-    )
-    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = numbered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(past), F.lit(0)).alias("base"))
-    return numbered.join(bases, "part").select("doc_id", (F.col("base") + F.col("place")).alias("doc_index"))
