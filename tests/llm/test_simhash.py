@@ -1,0 +1,151 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from gradewell.llm import queries, simhash
+from gradewell.llm.components import components
+from pyspark.sql import functions as F
+
+
+def slow_print(text, k=4):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_groups(prints, radius=4):
+    """Component of each fingerprint, by comparing all pairs."""
+    each = sorted(set(prints))
+    parent = {x: x for x in each}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(each):
+        for y in each[i + 1 :]:
+            if (x ^ y).bit_count() <= radius:
+                parent[find(y)] = find(x)
+    return {x: find(x) for x in each}
+
+
+def slow(rows):
+    prints = [slow_print(t) for _, t in rows]
+    group = slow_groups(prints)
+    least = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            least[group[p]] = min(i, least.get(group[p], i))
+    return [(i, p, least.get(group[p])) for (i, _), p in zip(rows, prints)]
+
+
+@pytest.fixture(scope="module")
+def copies(odd_rows):
+    rnd = random.Random(3)
+    rows = list(odd_rows)
+    for g in range(6):
+        base = [f"w{rnd.randrange(9999)}" for _ in range(400)]
+        for c in range(8):
+            words = list(base)
+            for _ in range(c):
+                words[rnd.randrange(len(words))] = "changed"
+            rows.append((1000 + g * 10 + c, " ".join(words)))
+    rows += [(2000 + i, f"short text {i}") for i in range(20)]
+    return rows
+
+
+def key(r):
+    return (r[0] is None, r[0] or 0, r[1:2], r[2] or 0)
+
+
+def test_like_brute_force(documents, copies):
+    frame = documents(copies).withColumnRenamed("source", "fp")
+    got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(frame).collect()]
+    assert sorted(got, key=key) == sorted(slow(copies), key=key)
+    assert len({r[2] for r in got if r[0] and r[0] >= 1000}) < 60
+
+
+def test_query_over_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {tuple(r) for r in queries.op7_simhash(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(i, f"{p:016x}", c) for i, p, c in slow([tuple(r) for r in rows])}
+
+
+@pytest.mark.parametrize(("radius", "n"), [(0, 300), (1, 300), (3, 500), (4, 700), (7, 400)])
+def test_links_like_all_pairs(radius, n):
+    rnd = random.Random(radius)
+    prints = [rnd.getrandbits(64) for _ in range(n // 2)]
+    while len(prints) < n:
+        x = rnd.choice(prints)
+        for _ in range(rnd.randrange(radius + 3)):
+            x ^= 1 << rnd.randrange(64)
+        prints.append(x)
+    prints = sorted(set(prints))
+    cut = sorted(rnd.sample(range(1, len(prints)), 3))
+    parts = [prints[a:b] for a, b in zip([0, *cut], [*cut, len(prints)])]
+    group = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    a, b = simhash.links(np.array(prints, np.uint64), group, radius)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    assert all(any(x in p and y in p for p in map(set, parts)) for x, y in pairs)
+    for part in parts:
+        want = slow_groups(part, radius)
+        parent = {x: x for x in part}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in pairs:
+            if x in parent:
+                parent[find(x)] = find(y)
+        got = {}
+        for x in part:
+            got.setdefault(find(x), set()).add(x)
+        expect = {}
+        for x in part:
+            expect.setdefault(want[x], set()).add(x)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect.values()))
+
+
+@pytest.mark.parametrize("n", [10, 10**6, 10**9, 10**12])
+def test_pieces_catch_every_pair(n):
+    tables = simhash.pieces(n, 4)
+    rnd = random.Random(1)
+    for _ in range(300):
+        bits = set(rnd.sample(range(64), 4))
+        assert any(all(not bits & set(range(f, f + k)) for f, k in t) for t in tables)
+    assert len(simhash.pieces(10, 4)) == 5
+
+
+def test_large_buckets_are_cut(spark, documents, copies, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 5)
+    got = [(r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(documents(copies)).collect()]
+    assert sorted(got, key=key) == sorted(slow(copies), key=key)
+
+
+def test_dedup_leaves_one_of_each(documents, copies):
+    kept = simhash.dedup(documents(copies)).select("doc_id", "text").collect()
+    groups = slow(copies)
+    want = sorted({c for i, _, c in groups if i is not None and c == i})
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == want
+    assert sum(r["doc_id"] is None for r in kept) == 2
+
+
+def test_empty_table(documents):
+    assert simhash.near_duplicates(documents([])).count() == 0
+    assert simhash.dedup(documents([])).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90)], "a long, b long")
+    nodes = spark.range(200).select(
+        F.col("id").alias("node"), F.struct((F.lit(500) - F.col("id")).alias("rank"), F.col("id").alias("node")).alias("label")
+    )
+    got = {r["node"]: r["label"]["node"] for r in components(edges, nodes).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 40), 90: 100, 100: 100}
