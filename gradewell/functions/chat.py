@@ -29,6 +29,21 @@ def _content_text(content: Column, content_type: T.DataType | None) -> Column:
     return F.coalesce(content.cast("string"), F.lit(""))
 
 
+def _field(m: Column, element: T.DataType, name: str) -> Column | None:
+    """A field of a message, or None if its type has no such field."""
+    if isinstance(element, T.StructType):
+        return m[name] if name in element.fieldNames() else None
+    if isinstance(element, T.MapType):
+        return F.try_element_at(m, F.lit(name))
+    return None
+
+
+def _field_type(element: T.DataType, name: str) -> T.DataType | None:
+    if isinstance(element, T.StructType) and name in element.fieldNames():
+        return element[name].dataType
+    return element.valueType if isinstance(element, T.MapType) else None
+
+
 def flatten_chat(
     msgs: Column | str,
     msgs_type: T.DataType | None = None,
@@ -37,19 +52,27 @@ def flatten_chat(
 ) -> Column:
     """O-10: ``role: content`` lines joined by newline and stripped.
 
-    Missing role -> ``user``, missing content -> ''; an empty or null list
-    gives null. ``msgs_type`` is the column's Spark type (from ``df.schema``),
-    needed to tell string content from a list of typed parts.
+    A message may be a struct or a map. Missing role -> ``user``, missing
+    content -> '' (also if the messages have no such field at all; name the
+    fields, such as ``from`` and ``value``, to read others). Messages of any
+    other type, such as plain strings, are lines as they are. An empty or null
+    list gives null. ``msgs_type`` is the column's Spark type (from
+    ``df.schema``); without it the messages are structs of strings.
     """
     msgs = _col(msgs)
-    content_type = None
-    if isinstance(msgs_type, T.ArrayType) and isinstance(msgs_type.elementType, T.StructType):
-        fields = {f.name: f.dataType for f in msgs_type.elementType.fields}
-        content_type = fields.get(content_field)
+    element = msgs_type.elementType if isinstance(msgs_type, T.ArrayType) else None
+    if element is None:
+        text = T.StringType()
+        element = T.StructType([T.StructField(role_field, text), T.StructField(content_field, text)])
 
     def line(m: Column) -> Column:
-        role = F.coalesce(m[role_field].cast("string"), F.lit("user"))
-        return F.concat(role, F.lit(": "), py_strip(_content_text(m[content_field], content_type)))
+        if not isinstance(element, (T.StructType, T.MapType)):
+            return F.coalesce(m.cast("string"), F.lit(""))
+        role, content = _field(m, element, role_field), _field(m, element, content_field)
+        named = F.lit("user") if role is None else F.coalesce(role.cast("string"), F.lit("user"))
+        if content is None:
+            return F.concat(named, F.lit(": "))
+        return F.concat(named, F.lit(": "), py_strip(_content_text(content, _field_type(element, content_field))))
 
     joined = py_strip(F.array_join(F.transform(msgs, line), "\n"))
     return F.when(F.size(msgs) > 0, joined)
@@ -124,8 +147,23 @@ def render_chat(
     msgs: Column | str,
     template: ChatTemplate = CHATML,
     add_generation_prompt: bool = False,
+    msgs_type: T.DataType | None = None,
 ) -> Column:
-    """O-17 for an ``array<struct<role, content>>`` column."""
+    """O-17 for an array of messages. ``msgs_type`` (from ``df.schema``) tells
+    string content from a list of typed parts, whose texts are joined without
+    a separator, as chat templates write them one after the other; parts
+    without text (images) add nothing."""
+    element = msgs_type.elementType if isinstance(msgs_type, T.ArrayType) else None
+    content_type = _field_type(element, "content") if element is not None else None
+
+    def content_of(m: Column) -> Column:
+        if not isinstance(content_type, T.ArrayType):
+            return F.coalesce(m["content"].cast("string"), F.lit(""))
+        part = content_type.elementType
+        has_text = isinstance(part, T.StructType) and "text" in part.fieldNames()
+        texts = F.transform(m["content"], lambda p: p["text"] if has_text else p.cast("string"))
+        return F.coalesce(F.array_join(texts, ""), F.lit(""))
+
     body = F.array_join(
         F.transform(
             _col(msgs),
@@ -133,7 +171,7 @@ def render_chat(
                 F.lit(template.prefix),
                 F.coalesce(m["role"], F.lit("user")),
                 F.lit(template.role_suffix),
-                F.coalesce(m["content"], F.lit("")),
+                content_of(m),
                 F.lit(template.message_suffix),
             ),
         ),

@@ -18,40 +18,38 @@ def next_turn_pairs(
     text: str = "text",
     prompt_role: str = "user",
     answer_role: str = "assistant",
-    consecutive_turns: bool = True,
+    bucket_turns: int = 256,
 ) -> DataFrame:
     """Pair each ``prompt_role`` turn with the next turn when that one is an
-    ``answer_role`` turn: (pair_id, conv_id, turn, prompt, reference).
-
-    With turns numbered without gaps (checked true for the driver data) the
-    next turn is an equi-join on ``(conv, turn + 1)``: both keys are hashed,
-    so one very long conversation spreads over many tasks. Otherwise a
-    ``lead`` window over the conversation is used.
+    ``answer_role`` turn: (conv, turn, prompt, reference), keyed by (conv, turn).
+
+    The next turn is the one with the next larger number, whether or not
+    numbers are missing between them; turns of one number follow each other
+    by role and text. It is looked up by ``lead`` in stretches of
+    ``bucket_turns`` numbers, so a huge conversation spreads over many tasks;
+    the last turn of a stretch takes the first turn of the next stretch,
+    found over one row per stretch.
     """
-    if consecutive_turns:
-        asks = turns.filter(F.col(role) == prompt_role).select(
-            F.col(conv), F.col(turn), (F.col(turn) + 1).alias("_gw_next"), F.col(text).alias("prompt")
-        )
-        answers = turns.filter(F.col(role) == answer_role).select(
-            F.col(conv).alias("_gw_conv"), F.col(turn).alias("_gw_next_turn"), F.col(text).alias("reference")
-        )
-        paired = asks.join(
-            answers,
-            (asks[conv] == answers["_gw_conv"]) & (asks["_gw_next"] == answers["_gw_next_turn"]),
-            "inner",
-        ).drop("_gw_conv", "_gw_next_turn", "_gw_next")
-    else:
-        w = Window.partitionBy(conv).orderBy(turn)
-        paired = (
-            turns.select(
-                F.col(conv), F.col(turn), F.col(role), F.col(text).alias("prompt"),
-                F.lead(role).over(w).alias("_gw_next_role"), F.lead(text).over(w).alias("reference"),
-            )
-            .filter((F.col(role) == prompt_role) & (F.col("_gw_next_role") == answer_role))
-            .drop(role, "_gw_next_role")
-        )
-    return paired.select(
-        (F.col(conv) * 1000 + F.col(turn)).alias("pair_id"), F.col(conv), F.col(turn), "prompt", "reference"
+    rows = turns.select(
+        F.col(conv),
+        F.floor(F.col(turn) / bucket_turns).alias("_gw_b"),
+        F.struct(F.col(turn).alias("n"), F.col(role).alias("role"), F.col(text).alias("text")).alias("_gw_m"),
+    )
+    inside = Window.partitionBy(conv, "_gw_b").orderBy("_gw_m")
+    firsts = rows.groupBy(conv, "_gw_b").agg(F.min("_gw_m").alias("_gw_first"))
+    after = firsts.select(
+        F.col(conv).alias("_gw_conv"),
+        F.col("_gw_b").alias("_gw_bucket"),
+        F.lead("_gw_first").over(Window.partitionBy(conv).orderBy("_gw_b")).alias("_gw_after"),
+    )
+    led = rows.withColumn("_gw_next", F.lead("_gw_m").over(inside))
+    same = F.col(conv).eqNullSafe(F.col("_gw_conv")) & F.col("_gw_b").eqNullSafe(F.col("_gw_bucket"))
+    paired = led.join(after, same, "left").withColumn("_gw_next", F.coalesce("_gw_next", "_gw_after"))
+    return paired.filter((F.col("_gw_m.role") == prompt_role) & (F.col("_gw_next.role") == answer_role)).select(
+        F.col(conv),
+        F.col("_gw_m.n").alias(turn),
+        F.col("_gw_m.text").alias("prompt"),
+        F.col("_gw_next.text").alias("reference"),
     )
 
 

@@ -23,6 +23,7 @@ from ..functions.numeric import (
     softmax,
     uniform_probabilities,
 )
+from ..functions.chat import completion_text
 from ..functions.text import (
     PY_SPACE,
     extract_number,
@@ -70,7 +71,7 @@ def verifiable_reward(completion: Column | str, reference: Column | str | None =
 def score_verifiable(
     completions: DataFrame,
     references: DataFrame | None,
-    key: str,
+    key: str | list[str],
     completion: str = "completion",
     reference: str = "reference",
     out: str = "reward",
@@ -79,13 +80,16 @@ def score_verifiable(
 
     The join is an equi-join (sort-merge or size-checked broadcast, chosen by
     adaptive execution from runtime sizes); a completion without a reference
-    scores without the reference terms.
+    scores without the reference terms. ``key`` is a column or a list of
+    them. A completion may be text or chat-shaped (O-13 gives its text).
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    text = completion_text(completion, completions.schema[completion].dataType)
     if references is None:
-        return completions.withColumn(out, verifiable_reward(completion))
-    refs = references.select(F.col(key), F.col(reference).alias("_gw_ref"))
-    joined = completions.join(refs, key, "left")
-    return joined.withColumn(out, verifiable_reward(completion, "_gw_ref")).drop("_gw_ref")
+        return completions.withColumn(out, verifiable_reward(text))
+    refs = references.select(*keys, F.col(reference).alias("_gw_ref"))
+    joined = completions.join(refs, keys, "left")
+    return joined.withColumn(out, verifiable_reward(text, "_gw_ref")).drop("_gw_ref")
 
 
 # ---------------------------------------------------------------- financial
@@ -318,7 +322,8 @@ def finance_reward(
     """O-41 (+O-34, O-39, O-45): ``gate * (w1 p + w2 bundle + w3 calibration + w4 direction)``.
 
     ``teacher_probs`` is (key, probs) from :func:`teacher_probabilities` or
-    :func:`score_teacher`. The join is a LEFT equi-join on the prompt key; a
+    :func:`with_teacher` (:func:`finance_reward_by_news` does the whole path
+    from a prompt). The join is a LEFT equi-join on the prompt key; a
     prompt without a prediction aligns to 0. Adaptive execution broadcasts the
     prediction side only when its measured size is under the broadcast
     threshold and splits skewed prompt keys otherwise.
@@ -362,38 +367,101 @@ def _ship_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
+def text_key(text: Column | str) -> Column:
+    """A narrow join key of a text: its SHA-256; null for a null or blank one."""
+    t = _col(text)
+    return F.when(t != "", F.sha2(t.cast("binary"), 256))
+
+
 def score_teacher(
     df: DataFrame,
     text: str,
     predictor_factory: Callable[[], Predictor],
     labels=K.TEACHER_LABELS,
-    max_chars: int = K.TEACHER_MAX_CHARS,
+    max_chars: int | None = None,
     batch_size: int = 64,
 ) -> DataFrame:
-    """O-33 with a user model: (text, probs) for every distinct text in ``df``
-    (``probs`` aligned with ``labels``).
-
-    Each distinct text is predicted once (six generations share a prompt), cut
-    to ``max_chars`` before the model; blank texts never reach the model and
-    get 1/n each. The model is built once per task by ``predictor_factory``
-    and fed Arrow batches through ``mapInPandas``.
+    """O-33 with a user model: (text_key, probs) for every distinct text in
+    ``df`` that is not blank (``probs`` aligned with ``labels``).
+
+    Each distinct text is predicted once (six generations share a prompt).
+    Whole texts go to the model; pass ``max_chars`` for a model with a fixed
+    window. Null and blank texts never reach the model nor the shuffle:
+    :func:`with_teacher` gives them 1/n each. The model is built once per task
+    by ``predictor_factory`` and fed Arrow batches through ``mapInPandas``.
     """
     _ship_by_value()
-    distinct = df.select(F.col(text).alias("text")).distinct()
-    n = len(labels)
-    uniform = [1.0 / n] * n
+    some = df.select(F.col(text).alias("text")).filter(F.col("text") != "")
+    distinct = some.groupBy(text_key("text").alias("text_key")).agg(F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = predictor_factory()
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            probs: list[list[float] | None] = [None] * len(texts)
-            todo = [i for i, t in enumerate(texts) if t]  # blank texts never reach the model
-            for lo in range(0, len(todo), batch_size):
-                chunk = todo[lo : lo + batch_size]
-                for i, p in zip(chunk, predict([texts[i][:max_chars] for i in chunk])):
-                    probs[i] = list(p)
-            yield pd.DataFrame({"text": texts, "probs": [p if p is not None else uniform for p in probs]})
-
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("probs", T.ArrayType(T.DoubleType()))])
-    return distinct.mapInPandas(run, schema)
+            probs: list[list[float]] = []
+            texts = [t if max_chars is None else t[:max_chars] for t in pdf["text"]]
+            for lo in range(0, len(texts), batch_size):
+                probs += [list(p) for p in predict(texts[lo : lo + batch_size])]
+            yield pd.DataFrame({"text_key": pdf["text_key"], "probs": probs})
+
+    kind = T.StructType([T.StructField("text_key", T.StringType()), T.StructField("probs", T.ArrayType(T.DoubleType()))])
+    return distinct.mapInPandas(run, kind)
+
+
+def with_teacher(df: DataFrame, text: str, scored: DataFrame, labels=K.TEACHER_LABELS) -> DataFrame:
+    """``df`` with ``probs`` of its texts from :func:`score_teacher`, joined by
+    the texts' digests; a null or blank text gets 1/n each.
+
+    Blank rows have no join key: they are spread by a hash of the row, since
+    one key for all of them would put them in one task.
+    """
+    keyed = df.withColumn("_gw_key", F.coalesce(text_key(text), F.concat(F.lit("blank "), F.xxhash64(*df.columns).cast("string"))))
+    joined = keyed.join(scored.withColumnRenamed("text_key", "_gw_key"), "_gw_key", "left").drop("_gw_key")
+    blank = F.col(text).isNull() | (F.col(text) == "")
+    return joined.withColumn("probs", F.when(blank, uniform_probabilities(labels)).otherwise(F.col("probs")))
+
+
+def finance_reward_by_news(
+    completions: DataFrame,
+    predictor_factory: Callable[[], Predictor],
+    prompt: str = "prompt",
+    completion: str = "completion",
+    key: str = "prompt_id",
+    weights: FinanceWeights = FinanceWeights(),
+    **teacher,
+) -> DataFrame:
+    """The whole reward path: prompt -> news -> teacher model -> reward.
+
+    The news is cut out and scored once per prompt key, and only the narrow
+    (key, probs) meets the generations. Generations of one key share their
+    prompt.
+    """
+    news = completions.groupBy(key).agg(F.any_value(prompt).alias("_gw_prompt"))
+    news = news.select(key, news_from_prompt("_gw_prompt").alias("_gw_news"))
+    probs = with_teacher(news, "_gw_news", score_teacher(news, "_gw_news", predictor_factory, **teacher))
+    return finance_reward(completions.drop(prompt), probs.select(key, "probs"), key, completion, weights=weights)
+
+
+# ---------------------------------------------------------------- several rewards
+
+
+@dataclass(frozen=True)
+class NamedReward:
+    """A reward of the registry: a name and a column over a completion table."""
+
+    name: str
+    column: Callable[[DataFrame], Column]
+    weight: float = 1.0
+
+
+def apply_rewards(df: DataFrame, rewards: list[NamedReward], out: str = "total_reward") -> DataFrame:
+    """Several rewards on one completion table, as a trainer takes a list of
+    callables: a column per reward under its name and their weighted sum, in
+    the order given, in one projection each."""
+    names = [r.name for r in rewards]
+    if len(set(names)) != len(names):
+        raise ValueError(f"reward names must differ: {names}")
+    scored = df.withColumns({r.name: r.column(df) for r in rewards})
+    total = F.lit(0.0)
+    for r in rewards:
+        total = total + F.lit(r.weight) * F.col(r.name)
+    return scored.withColumn(out, total)

@@ -2,10 +2,10 @@
 
 Rows have no position in Spark. Where the reference relies on one, a dense
 row index is built in parallel (never ``row_number()`` over an unpartitioned
-window, which runs in one task): range-partition and sort by the order key,
-tag every row with its partition and in-partition ordinal, checkpoint, add
-the running count of the earlier partitions (a table with one row per
-partition, broadcast back).
+window, which runs in one task): the order keys alone are range-partitioned
+and sorted, numbered inside their partition and checkpointed; the running
+count of the earlier partitions (a table with one row per partition,
+broadcast back) makes the number global, and the rows get it by key.
 """
 
 from __future__ import annotations
@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ensure_checkpoint_dir, reliable_checkpoint
+from ..session import reliable_checkpoint
 
 _PID = "_gw_pid"
 _MID = "_gw_mid"
-_OFF = "_gw_off"
 
 
 def filter_token_len(df: DataFrame, max_len: int = K.MAX_PROMPT_TOKENS, col: str = "token_len") -> DataFrame:
@@ -30,8 +29,13 @@ def filter_token_len(df: DataFrame, max_len: int = K.MAX_PROMPT_TOKENS, col: str
 
 
 def cap(df: DataFrame, n: int, order_by: list[str] | list[Column]) -> DataFrame:
-    """O-21: the first n rows by key; n <= 0 keeps all. Planned as TakeOrderedAndProject
-    (top n per partition, then one small merge)."""
+    """O-21: the first n rows by key; n <= 0 keeps all.
+
+    Planned as TakeOrderedAndProject: top n per partition, then one merge
+    task that holds n rows. Meant for n that one task holds easily (up to
+    some 100,000 rows); for more, filter ``with_row_index`` instead, which
+    sorts keys only and in parallel.
+    """
     if n is None or n <= 0:
         return df
     return df.orderBy(*order_by).limit(n)
@@ -49,45 +53,32 @@ def shuffle_sample(df: DataFrame, n: int, key: str, seed: int = K.DEFAULT_SEED)
 
 
 def with_row_index(
-    df: DataFrame,
-    order_by: list[str],
-    name: str = "row_index",
-    num_partitions: int | None = None,
-    count: bool = True,
+    df: DataFrame, order_by: list[str], name: str = "row_index", count: bool = True
 ) -> tuple[DataFrame, int | None]:
     """Dense 0..n-1 index in ``order_by`` order; returns (frame, row count or
     None when ``count`` is False).
 
-    Work is spread over ``num_partitions`` range partitions (default: as many
-    as the input has, so partitions keep the input's split size at any
-    scale); the only single-task step is a running sum over one row per
-    partition.
+    ``order_by`` must be unique if ``df`` has other columns: these rows get
+    their number by an equi-join on it. Only the keys are range-shuffled and
+    checkpointed, in ``spark.sql.shuffle.partitions`` partitions; the one
+    single-task step is a running sum over a row per partition. Jobs at build
+    time: the checkpoint (with its range sample), and the count if asked for.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if num_partitions is None:
-        num_partitions = max(1, df.rdd.getNumPartitions())
-    keys = [F.col(c) for c in order_by]
-    tagged = (
-        df.repartitionByRange(num_partitions, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-    )
+    ordered = df.select(*order_by).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     # partition numbers and ordinals must be the same for both uses below
-    tagged = reliable_checkpoint(tagged)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_gw_n"))
+    tagged = reliable_checkpoint(ordered.select(*order_by, F.monotonically_increasing_id().alias(_MID)))
+    part = F.shiftright(_MID, 33)
+    counts = tagged.groupBy(part.alias(_PID)).agg(F.count(F.lit(1)).alias("_gw_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col(_PID), F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias(_OFF), F.col("_gw_n")
-    )
+    offsets = counts.select(_PID, F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_off"), "_gw_n")
     total = offsets.agg(F.coalesce(F.sum("_gw_n"), F.lit(0))).first()[0] if count else None
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     indexed = (
-        tagged.join(F.broadcast(offsets.select(_PID, _OFF)), _PID)
-        .withColumn(name, F.col(_OFF) + local)
-        .drop(_PID, _MID, _OFF)
+        tagged.withColumn(_PID, part)
+        .join(F.broadcast(offsets.drop("_gw_n")), _PID)
+        .select(*order_by, (F.col("_gw_off") + F.col(_MID) - F.shiftleft(_PID, 33)).alias(name))
     )
+    if set(df.columns) != set(order_by):
+        indexed = df.join(indexed, order_by)
     return indexed, (int(total) if total is not None else None)
 
 
@@ -138,14 +129,11 @@ def split_by_slices(df: DataFrame, slices: dict[str, str], order_by: list[str],
     """Several O-22 slices of one frame over one shared row index: each row
     once per slice it falls in, labelled with the slice's name in ``split``."""
     indexed, n = with_row_index(df, order_by, name)
-    parts = []
+    inside = []
     for label, spec in slices.items():
         lo, hi = SliceSpec.parse(spec).bounds(n)
-        parts.append(indexed.filter((F.col(name) >= lo) & (F.col(name) < hi)).withColumn("split", F.lit(label)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        inside.append(F.when((F.col(name) >= lo) & (F.col(name) < hi), F.lit(label)))
+    return indexed.withColumn("split", F.explode(F.array_compact(F.array(*inside))))
 
 
 def take_skip_split(
@@ -156,18 +144,25 @@ def take_skip_split(
     estimated_total: int | None = None,
     name: str = "row_index",
 ) -> DataFrame:
-    """O-23: train = first ``int(0.8 * total)`` rows, validation = the next
-    ``int(0.2 * total)``; rows past both are not assigned.
+    """O-23: train = the first ``int(0.8 * total)`` rows, validation = the rest.
 
-    ``total`` is the exact count unless ``estimated_total`` is given (the
-    reference always estimates 1,000, Q-21).
+    ``total`` is the exact count, so every row is assigned and validation
+    takes what rounding leaves over. With ``estimated_total`` (the reference
+    always estimates 1,000, Q-21) validation is the next ``int(0.2 * total)``
+    rows and what follows is not assigned.
     """
     indexed, n = with_row_index(df, order_by, name, count=estimated_total is None)
     total = n if estimated_total is None else estimated_total
     n_train = int(train_fraction * total)
-    n_val = int(validation_fraction * total)
-    split = (
-        F.when(F.col(name) < n_train, F.lit("train"))
-        .when(F.col(name) < n_train + n_val, F.lit("validation"))
-    )
-    return indexed.withColumn("split", split).filter(F.col("split").isNotNull())
+    split = F.when(F.col(name) < n_train, F.lit("train")).otherwise(F.lit("validation"))
+    if estimated_total is not None:
+        indexed = indexed.filter(F.col(name) < n_train + int(validation_fraction * total))
+    return indexed.withColumn("split", split)
+
+
+def three_way_split(train: DataFrame, held_out: DataFrame, order_by: list[str], **kwargs) -> DataFrame:
+    """O-23 in full: train and validation from the train rows by
+    :func:`take_skip_split`, test = all rows of the ``val`` split (their row
+    index is null). One frame labelled by ``split``."""
+    test = held_out.withColumn("split", F.lit("test"))
+    return take_skip_split(train, order_by, **kwargs).unionByName(test, allowMissingColumns=True)

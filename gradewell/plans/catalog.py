@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.chat import completion_text, flatten_chat, token_length
+from ..functions.chat import completion_text, flatten_chat, render_chat, token_length
 from ..functions.numeric import round6
 from ..functions.text import extract_answer, extract_number, news_from_prompt
 from ..operators import analyze, compare, normalize, render, rewards, sample
+from ..session import shared_path
+from ..sinks import writers
+from ..sources import readers
+from ..streaming import streams
 from . import fixtures as X
 
 GEN_KEY = X.GEN_KEY
@@ -27,16 +31,25 @@ GEN_KEY = X.GEN_KEY
 
 def q_verifiable_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     completions, references = X.verifiable_inputs(spark, sf_dir)
-    scored = rewards.score_verifiable(completions, references, "pair_id")
-    return scored.select("pair_id", "variant", round6("reward").alias("reward"))
+    scored = rewards.score_verifiable(completions, references, X.PAIR_KEY)
+    return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
+
+
+def q_verifiable_reward_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-30 over chat-shaped completions (a list of messages), through O-13."""
+    completions, references = X.verifiable_inputs(spark, sf_dir)
+    message = F.struct(F.lit("assistant").alias("role"), F.col("completion").alias("content"))
+    chats = completions.withColumn("completion", F.array(message))
+    scored = rewards.score_verifiable(chats, references, X.PAIR_KEY)
+    return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
 
 
 def q_extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-27 on both sides of the completion/reference join."""
     completions, references = X.verifiable_inputs(spark, sf_dir)
-    joined = completions.join(references, "pair_id", "left")
+    joined = completions.join(references, X.PAIR_KEY, "left")
     return joined.select(
-        "pair_id",
+        *X.PAIR_KEY,
         extract_number("completion").alias("completion_number"),
         extract_number("reference").alias("reference_number"),
     )
@@ -45,7 +58,7 @@ def q_extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_reward_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: mean / min / max verifiable reward per completion shape."""
     completions, references = X.verifiable_inputs(spark, sf_dir)
-    scored = rewards.score_verifiable(completions, references, "pair_id")
+    scored = rewards.score_verifiable(completions, references, X.PAIR_KEY)
     return scored.groupBy("variant").agg(
         F.count(F.lit(1)).alias("n"),
         round6(F.avg("reward")).alias("mean_reward"),
@@ -62,6 +75,25 @@ def q_flatten_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", flatten_chat("messages", chats.schema["messages"].dataType).alias("prompt"))
 
 
+def q_flatten_chat_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-10 over the message shapes of other datasets."""
+    rows = X.chat_shapes(spark, sf_dir)
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(
+        "doc_id",
+        flatten_chat("sharegpt", kind["sharegpt"]).alias("unnamed"),
+        flatten_chat("sharegpt", kind["sharegpt"], "from", "value").alias("named"),
+        *[flatten_chat(c, kind[c]).alias(c) for c in ("strings", "maps", "typed", "other")],
+    )
+
+
+def q_render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-17 over the array of typed parts that O-19 makes."""
+    rows = render.format_chart(_chart_questions(spark, sf_dir), keep=["doc_id"])
+    text = render_chat("messages", msgs_type=rows.schema["messages"].dataType)
+    return rows.select("doc_id", text.alias("text"))
+
+
 def q_flatten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-10 in table form: the same text as ``q_flatten_chat`` without
     gathering a conversation's messages into one array first."""
@@ -151,6 +183,19 @@ def q_take_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.take_skip_split(docs, ["doc_id"]).select("doc_id", "row_index", "split")
 
 
+def q_take_skip_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-23 over a table whose row count is no multiple of 5."""
+    turns = X.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return sample.take_skip_split(turns, ["conv_id", "turn"])
+
+
+def q_three_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-23 in full: documents as train rows, benchmark items as the ``val`` split."""
+    train = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    held_out = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    return sample.three_way_split(train, held_out, ["id"])
+
+
 def q_slice_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.table(spark, sf_dir, "documents").select("doc_id")
     slices = {"train": "train[:80%]", "validation": "train[80%:]"}
@@ -177,14 +222,18 @@ def q_format_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_news_from_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gens = compare.attach_prompts(X.finance_completions(spark, sf_dir), X.finance_prompts(spark, sf_dir), "prompt_id")
-    return gens.select(*GEN_KEY, news_from_prompt("prompt").alias("news"))
+    """O-26 once per prompt; only the news meets the generations (O-43)."""
+    news = X.finance_prompts(spark, sf_dir).select("prompt_id", news_from_prompt("prompt").alias("news"))
+    gens = X.finance_keys(spark, sf_dir)
+    return compare.attach_prompts(gens, news, "prompt_id").select(*GEN_KEY, "news")
 
 
 def q_prompt_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-43: each generation meets its prompt by key; prompt length per generation."""
-    gens = compare.attach_prompts(X.finance_completions(spark, sf_dir), X.finance_prompts(spark, sf_dir), "prompt_id")
-    return gens.select(*GEN_KEY, "prompt_id", token_length("prompt").alias("prompt_tokens"))
+    """O-43: each generation meets its prompt by key; the prompt's length is
+    taken once per prompt."""
+    lengths = X.finance_prompts(spark, sf_dir).select("prompt_id", token_length("prompt").alias("prompt_tokens"))
+    gens = X.finance_keys(spark, sf_dir)
+    return compare.attach_prompts(gens, lengths, "prompt_id").select(*GEN_KEY, "prompt_id", "prompt_tokens")
 
 
 def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,15 +245,22 @@ def q_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_score_teacher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-33: a user model over every distinct news text (Arrow batches through
-    mapInPandas, blank texts never sent), joined back to the prompts by text."""
+    mapInPandas), joined back to the prompts by digest; blank and null texts
+    are never sent."""
     teacher = X.teacher_table(spark, sf_dir).select("prompt_id", "text")
     scored = rewards.score_teacher(teacher, "text", X.length_logit_predictor)
-    joined = teacher.join(scored, "text", "left")
+    joined = rewards.with_teacher(teacher, "text", scored)
     return joined.select(
         "prompt_id", *[round6(F.get("probs", i)).alias(f"p_{label}") for i, label in enumerate(K.TEACHER_LABELS)]
     )
 
 
+def q_finance_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-41 end to end: prompt -> news -> model -> reward."""
+    scored = rewards.finance_reward_by_news(X.model_generations(spark, sf_dir), X.length_logit_predictor)
+    return scored.select(*GEN_KEY, round6("p_teacher").alias("p_teacher"), round6("finance_reward").alias("finance_reward"))
+
+
 def q_teacher_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finance(spark, sf_dir).select(*GEN_KEY, "sentiment", round6("p_teacher").alias("p_teacher"))
 
@@ -228,12 +284,17 @@ def q_finance_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_total_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _finance(spark, sf_dir)
+    """O-42 as a list of named rewards, as the trainer takes them."""
+    both = [
+        rewards.NamedReward("format_reward", lambda df: F.col("gate")),
+        rewards.NamedReward("reasoning_reward", lambda df: F.col("finance_reward")),
+    ]
+    scored = rewards.apply_rewards(_finance(spark, sf_dir), both)
     return scored.select(
         *GEN_KEY,
         "gate",
         round6("finance_reward").alias("finance_reward"),
-        round6(rewards.total_reward("gate", "finance_reward")).alias("total_reward"),
+        round6("total_reward").alias("total_reward"),
     )
 
 
@@ -301,12 +362,18 @@ def q_number_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that O-56 numbers, without their numbers."""
+    outs = X.chart_outputs(spark, sf_dir).filter(F.col("image_path").isNotNull())
+    return outs.withColumn("model_answer", extract_answer("raw_output"))
+
+
 def q_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.accuracy(_numbered(spark, sf_dir))
+    return analyze.accuracy(_answered(spark, sf_dir))
 
 
 def q_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.status_counts(_numbered(spark, sf_dir))
+    return analyze.status_counts(_answered(spark, sf_dir))
 
 
 def q_training_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +389,118 @@ def q_last_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.last_checkpoints(X.train_log(spark, sf_dir), 3).select("step", "eval_loss")
 
 
+# ------------------------------------------------------------- files and streams
+
+# Each writes what it derives from whole tables to the shared folder and reads
+# it back with the operator in question.
+
+
+def q_read_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1: example files as JSON lines, with the required fields checked."""
+    path = shared_path(spark, "examples")
+    _sentences(spark, sf_dir).write.json(path)
+    read = readers.read_examples(spark, path, readers.SFT_REQUIRED)
+    return read.select("doc_id", "text", "reasoning", "sentiment", round6("confidence").alias("confidence"))
+
+
+def q_load_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-4 and O-5: split folders, picked by name and normalised."""
+    path = shared_path(spark, "splits")
+    m = F.col("doc_id") % 10
+    name = F.when(m < 6, F.lit("train_sft")).when(m < 8, F.lit("test")).when(m == 8, F.lit("validation")).otherwise(F.lit("gen"))
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"), F.col("lang").alias("answer"))
+    for split in ("train_sft", "test", "validation", "gen"):
+        docs.filter(name == split).write.parquet(f"{path}/{split}")
+    train, held_out, train_name, held_out_name = readers.load_splits(spark, path, keep=["doc_id"])
+    return train.withColumn("split", F.lit(train_name)).unionByName(held_out.withColumn("split", F.lit(held_out_name)))
+
+
+def q_load_splits_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-5 over one table with a split column."""
+    path = shared_path(spark, "split-column")
+    docs = X.table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 7 == 0, F.lit("validation")).otherwise(F.lit("train"))
+    docs.select("doc_id", F.col("text").alias("prompt"), "source", name.alias("split")).write.partitionBy("split").parquet(path)
+    train, held_out, _, _ = readers.load_splits_by_column(spark, path, keep=["doc_id"])
+    return train.withColumn("split", F.lit("train")).unionByName(held_out.withColumn("split", F.lit("validation")))
+
+
+def q_read_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-6: literal prompts, then the non-blank lines of a prompt file in order."""
+    path = shared_path(spark, "prompts")
+    line = F.when(F.col("doc_id") % 5 == 0, F.lit("  ")).otherwise(
+        F.concat(F.lit("  Summarize document "), F.col("doc_id").cast("string"), F.lit(" "))
+    )
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    return readers.read_prompts(spark, ["first prompt"], path)
+
+
+def q_resolve_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-7: pages as the listing of files; every third sample names none."""
+    pages = X.table(spark, sf_dir, "pages")
+    page = F.col("page_id").cast("string")
+    files = pages.select(F.concat(F.lit("file:/pages/"), page).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    name = F.when(F.col("page_id") % 3 == 0, F.lit("/nowhere/")).when(F.col("page_id") % 3 == 1, F.lit("file:///pages/"))
+    samples = pages.select("page_id", F.concat(name.otherwise(F.lit("/pages/")), page).alias("image_path"))
+    resolved, skipped = readers.resolve_images(samples, files)
+    found = resolved.select("page_id", F.length("image").cast("long").alias("image_size"))
+    return found.unionByName(skipped.select("page_id", F.lit(None).cast("long").alias("image_size")))
+
+
+def q_write_comparison_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-53: written as CSV and read back, multi-line fields included."""
+    path = shared_path(spark, "comparison")
+    base, tuned = X.variant_outputs(spark, sf_dir)
+    writers.write_comparison_csv(compare.compare_variants(base, tuned, "doc_id"), path)
+    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+
+
+def q_write_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-54: the eight result fields as JSON lines, read back."""
+    path = shared_path(spark, "results")
+    numbered = _numbered(spark, sf_dir)
+    writers.write_results_json(numbered, path)
+    return spark.read.schema(numbered.select(*writers.RESULT_FIELDS).schema).json(path).withColumn(
+        "ground_truth", F.array_join("ground_truth", ",")
+    )
+
+
+def q_write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-55: the lines of the written summary, each with its count."""
+    path = shared_path(spark, "summary")
+    writers.write_summary(_numbered(spark, sf_dir), path, "base-model", "adapter", "results")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, start) -> DataFrame:
+    """``rows`` as arriving JSON files (O-8) through a streaming job that ends
+    when they are done; what it wrote."""
+    source, sink, state = (shared_path(spark, f"stream-{x}") for x in ("source", "sink", "state"))
+    rows.write.json(source)
+    start(readers.stream_examples(spark, source, rows.schema), sink, state).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def q_stream_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-8 and O-57: arriving generic rows as (prompt, reference)."""
+    rows = X.raw_examples(spark, sf_dir)
+    return _streamed(
+        spark, rows, lambda s, out, state: streams.stream_normalise(s, out, state, keep=["doc_id"], available_now=True)
+    )
+
+
+def q_stream_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-58: arriving completions scored against the static references."""
+    completions, references = X.verifiable_inputs(spark, sf_dir)
+    scored = _streamed(
+        spark,
+        completions,
+        lambda s, out, state: streams.stream_verifiable_rewards(s, references, X.PAIR_KEY, out, state, available_now=True),
+    )
+    return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -21,22 +21,13 @@ from ..operators.compare import next_turn_pairs
 from ..sources.tables import read_table
 
 
-# Tables whose rows feed heavy per-row text work (regex extraction, lexicon
-# scoring, long-text rendering) are spread over the cores when their scan has
-# fewer splits than cores; light tables are scanned as they are.
-BALANCE_KEYS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_linenumber"],
-    "documents": ["doc_id"],
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    keys = BALANCE_KEYS.get(name)
-    return read_table(spark, f"{sf_dir}/{name}.parquet", keys, balanced=keys is not None)
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 # ------------------------------------------------------------------ C1 / C4
 
+PAIR_KEY = ["conv_id", "turn"]
 VARIANT_PAD = {6: 1027, 7: 1028, 8: 2051, 9: 2052}
 BOILERPLATE_COMPLETION = "As an AI, I cannot verify that claim."
 
@@ -47,18 +38,20 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verifiable_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """C4: (completions, references) keyed by ``pair_id``.
+    """C4: (completions, references) keyed by (conv_id, turn).
 
-    The reference ends in ``n = pair_id % 97`` for even conversations and in
-    ``n + 1`` for odd ones; it is null when ``pair_id % 13 = 0`` and empty when
-    ``pair_id % 17 = 0``. The completion shape is ``(conv_id * 3 + turn) % 10``.
+    With ``k = conv_id * 1000 + turn``, the reference ends in ``n = k % 97``
+    for even conversations and in ``n + 1`` for odd ones; it is null when
+    ``k % 13 = 0``, empty when ``k % 17 = 0``, and there is no reference row
+    when ``k % 19 = 0``. The completion shape is ``(conv_id * 3 + turn) % 10``.
     """
     p = pairs(spark, sf_dir)
-    n = F.col("pair_id") % 97
+    k = F.col("conv_id") * 1000 + F.col("turn")
+    n = k % 97
     ref_num = F.when(F.col("conv_id") % 2 == 0, n).otherwise(n + 1)
     full_ref = F.concat(F.col("reference"), F.lit(" "), ref_num.cast("string"))
     base = p.select(
-        "pair_id",
+        *PAIR_KEY,
         ((F.col("conv_id") * 3 + F.col("turn")) % 10).cast("int").alias("variant"),
         n.alias("n"),
         full_ref.alias("full_ref"),
@@ -75,13 +68,10 @@ def verifiable_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     )
     for variant, width in VARIANT_PAD.items():
         completion = completion.when(v == variant, F.rpad(ref, width, "."))
-    completions = base.select("pair_id", "variant", completion.alias("completion"))
-    references = base.select(
-        "pair_id",
-        F.when(F.col("pair_id") % 13 == 0, F.lit(None).cast("string"))
-        .when(F.col("pair_id") % 17 == 0, F.lit(""))
-        .otherwise(ref)
-        .alias("reference"),
+    completions = base.select(*PAIR_KEY, "variant", completion.alias("completion"))
+    references = base.filter(k % 19 != 0).select(
+        *PAIR_KEY,
+        F.when(k % 13 == 0, F.lit(None).cast("string")).when(k % 17 == 0, F.lit("")).otherwise(ref).alias("reference"),
     )
     return completions, references
 
@@ -91,6 +81,26 @@ def verifiable_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
 
+def chat_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 in the shapes of other chat datasets, a column each: ``from`` /
+    ``value`` structs, plain strings, maps without a role, typed parts, and
+    structs that have neither field name."""
+    d = table(spark, sf_dir, "documents")
+    text, lang = F.col("text"), F.col("lang")
+    part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    return d.select(
+        "doc_id",
+        F.array(
+            F.struct(F.lit("human").alias("from"), text.alias("value")),
+            F.struct(F.lit(None).cast("string").alias("from"), lang.alias("value")),
+        ).alias("sharegpt"),
+        F.array(text, F.lit(None).cast("string"), lang).alias("strings"),
+        F.array(F.create_map(F.lit("content"), text), F.create_map(F.lit("role"), lang)).alias("maps"),
+        F.array(F.struct(F.lit("user").alias("role"), F.array(part(text), part(lang)).alias("content"))).alias("typed"),
+        F.array(F.struct(text.alias("body"))).alias("other"),
+    )
+
+
 def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2: one row per conversation, ``messages`` sorted by turn.
 
@@ -166,9 +176,9 @@ def _tagged(reasoning: str, sentiment: str, confidence: str) -> str:
     )
 
 
-_SFT_EXAMPLE_REASONING = (
-    "Revenue growth is strong but margins compressed due to higher input costs; guidance is cautious, "
-    "suggesting near-term volatility. Therefore, outlook is balanced with upside from new products."
+_MIXED_REASONING = (
+    "Sales growth is strong although costs compress the margin; management stays cautious about the quarter. "
+    "Therefore the outlook is balanced between new products and higher rates."
 )
 _PLAIN = "Revenue growth is strong while debt is down; market trend supports the sector."
 
@@ -177,7 +187,7 @@ FINANCE_TEMPLATES: tuple[str, ...] = (
     _tagged(K.SYNTHETIC_EXAMPLES[0][1], "positive", "0.75"),
     _tagged(K.SYNTHETIC_EXAMPLES[1][1], "negative", "0.80"),
     _tagged(K.SYNTHETIC_EXAMPLES[2][1], "neutral", "0.65"),
-    _tagged(_SFT_EXAMPLE_REASONING, "neutral", "0.72"),
+    _tagged(_MIXED_REASONING, "neutral", "0.72"),
     f"{K.REASONING_START}{_PLAIN}\n{K.SENTIMENT_START}positive{K.SENTIMENT_END}\n{K.CONFIDENCE_START}0.9{K.CONFIDENCE_END}",
     f"{K.REASONING_START}{K.REASONING_START}{_PLAIN}{K.REASONING_END}\n{K.SENTIMENT_START}positive{K.SENTIMENT_END}\n{K.CONFIDENCE_START}0.9{K.CONFIDENCE_END}",
     "<reasoning>Profit and cash improve.</reasoning>\n<sentiment>positive</sentiment>\n<confidence>0.7</confidence>",
@@ -215,12 +225,25 @@ def finance_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5: every lineitem row is one generation of prompt group ``l_orderkey``.
 
     The template is ``(l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20``;
-    the 20-row template table is a fixed literal, broadcast to the scan.
+    the 20-row template table is a fixed literal, broadcast to the scan. The
+    first sentence of document ``l_partkey``, where there is one, ends the
+    reasoning, so that texts are many.
     """
     li = table(spark, sf_dir, "lineitem").select(*GEN_KEY)
     tid = ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % 20).cast("int")
     gens = li.select(*GEN_KEY, F.col("l_orderkey").alias("prompt_id"), tid.alias("template_id"))
-    return gens.join(F.broadcast(finance_templates(spark)), "template_id").drop("template_id")
+    said = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("l_partkey"),
+        F.concat(F.lit(" "), F.substring_index("text", ".", 1), F.lit(K.REASONING_END)).alias("_gw_said"),
+    )
+    with_text = gens.join(F.broadcast(finance_templates(spark)), "template_id").join(said, "l_partkey", "left")
+    ending = F.replace("completion", F.lit(K.REASONING_END), F.coalesce("_gw_said", F.lit(K.REASONING_END)))
+    return with_text.select(*GEN_KEY, "prompt_id", ending.alias("completion"))
+
+
+def finance_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of C5 alone."""
+    return table(spark, sf_dir, "lineitem").select(*GEN_KEY, F.col("l_orderkey").alias("prompt_id"))
 
 
 def finance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,17 +257,28 @@ def finance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def teacher_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C6: one row per order; logits ``((k%7)/2, (k%5)/2, (k%3)/2)``; no
-    prediction (null logits) when ``k % 11 = 0``; blank text when ``k % 13 = 0``."""
+    """C6: logits ``((k%7)/2, (k%5)/2, (k%3)/2)`` per order; no row at all when
+    ``k % 11 = 0``, no prediction (null logits) when ``k % 17 = 0``; the text is
+    blank when ``k % 13 = 0`` and null when ``k % 19 = 0``."""
     k = F.col("o_orderkey")
     logits = F.array(((k % 7) / 2.0), ((k % 5) / 2.0), ((k % 3) / 2.0))
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").filter(k % 11 != 0).select(
         k.alias("prompt_id"),
-        F.when(k % 13 == 0, F.lit("")).otherwise(news_text(k)).alias("text"),
-        F.when(k % 11 == 0, F.lit(None).cast("array<double>")).otherwise(logits).alias("logits"),
+        F.when(k % 13 == 0, F.lit("")).when(k % 19 != 0, news_text(k)).alias("text"),
+        F.when(k % 17 == 0, F.lit(None).cast("array<double>")).otherwise(logits).alias("logits"),
     )
 
 
+def model_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 with the prompt of each generation. Orders with ``k % 13 = 0`` have a
+    prompt without news, those with ``k % 19 = 0`` have none."""
+    k = F.col("prompt_id")
+    prompts = finance_prompts(spark, sf_dir).select(
+        "prompt_id", F.when(k % 13 == 0, F.lit("no news today")).when(k % 19 != 0, F.col("prompt")).alias("prompt")
+    )
+    return finance_completions(spark, sf_dir).join(prompts, "prompt_id", "left")
+
+
 # ------------------------------------------------------------------ C7
 
 CHART_IMAGE_PREFIX = "charts/"
@@ -277,6 +311,9 @@ def chart_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 23 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit(CHART_IMAGE_PREFIX), F.col("doc_id").cast("string"), F.lit(".png")))
         .alias("image_path"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string"))).alias(
+            "original_image_url"
+        ),
         question.alias("question"),
         F.array(F.col("lang")).alias("ground_truth"),
         raw.alias("raw_output"),

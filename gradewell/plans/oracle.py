@@ -1,19 +1,30 @@
 """DuckDB SQL twins of the query catalogue (the correctness oracle).
 
 Each statement rebuilds its inputs from the driver views with the same rules
-as ``fixtures.py`` and computes the result with plain SQL, so it checks the
-Spark operators independently (window ``lead`` instead of the equi-join,
-``row_number`` instead of the parallel row index, per-row ``CASE`` instead
-of shared column functions).
+as ``fixtures.py`` and computes the result with plain SQL (window ``lead``
+instead of the two-step lookup, ``row_number`` instead of the parallel row
+index, per-row ``CASE`` instead of shared column functions). Patterns, weights
+and limits are written out here; only the fixed long texts (prompts, tags,
+word lists, example rows) come from ``constants``, and the completion
+templates from ``fixtures``.
 """
 
 from __future__ import annotations
 
 from .. import constants as K
-from ..functions.numeric import PY_FLOAT
-from ..functions.text import NUMBER_AT_END, PY_DIGIT, PY_SPACE, PY_SPACE_CHARS
 from . import fixtures as X
 
+# White space and digits as Python's str methods see them.
+SPACES = [*range(9, 14), 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+PY_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in SPACES) + "]"
+PY_DIGIT = r"\p{Nd}"
+NUMBER_AT_END = r"(?:####" + PY_SPACE + r"*)?(-?\p{Nd}+(?:\.\p{Nd}+)?)" + PY_SPACE + "*$"
+PY_FLOAT = (
+    r"^[+-]?([0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|([nN][aA][nN])|[iI][nN][fF]"
+    r"|[iI][nN][fF][iI][nN][iI][tT][yY])$"
+)
+ANSWER_FORMAT = "(?i)(final answer|answer)" + PY_SPACE + r"*[:\-]"
+
 GEN_KEY_SQL = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"
 
 
@@ -21,7 +32,7 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-WS_CHARS = " || ".join(f"chr({ord(c)})" for c in PY_SPACE_CHARS)
+WS_CHARS = " || ".join(f"chr({c})" for c in SPACES)
 
 
 def strip(x: str) -> str:
@@ -83,7 +94,7 @@ def upper_full(x: str) -> str:
 # ------------------------------------------------------------------ fixtures
 
 PAIRS = """pairs AS (
-  SELECT conv_id * 1000 + turn AS pair_id, conv_id, turn, text AS prompt, next_text AS reference
+  SELECT conv_id * 1000 + turn AS k, conv_id, turn, text AS prompt, next_text AS reference
   FROM (SELECT conv_id, turn, role, text,
                lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
                lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
@@ -93,11 +104,11 @@ PAIRS = """pairs AS (
 _pad_cases = " ".join(f"WHEN {v} THEN rpad(full_ref, {w}, '.')" for v, w in X.VARIANT_PAD.items())
 VERIFIABLE = f"""{PAIRS},
 vbase AS (
-  SELECT pair_id, CAST((conv_id * 3 + turn) % 10 AS INTEGER) AS variant, pair_id % 97 AS n,
-         reference || ' ' || CAST(CASE WHEN conv_id % 2 = 0 THEN pair_id % 97 ELSE pair_id % 97 + 1 END AS VARCHAR) AS full_ref
+  SELECT k, conv_id, turn, CAST((conv_id * 3 + turn) % 10 AS INTEGER) AS variant, k % 97 AS n,
+         reference || ' ' || CAST(CASE WHEN conv_id % 2 = 0 THEN k % 97 ELSE k % 97 + 1 END AS VARCHAR) AS full_ref
   FROM pairs),
 vcomp AS (
-  SELECT pair_id, variant, CASE variant
+  SELECT conv_id, turn, variant, CASE variant
     WHEN 0 THEN full_ref
     WHEN 1 THEN {upper_full("replace(full_ref, ' ', '  ')")}
     WHEN 2 THEN 'Final answer: ' || CAST(n AS VARCHAR)
@@ -107,15 +118,15 @@ vcomp AS (
     {_pad_cases} END AS completion
   FROM vbase),
 vref AS (
-  SELECT pair_id, CASE WHEN pair_id % 13 = 0 THEN NULL WHEN pair_id % 17 = 0 THEN '' ELSE full_ref END AS reference
-  FROM vbase),
+  SELECT conv_id, turn, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 17 = 0 THEN '' ELSE full_ref END AS reference
+  FROM vbase WHERE k % 19 <> 0),
 vjoined AS (
-  SELECT c.pair_id, c.variant, coalesce(c.completion, '') AS txt, r.reference AS ref
-  FROM vcomp c LEFT JOIN vref r ON r.pair_id = c.pair_id),
+  SELECT c.conv_id, c.turn, c.variant, coalesce(c.completion, '') AS txt, r.reference AS ref
+  FROM vcomp c LEFT JOIN vref r ON r.conv_id = c.conv_id AND r.turn = c.turn),
 vscored AS (
-  SELECT pair_id, variant,
+  SELECT conv_id, turn, variant,
     CAST(CASE WHEN greatest(1, length(txt) // 4) <= 256 THEN 0.2 WHEN greatest(1, length(txt) // 4) <= 512 THEN 0.1 ELSE -0.2 END AS DOUBLE)
-    + CAST(CASE WHEN regexp_matches(txt, {lit('(?i)' + K.ANSWER_FORMAT_PATTERN + PY_SPACE + '*[:\\-]')}) THEN 0.2 ELSE 0.0 END AS DOUBLE)
+    + CAST(CASE WHEN regexp_matches(txt, {lit(ANSWER_FORMAT)}) THEN 0.2 ELSE 0.0 END AS DOUBLE)
     + CAST(CASE WHEN ref <> '' AND {norm('txt')} = {norm('ref')} THEN 1.0 ELSE 0.0 END AS DOUBLE)
     + CAST(CASE WHEN ref <> '' AND {number('txt')} = {number('ref')} THEN 0.6 ELSE 0.0 END AS DOUBLE)
     - CAST(CASE WHEN strpos({norm('txt')}, 'as an ai') > 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS reward
@@ -171,8 +182,11 @@ ORDER_PROMPT = chatml([("system", lit(K.SYSTEM_FINANCIAL_RL)), ("user", f"{lit(K
 GENS = f"""templates AS (SELECT * FROM (VALUES
     {_TEMPLATE_VALUES}) t(template_id, completion)),
 gens AS (
-  SELECT {GEN_KEY_SQL}, l_orderkey AS prompt_id, t.completion
-  FROM lineitem JOIN templates t ON t.template_id = CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20 AS INTEGER)),
+  SELECT {GEN_KEY_SQL}, l_orderkey AS prompt_id,
+    CASE WHEN d.text IS NULL THEN t.completion
+         ELSE replace(t.completion, '</REASONING>', ' ' || split_part(d.text, '.', 1) || '</REASONING>') END AS completion
+  FROM lineitem JOIN templates t ON t.template_id = CAST((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20 AS INTEGER)
+  LEFT JOIN documents d ON d.doc_id = l_partkey),
 prompts AS (SELECT o_orderkey AS prompt_id, {ORDER_PROMPT} AS prompt FROM orders),
 gp AS (SELECT g.*, p.prompt FROM gens g JOIN prompts p ON p.prompt_id = g.prompt_id)"""
 
@@ -210,25 +224,31 @@ bundled AS (SELECT *, 0.5 * quality + 0.3 * logic + 0.2 * context AS bundle FROM
 
 TEACHER = f"""teacher AS (
   SELECT o_orderkey AS prompt_id,
-    CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE {news_sql('o_orderkey')} END AS text,
-    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) / 2.0 END AS a,
-    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS DOUBLE) / 2.0 END AS b,
-    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS DOUBLE) / 2.0 END AS c
-  FROM orders),
+    CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 19 <> 0 THEN {news_sql('o_orderkey')} END AS text,
+    CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey % 7 AS DOUBLE) / 2.0 END AS a,
+    CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey % 5 AS DOUBLE) / 2.0 END AS b,
+    CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderkey % 3 AS DOUBLE) / 2.0 END AS c
+  FROM orders WHERE o_orderkey % 11 <> 0),
 tmax AS (SELECT *, greatest(a, b, c) AS m FROM teacher),
 tprobs AS (
   SELECT prompt_id,
-    CASE WHEN a IS NULL THEN NULL WHEN text = '' THEN 1.0 / 3.0 ELSE exp(a - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_negative,
-    CASE WHEN a IS NULL THEN NULL WHEN text = '' THEN 1.0 / 3.0 ELSE exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_neutral,
-    CASE WHEN a IS NULL THEN NULL WHEN text = '' THEN 1.0 / 3.0 ELSE exp(c - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_positive
+    CASE WHEN a IS NULL THEN NULL WHEN coalesce(text, '') = '' THEN 1.0 / 3.0 ELSE exp(a - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_negative,
+    CASE WHEN a IS NULL THEN NULL WHEN coalesce(text, '') = '' THEN 1.0 / 3.0 ELSE exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_neutral,
+    CASE WHEN a IS NULL THEN NULL WHEN coalesce(text, '') = '' THEN 1.0 / 3.0 ELSE exp(c - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END AS p_positive
   FROM tmax)"""
 
-FINANCE = f"""{COMPONENTS},
-{TEACHER},
-aligned AS (
-  SELECT s.*, coalesce(CASE s.sentiment WHEN 'negative' THEN t.p_negative WHEN 'neutral' THEN t.p_neutral WHEN 'positive' THEN t.p_positive END, 0.0) AS p_teacher
-  FROM bundled s LEFT JOIN tprobs t ON t.prompt_id = s.prompt_id),
-calibrated AS (
+
+def by_length(news: str, label: int) -> str:
+    """Softmax share of a label under the stand-in model over a text's length;
+    a third for a blank or null text."""
+    n = f"length({news})"
+    logits = [f"(CAST({n} % {m} AS DOUBLE) / 2.0)" for m in (7, 5, 3)]
+    top = f"greatest({', '.join(logits)})"
+    parts = [f"exp({x} - {top})" for x in logits]
+    return f"CASE WHEN coalesce({news}, '') = '' THEN 1.0 / 3.0 ELSE {parts[label]} / ({' + '.join(parts)}) END"
+
+
+_REWARD = """calibrated AS (
   SELECT *, CASE WHEN isnan(1.0 - (confidence - p_teacher) * (confidence - p_teacher)) THEN 0.0
                  ELSE greatest(0.0, 1.0 - (confidence - p_teacher) * (confidence - p_teacher)) END AS calibration
   FROM aligned),
@@ -236,9 +256,30 @@ fin AS (
   SELECT *, CASE WHEN gate = 0 THEN 0.0 ELSE gate * (0.35 * p_teacher + 0.25 * bundle + 0.2 * calibration + 0.15 * direction) END AS finance_reward
   FROM calibrated)"""
 
+FINANCE = f"""{COMPONENTS},
+{TEACHER},
+aligned AS (
+  SELECT s.*, coalesce(CASE s.sentiment WHEN 'negative' THEN t.p_negative WHEN 'neutral' THEN t.p_neutral WHEN 'positive' THEN t.p_positive END, 0.0) AS p_teacher
+  FROM bundled s LEFT JOIN tprobs t ON t.prompt_id = s.prompt_id),
+{_REWARD}"""
+
+# prompt -> news -> model: news only in prompts that hold the prefix
+FINANCE_MODEL = f"""{COMPONENTS},
+orders_news AS (
+  SELECT prompt_id, CASE WHEN prompt_id % 13 = 0 OR prompt_id % 19 = 0 THEN ''
+    ELSE {strip(f"substr(prompt, strpos(prompt, {lit(K.NEWS_PREFIX)}) + {len(K.NEWS_PREFIX)})")} END AS news
+  FROM prompts),
+guessed AS (
+  SELECT b.*, coalesce(n.news, '') AS news FROM bundled b LEFT JOIN orders_news n ON n.prompt_id = b.prompt_id),
+aligned AS (
+  SELECT *, coalesce(CASE sentiment WHEN 'negative' THEN {by_length('news', 0)} WHEN 'neutral' THEN {by_length('news', 1)}
+                       WHEN 'positive' THEN {by_length('news', 2)} END, 0.0) AS p_teacher FROM guessed),
+{_REWARD}"""
+
 CHART_OUT = f"""co AS (
   SELECT doc_id,
     CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 'charts/' || CAST(doc_id AS VARCHAR) || '.png' END AS image_path,
+    CASE WHEN doc_id % 5 = 0 THEN 'https://example.org/' || CAST(doc_id AS VARCHAR) END AS original_image_url,
     'Which language is document ' || CAST(doc_id AS VARCHAR) || ' written in?' AS question,
     lang,
     CASE doc_id % 7
@@ -265,7 +306,7 @@ answers AS (
   FROM a3),
 pos AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS dataset_index FROM answers),
 numbered AS (
-  SELECT row_number() OVER (ORDER BY dataset_index) - 1 AS sample_id, dataset_index, image_path, question, lang,
+  SELECT row_number() OVER (ORDER BY dataset_index) - 1 AS sample_id, dataset_index, image_path, original_image_url, question, lang,
     CASE WHEN processing_status = 'error' THEN 'ERROR: ' || coalesce(error_message, '') ELSE model_answer END AS model_answer,
     processing_status
   FROM pos WHERE image_path IS NOT NULL)"""
@@ -329,7 +370,7 @@ def _finance_select(cols: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "q_verifiable_reward": f"WITH {VERIFIABLE}\nSELECT pair_id, variant, {r6('reward')} AS reward FROM vscored",
+    "q_verifiable_reward": f"WITH {VERIFIABLE}\nSELECT conv_id, turn, variant, {r6('reward')} AS reward FROM vscored",
     "q_reward_by_variant": f"""WITH {VERIFIABLE}
 SELECT variant, count(*) AS n, {r6('avg(reward)')} AS mean_reward, {r6('min(reward)')} AS min_reward, {r6('max(reward)')} AS max_reward
 FROM vscored GROUP BY variant""",
@@ -354,10 +395,14 @@ FROM documents""",
 ORDER BY md5('{K.DEFAULT_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {K.SAMPLE_ROWS}""",
     "q_cap": f"""WITH {SENTENCES}
 SELECT doc_id, CAST(greatest(1, length({RL_PROMPT}) // 4) AS INTEGER) AS full_len FROM sentences ORDER BY doc_id LIMIT {K.MAX_REAL_EXAMPLES}""",
-    "q_take_skip": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents),
-b AS (SELECT *, CAST(floor(0.8 * n) AS BIGINT) AS n_train, CAST(floor(0.2 * n) AS BIGINT) AS n_val FROM idx)
-SELECT doc_id, row_index, CASE WHEN row_index < n_train THEN 'train' ELSE 'validation' END AS split
-FROM b WHERE row_index < n_train + n_val""",
+    "q_take_skip": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
+SELECT doc_id, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",
+    "q_take_skip_conversations": """WITH idx AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index, count(*) OVER () AS n
+             FROM conversations)
+SELECT conv_id, turn, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",
+    "q_three_way_split": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
+SELECT doc_id AS id, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx
+UNION ALL SELECT item_id AS id, CAST(NULL AS BIGINT) AS row_index, 'test' AS split FROM benchmark""",
     "q_slice_split": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
 SELECT doc_id, row_index, CASE WHEN row_index < round(80 * n / 100.0) THEN 'train' ELSE 'validation' END AS split FROM idx""",
     "q_components": f"WITH {COMPONENTS}\nSELECT {GEN_KEY_SQL}, reasoning, sentiment, confidence_text FROM comp",
@@ -366,7 +411,7 @@ SELECT doc_id, row_index, CASE WHEN row_index < round(80 * n / 100.0) THEN 'trai
 SELECT {GEN_KEY_SQL}, CASE WHEN strpos(prompt, {lit(K.NEWS_PREFIX)}) > 0
   THEN {strip(f"substr(prompt, strpos(prompt, {lit(K.NEWS_PREFIX)}) + {len(K.NEWS_PREFIX)})")} ELSE '' END AS news FROM gp""",
     "q_prompt_completion": f"WITH {GENS}\nSELECT {GEN_KEY_SQL}, prompt_id, CAST(greatest(1, length(prompt) // 4) AS INTEGER) AS prompt_tokens FROM gp",
-    "q_extract_number": f"WITH {VERIFIABLE}\nSELECT pair_id, {number('txt')} AS completion_number, {number('ref')} AS reference_number FROM vjoined",
+    "q_extract_number": f"WITH {VERIFIABLE}\nSELECT conv_id, turn, {number('txt')} AS completion_number, {number('ref')} AS reference_number FROM vjoined",
     "q_compare_variants_full": f"""WITH {VARIANTS},
 fo AS (SELECT coalesce(b.doc_id, t.doc_id) AS doc_id, b.doc_id IS NOT NULL AS in_base, t.doc_id IS NOT NULL AS in_lora
        FROM base b FULL OUTER JOIN tuned t ON t.doc_id = b.doc_id)
@@ -374,15 +419,11 @@ SELECT doc_id, in_base, in_lora FROM fo""",
     "q_status_counts": f"WITH {CHART_OUT}\nSELECT processing_status, count(*) AS n FROM numbered GROUP BY processing_status",
     "q_last_checkpoints": f"WITH {TRAIN_LOG}\nSELECT step, eval_loss FROM tlog WHERE eval_loss IS NOT NULL ORDER BY step DESC LIMIT 3",
     "q_softmax": f"WITH {TEACHER}\nSELECT prompt_id, {r6('p_negative')} AS p_negative, {r6('p_neutral')} AS p_neutral, {r6('p_positive')} AS p_positive FROM tprobs",
-    "q_score_teacher": f"""WITH {TEACHER},
-lens AS (SELECT prompt_id, text, CAST(length(text) % 7 AS DOUBLE) / 2.0 AS a, CAST(length(text) % 5 AS DOUBLE) / 2.0 AS b,
-                CAST(length(text) % 3 AS DOUBLE) / 2.0 AS c FROM teacher),
-mx AS (SELECT *, greatest(a, b, c) AS m FROM lens)
-SELECT prompt_id,
-  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(a - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_negative,
-  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(b - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_neutral,
-  {r6("CASE WHEN text = '' THEN 1.0 / 3.0 ELSE exp(c - m) / (exp(a - m) + exp(b - m) + exp(c - m)) END")} AS p_positive
-FROM mx""",
+    "q_score_teacher": f"""WITH {TEACHER}
+SELECT prompt_id, {r6(by_length('text', 0))} AS p_negative, {r6(by_length('text', 1))} AS p_neutral, {r6(by_length('text', 2))} AS p_positive
+FROM teacher""",
+    "q_finance_reward_model": f"""WITH {FINANCE_MODEL}
+SELECT {GEN_KEY_SQL}, {r6('p_teacher')} AS p_teacher, {r6('finance_reward')} AS finance_reward FROM fin""",
     "q_teacher_alignment": _finance_select(f"{GEN_KEY_SQL}, sentiment, {r6('p_teacher')} AS p_teacher"),
     "q_reasoning": f"WITH {COMPONENTS}\nSELECT {GEN_KEY_SQL}, {r6('quality')} AS quality, {r6('logic')} AS logic, {r6('context')} AS context, {r6('bundle')} AS bundle FROM bundled",
     "q_calibration": _finance_select(f"{GEN_KEY_SQL}, {r6('calibration')} AS calibration"),
@@ -398,7 +439,7 @@ SELECT {GEN_KEY_SQL}, {r6('finance_reward')} AS finance_reward,
   {r6('CASE WHEN st.n <= 1 OR st.lo = st.hi THEN 0.0 ELSE (finance_reward - st.mu) / (st.sd + 0.0001) END')} AS advantage
 FROM fin JOIN st USING (prompt_id)""",
     "q_best_of_group": f"""WITH {FINANCE},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(finance_reward, 6) DESC, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rk,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY finance_reward DESC, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rk,
                   count(*) OVER (PARTITION BY prompt_id) AS n_generations FROM fin)
 SELECT prompt_id, l_partkey, l_suppkey, l_linenumber, l_extendedprice, {r6('finance_reward')} AS finance_reward, n_generations
 FROM ranked WHERE rk = 1""",
@@ -429,4 +470,39 @@ ev AS (SELECT * FROM tlog WHERE eval_loss IS NOT NULL AND NOT isnan(eval_loss)),
 best AS (SELECT step, eval_loss FROM ev ORDER BY eval_loss, step LIMIT 1)
 SELECT best.step AS best_step, best.eval_loss AS best_eval_loss, (SELECT count(*) FROM ev) AS n_evaluations,
   (SELECT max(step) FROM ev) AS last_eval_step FROM best""",
+    "q_verifiable_reward_chat": f"WITH {VERIFIABLE}\nSELECT conv_id, turn, variant, {r6('reward')} AS reward FROM vscored",
+    "q_stream_rewards": f"WITH {VERIFIABLE}\nSELECT conv_id, turn, variant, {r6('reward')} AS reward FROM vscored",
+    "q_stream_normalise": f"WITH {RAW_EXAMPLES}\nSELECT doc_id, {_prompt_sql()} AS prompt, coalesce(reference, answer, chosen) AS reference FROM raw",
+    "q_flatten_chat_shapes": f"""SELECT doc_id, 'user: ' || chr(10) || 'user:' AS unnamed,
+  {strip("'human: ' || " + strip('text') + " || chr(10) || 'user: ' || " + strip('lang'))} AS named,
+  {strip("text || chr(10) || chr(10) || lang")} AS strings,
+  {strip("'user: ' || " + strip('text') + " || chr(10) || lang || ': '")} AS maps,
+  {strip("'user: ' || " + strip("text || ' ' || lang"))} AS typed, 'user:' AS other
+FROM documents""",
+    "q_render_chat": f"""SELECT doc_id, '<|im_start|>system' || chr(10) || {lit(K.CHART_SYSTEM_MESSAGE)} || '<|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || 'Which language is document ' || CAST(doc_id AS VARCHAR) || ' written in?<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10) || CASE WHEN doc_id % 9 = 0 THEN '' ELSE lang END || '<|im_end|>' || chr(10) AS text
+FROM documents""",
+    "q_read_examples": f"WITH {SENTENCES}\nSELECT doc_id, text, reasoning, sentiment, {r6('confidence')} AS confidence FROM sentences",
+    "q_load_splits": """SELECT doc_id, text AS prompt, lang AS reference, CASE WHEN doc_id % 10 < 6 THEN 'train_sft' ELSE 'validation' END AS split
+FROM documents WHERE doc_id % 10 < 6 OR doc_id % 10 = 8""",
+    "q_load_splits_by_column": """SELECT doc_id, text AS prompt, CAST(NULL AS VARCHAR) AS reference,
+  CASE WHEN doc_id % 7 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents""",
+    "q_read_prompts": """SELECT CAST(0 AS BIGINT) AS prompt_id, 'first prompt' AS prompt
+UNION ALL SELECT row_number() OVER (ORDER BY doc_id) AS prompt_id, 'Summarize document ' || CAST(doc_id AS VARCHAR) AS prompt
+FROM documents WHERE doc_id % 5 <> 0""",
+    "q_resolve_images": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN CAST(strlen(html) AS BIGINT) END AS image_size FROM pages",
+    "q_write_comparison_csv": f"WITH {VARIANTS}\nSELECT prompt, nullif(base_output, '') AS base_output, nullif(lora_output, '') AS lora_output FROM cmp",
+    "q_write_results_json": f"""WITH {CHART_OUT}
+SELECT sample_id, dataset_index, image_path, original_image_url, question, lang AS ground_truth, model_answer, processing_status FROM numbered""",
+    "q_write_summary": f"""WITH {CHART_OUT},
+texts AS (
+  SELECT {lit(K.SUMMARY_TITLE)} || chr(10) || repeat('=', 50) || chr(10) || chr(10) || 'Model: base-model' || chr(10) || 'Adapter: adapter' || chr(10)
+    || 'Total samples processed: ' || CAST(count(*) AS VARCHAR) || chr(10) || 'Output directory: results' || chr(10) AS t FROM numbered
+  UNION ALL
+  SELECT 'SAMPLE ' || CASE WHEN sample_id < 9 THEN '0' ELSE '' END || CAST(sample_id + 1 AS VARCHAR) || chr(10) || repeat('-', 30) || chr(10)
+    || 'Image: ' || image_path || chr(10) || 'Question: ' || question || chr(10) || 'Ground Truth: [' || chr(39) || lang || chr(39) || ']' || chr(10)
+    || 'Model Answer: ' || model_answer || chr(10) || 'Status: ' || processing_status || chr(10) AS t FROM numbered),
+lines AS (SELECT unnest(string_split(t, chr(10))) AS line FROM texts)
+SELECT line, count(*) AS n FROM lines GROUP BY line""",
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +20,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -46,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
     as given. Only a local-mode session without one (tests, benchmarks on one
-    machine) gets a fresh folder under the system temp directory.
+    machine) gets a fresh folder under the system temp directory, which goes
+    with the process.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or configured
     if sc.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="gradewell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
         return sc.getCheckpointDir() or folder
     raise RuntimeError(
@@ -71,19 +78,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     )
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for files in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reliable_checkpoint(df):
-    """``df.checkpoint(eager=True)`` into the shared checkpoint folder, computed once.
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder.
 
-    The checkpoint write is a second job over the same plan; persisting first
-    lets it read the computed partitions instead of recomputing them. The
-    cache is released as soon as the files are written: the returned frame
-    reads the checkpoint, so a lost executor costs a re-read, not a recompute.
+    The returned frame reads the files, so a lost executor costs a re-read,
+    not a recompute. Pass narrow frames: the files stay until the frame is no
+    longer referred to (``cleanCheckpoints`` of the session).
     """
-    from pyspark import StorageLevel
-
     ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    return df.checkpoint(eager=True)

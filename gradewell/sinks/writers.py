@@ -11,7 +11,8 @@ from .. import constants as K
 def write_comparison_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
     """O-53: ``prompt, base_output, lora_output`` as UTF-8 CSV with a header;
     quotes are doubled. Multi-line fields stay quoted (read back with
-    ``multiLine``). ``single_file`` only for small outputs."""
+    ``multiLine``). ``single_file`` writes through one task: for a report of
+    at most some thousand rows, as the reference makes."""
     out = df.select("prompt", "base_output", "lora_output")
     if single_file:
         out = out.coalesce(1)
@@ -39,16 +40,19 @@ RESULT_FIELDS = (
 
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """O-54: one JSON object per line with the eight result fields; non-ASCII
-    text is written as is."""
-    cols = [c for c in RESULT_FIELDS if c in df.columns]
-    df.select(*cols).write.mode(mode).option("ignoreNullFields", False).json(path)
+    text is written as is. A frame without one of them is an error."""
+    missing = [c for c in RESULT_FIELDS if c not in df.columns]
+    if missing:
+        raise ValueError(f"results lack the fields {missing}")
+    df.select(*RESULT_FIELDS).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def summary_lines(
     results: DataFrame, model: str, adapter: str, output_dir: str, title: str = K.SUMMARY_TITLE
 ) -> DataFrame:
     """O-55 as a frame of (order, text): a header with the sample count, then
-    one block per sample numbered ``sample_id + 1`` with two digits."""
+    one block per sample numbered ``sample_id + 1`` with two digits. A null
+    field reads ``None``, so every sample keeps its block."""
     total = results.agg(F.count(F.lit(1)).alias("n"))
     header = total.select(
         F.lit(-1).cast("long").alias("_gw_order"),
@@ -66,17 +70,19 @@ def summary_lines(
         if truth.startswith("array")
         else F.col("ground_truth").cast("string")
     )
+    none = F.lit("None")
+    number = F.format_string("SAMPLE %02d\n", F.col("sample_id") + 1)
+    fields = {
+        "Image": F.col("image_path"),
+        "Question": F.col("question"),
+        "Ground Truth": gt,
+        "Model Answer": F.col("model_answer"),
+        "Status": F.col("processing_status"),
+    }
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v, none), F.lit("\n")) for k, v in fields.items()]
     blocks = results.select(
         F.col("sample_id").cast("long").alias("_gw_order"),
-        F.concat(
-            F.format_string("SAMPLE %02d\n", F.col("sample_id") + 1),
-            F.lit("-" * 30 + "\n"),
-            F.concat(F.lit("Image: "), F.coalesce(F.col("image_path"), F.lit("None")), F.lit("\n")),
-            F.concat(F.lit("Question: "), F.col("question"), F.lit("\n")),
-            F.concat(F.lit("Ground Truth: "), gt, F.lit("\n")),
-            F.concat(F.lit("Model Answer: "), F.col("model_answer"), F.lit("\n")),
-            F.concat(F.lit("Status: "), F.col("processing_status"), F.lit("\n")),
-        ).alias("value"),
+        F.concat(F.when(F.col("sample_id").isNull(), F.lit("SAMPLE None\n")).otherwise(number), F.lit("-" * 30 + "\n"), *lines).alias("value"),
     )
     return header.unionByName(blocks)
 

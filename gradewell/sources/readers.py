@@ -13,6 +13,7 @@ from ..functions.literal import literal_table
 from ..functions.text import py_strip
 from ..operators.normalize import to_prompt_reference
 from ..operators.sample import with_row_index
+from ..session import reliable_checkpoint
 
 SFT_REQUIRED = ("text", "reasoning", "sentiment", "confidence")
 RL_REQUIRED = ("text",)
@@ -43,7 +44,7 @@ def read_examples(
     df = reader.load(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"input must contain fields: {', '.join(required)}; missing: {', '.join(missing)}")
+        raise ValueError(f"{path}: no column {', '.join(missing)} (wanted: {', '.join(required)})")
     return df
 
 
@@ -120,17 +121,38 @@ def load_splits(
     fmt: str = "parquet",
     normalise: bool = True,
     keep: list[str] | None = None,
+    split: str | None = None,
+    config: str | None = None,
 ) -> tuple[DataFrame, DataFrame | None, str, str | None]:
-    """O-5: (train, eval, train name, eval name) from a folder of split folders.
-
-    Both splits are normalised to (prompt, reference) unless ``normalise`` is
-    False. Failure to find or read any split raises ``RuntimeError``.
+    """O-5: (train, eval, train name, eval name) from a folder.
+
+    The folder holds a folder per split, a folder per config that holds the
+    splits (``config`` names one; without it the first by name is taken), or
+    the rows themselves: then they are all train and there is no eval split.
+    ``split`` names the train split instead of the preference. Both splits are
+    normalised to (prompt, reference) unless ``normalise`` is False. Failure to
+    find or read any split raises ``RuntimeError``.
     """
     try:
-        names = list_split_dirs(spark, root)
-        train_name, eval_name = pick_splits(names)
-        train = spark.read.format(fmt).load(f"{root.rstrip('/')}/{train_name}")
-        evaluation = spark.read.format(fmt).load(f"{root.rstrip('/')}/{eval_name}") if eval_name else None
+        base = root.rstrip("/")
+        names = list_split_dirs(spark, f"{base}/{config}" if config else base)
+        if config:
+            base = f"{base}/{config}"
+        elif names and (inner := list_split_dirs(spark, f"{base}/{names[0]}")):
+            base, names = f"{base}/{names[0]}", inner
+        if not names:
+            if split is not None:
+                raise ValueError(f"no split {split!r}: the rows are not split")
+            train_name, eval_name = "train", None
+            train, evaluation = spark.read.format(fmt).load(base), None
+        else:
+            if split is not None and split not in names:
+                raise ValueError(f"no split {split!r} among {names}")
+            train_name, eval_name = pick_splits(names)
+            if split is not None:
+                train_name, eval_name = split, pick_splits(names)[1] if pick_splits(names)[1] != split else None
+            train = spark.read.format(fmt).load(f"{base}/{train_name}")
+            evaluation = spark.read.format(fmt).load(f"{base}/{eval_name}") if eval_name else None
     except Exception as exc:  # noqa: BLE001 - one error for every cause, as the reference
         raise RuntimeError(f"could not detect splits under {root!r}: {exc}") from exc
     if normalise:
@@ -139,6 +161,9 @@ def load_splits(
     return train, evaluation, train_name, eval_name
 
 
+MAX_SPLITS = 1000
+
+
 def load_splits_by_column(
     spark: SparkSession,
     path: str,
@@ -149,10 +174,13 @@ def load_splits_by_column(
 ) -> tuple[DataFrame, DataFrame | None, str, str | None]:
     """O-5 for one table holding every split in ``column`` (usually a
     partition column, so the filters below prune whole folders). Only the
-    distinct split names reach the driver."""
+    distinct split names reach the driver, ``MAX_SPLITS`` of them at most: a
+    column with more is no split column and raises ``RuntimeError``."""
     try:
         df = spark.read.format(fmt).load(path)
-        names = [r[0] for r in df.select(column).distinct().collect() if r[0] is not None]
+        names = [r[0] for r in df.select(column).distinct().limit(MAX_SPLITS + 1).collect() if r[0] is not None]
+        if len(names) > MAX_SPLITS:
+            raise ValueError(f"column {column!r} has over {MAX_SPLITS} values")
         train_name, eval_name = pick_splits(names)
     except Exception as exc:  # noqa: BLE001
         raise RuntimeError(f"could not detect splits in {path!r}: {exc}") from exc
@@ -181,17 +209,24 @@ def read_prompts(
     out = literal_table(spark, [(i, p) for i, p in enumerate(literals)], PROMPT_SCHEMA) if literals else None
     if path is not None:
         lines = spark.read.text(path).select(
-            F.input_file_name().alias("_gw_file"),
+            F.col("_metadata.file_path").alias("_gw_file"),
+            F.col("_metadata.file_block_start").alias("_gw_block"),
             F.monotonically_increasing_id().alias("_gw_pos"),
             py_strip("value").alias("prompt"),
         )
-        kept = lines.filter(F.length("prompt") > 0)
-        indexed, _ = with_row_index(kept, ["_gw_file", "_gw_pos"], "_gw_line", count=False)
+        # the position must be the same for both uses in the row index
+        kept = reliable_checkpoint(lines.filter(F.length("prompt") > 0))
+        indexed, _ = with_row_index(kept, ["_gw_file", "_gw_block", "_gw_pos"], "_gw_line", count=False)
         from_file = indexed.select((F.col("_gw_line") + F.lit(len(literals))).alias("prompt_id"), "prompt")
         out = from_file if out is None else out.unionByName(from_file)
     return out
 
 
+def _plain_path(path: str):
+    """A path without the ``file:`` scheme and its empty authority."""
+    return F.regexp_replace(path, "^file:(//)?(?=/)", "")
+
+
 def resolve_images(
     samples: DataFrame,
     files: DataFrame,
@@ -201,22 +236,24 @@ def resolve_images(
     """O-7: (resolved, skipped) samples.
 
     A sample resolves when it carries image bytes, or when its path names a
-    file of ``files`` (a ``binaryFile`` listing; ``file:`` prefixes are
-    ignored). Resolved rows get ``image`` bytes; skipped ones are returned for
-    reporting and never numbered. Remote URLs are not fetched.
+    file of ``files`` (a ``binaryFile`` listing with a row per path; a
+    ``file:`` scheme is ignored). Resolved rows get ``image`` bytes; skipped
+    ones are returned for reporting and never numbered. Which samples resolve
+    is found from the paths alone, so the skipped list reads no bytes; these
+    join only resolved samples that carry none. Remote URLs are not fetched.
     """
-    listing = files.select(
-        F.regexp_replace("path", "^file:", "").alias("_gw_path"), F.col("content").alias("_gw_content")
-    )
-    keyed = samples.withColumn("_gw_path", F.regexp_replace(F.col(image_path), "^file:", ""))
-    joined = keyed.join(listing, "_gw_path", "left")
-    have = F.col("_gw_content").isNotNull()
-    if image_bytes is not None:
-        joined = joined.withColumn("_gw_content", F.coalesce(F.col(image_bytes), F.col("_gw_content")))
-        have = F.col("_gw_content").isNotNull()
-    resolved = joined.filter(have).withColumnRenamed("_gw_content", "image").drop("_gw_path")
-    skipped = joined.filter(~have).drop("_gw_content", "_gw_path")
-    return resolved, skipped
+    paths = files.select(_plain_path("path").alias("_gw_path"), F.lit(True).alias("_gw_there"))
+    keyed = samples.withColumn("_gw_path", _plain_path(image_path))
+    own = F.col(image_bytes).isNotNull() if image_bytes is not None else F.lit(False)
+    known = keyed.join(paths, "_gw_path", "left")
+    have = own | F.col("_gw_there").isNotNull()
+    skipped = known.filter(~have).drop("_gw_there", "_gw_path")
+    contents = files.select(_plain_path("path").alias("_gw_path"), F.col("content").alias("image"))
+    read = keyed.filter(~own).join(contents, "_gw_path").drop("_gw_path")
+    if image_bytes is None:
+        return read, skipped
+    carried = keyed.filter(own).withColumn("image", F.col(image_bytes)).drop("_gw_path")
+    return carried.unionByName(read), skipped
 
 
 def image_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

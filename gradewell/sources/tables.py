@@ -1,30 +1,11 @@
-"""Table scans with a parallelism floor."""
+"""Table scans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def balance(df: DataFrame, keys: list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over at least ``min_partitions`` tasks (default: the
-    cluster's default parallelism).
-
-    A Parquet file is split at row-group boundaries, so a small file written
-    as one row group is read by one task and every per-row expression after
-    it runs on one core. Only then is the scan output round-robin
-    repartitioned; a large input already has more splits than cores and is
-    returned unchanged (no extra shuffle). With ``keys`` (narrow key columns)
-    the spread is a hash partitioning, which needs no sort to be
-    deterministic on retry, unlike round-robin.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
-def read_table(spark: SparkSession, path: str, keys: list[str] | None = None, balanced: bool = True) -> DataFrame:
-    """``spark.read.parquet`` (filters and column pruning reach the scan)."""
-    df = spark.read.parquet(path)
-    return balance(df, keys) if balanced else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` (filters and column pruning reach the scan). The
+    number of tasks follows the files and their row groups, at any size."""
+    return spark.read.parquet(path)

@@ -58,7 +58,7 @@ def stream_normalise(
 def stream_verifiable_rewards(
     completions: DataFrame,
     references: DataFrame,
-    key: str,
+    key: str | list[str],
     sink_path: str,
     checkpoint: str,
     fmt: str = "parquet",

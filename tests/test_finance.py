@@ -122,7 +122,7 @@ def test_finance_reward_properties(spark):
 
 def test_verifiable_reward_range(spark):
     comps, refs = X.verifiable_inputs(spark, SF_SMALL)
-    scored = rewards.score_verifiable(comps, refs, "pair_id")
+    scored = rewards.score_verifiable(comps, refs, ["conv_id", "turn"])
     lo, hi, n = scored.agg(F.min("reward"), F.max("reward"), F.count(F.lit(1))).first()
     assert -0.5 - 1e-12 <= lo and hi <= 2.0 + 1e-12
     assert n == comps.count()
@@ -138,12 +138,17 @@ def test_score_teacher_predicts_each_distinct_text_once(spark):
 
         return predict
 
-    out = {r.text: r.probs for r in rewards.score_teacher(texts, "news", factory).collect()}
-    assert len(out) == 4  # good, long, '', null
-    assert out["good"][2] == pytest.approx(0.7)
     long_text = "bad news " * 300
-    assert out[long_text][0] == pytest.approx(0.1)  # cut to 1,024 characters first
-    assert out[""][1] == pytest.approx(1 / 3)
+    seen = rewards.score_teacher(texts, "news", factory)
+    assert seen.count() == 2  # good and long
+    out = [(r.news, r.probs) for r in rewards.with_teacher(texts, "news", seen).collect()]
+    assert len(out) == 5
+    got = dict(out)
+    assert got["good"][2] == pytest.approx(0.7)
+    assert got[long_text][0] == pytest.approx(0.7)  # the whole text is read
+    assert got[""][1] == pytest.approx(1 / 3) and got[None][1] == pytest.approx(1 / 3)
+    window = rewards.score_teacher(texts, "news", factory, max_chars=1024)
+    assert dict((r.news, r.probs) for r in rewards.with_teacher(texts, "news", window).collect())[long_text][0] == pytest.approx(0.1)
 
 
 def test_extraction_folds_like_python_re(spark):

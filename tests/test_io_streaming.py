@@ -34,7 +34,7 @@ def test_read_examples_required_columns(spark, tmp_dir):
     _write_lines(path, [json.dumps({"text": "t", "reasoning": "r", "sentiment": "positive", "confidence": 0.7, "extra": 1})])
     df = read_examples(spark, path, SFT_REQUIRED)
     assert df.count() == 1 and "extra" in df.columns
-    with pytest.raises(ValueError, match="missing: label"):
+    with pytest.raises(ValueError, match="no column label"):
         read_examples(spark, path, ("text", "label"))
     rl = os.path.join(tmp_dir, "rl", "b.jsonl")
     _write_lines(rl, [json.dumps({"prompt": "x"})])

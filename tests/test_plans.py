@@ -38,6 +38,40 @@ def test_group_operators_use_no_window(spark, name):
     assert "Window" not in _executed_plan(QUERIES[name](spark, SF_SMALL))
 
 
+def test_hot_group_is_dealt_by_salt(spark):
+    """With broadcast off, as at scale, best-of-group exchanges between its two steps."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = QUERIES["q_best_of_group"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
+        physical = QUERIES["q_best_of_group"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Aggregate") >= 4
+    first = physical.index("_gw_salt", physical.index("hashpartitioning"))
+    assert "hashpartitioning(prompt_id#" in physical and "_gw_salt" in physical[first : first + 20]
+    steps = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
+    assert "_gw_salt" not in steps[0] and "_gw_salt" in steps[1]
+
+
+@pytest.mark.parametrize("name", ["q_accuracy", "q_status_counts"])
+def test_counting_builds_without_work(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build-{name}", name)
+    QUERIES[name](spark, SF_SMALL)
+    jobs = tracker.getJobIdsForGroup(f"build-{name}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 1  # the footer read that gives the table's schema
+
+
+def test_generations_join_no_prompt_text(spark):
+    for name in ("q_news_from_prompt", "q_prompt_completion"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        join = plan.index("Join Inner")
+        assert "lineitem" not in plan or "completion" not in plan
+        assert "prompt#" not in plan[join : plan.index("\n", join)]
+
+
 def test_scans_read_only_used_columns(spark):
     plan = _executed_plan(QUERIES["q_finance_reward"](spark, SF_SMALL))
     assert "l_quantity" not in plan and "l_shipdate" not in plan and "o_totalprice" not in plan

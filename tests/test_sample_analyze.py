@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 
 from gradewell.operators import analyze, sample
 from gradewell.sources.readers import pick_splits
-from gradewell.sources.tables import balance
 
 
 @pytest.mark.parametrize("parts", [1, 4, 7])
 def test_row_index_dense_and_partition_independent(spark, parts):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(parts)
-    idx, n = sample.with_row_index(df, ["k"], num_partitions=parts)
+    idx, n = sample.with_row_index(df, ["k"])
     rows = idx.collect()
     assert n == 1000
     assert sorted(r.row_index for r in rows) == list(range(1000))
@@ -23,8 +22,8 @@ def test_take_skip_disjoint_and_complete(spark):
     out = sample.take_skip_split(df, ["k"]).collect()
     train = {r.k for r in out if r.split == "train"}
     val = {r.k for r in out if r.split == "validation"}
-    assert len(train) == int(0.8 * 103) and len(val) == int(0.2 * 103)
-    assert not train & val and max(train) < min(val)
+    assert len(train) == int(0.8 * 103) and len(out) == 103
+    assert train | val == set(range(103)) and not train & val and max(train) < min(val)
     est = sample.take_skip_split(df, ["k"], estimated_total=50).collect()
     assert sum(r.split == "train" for r in est) == 40 and sum(r.split == "validation" for r in est) == 10
 
@@ -107,13 +106,6 @@ def test_accuracy_list_truth(spark):
     assert row.accuracy == pytest.approx(1 / 3, abs=1e-6)
 
 
-def test_balance_only_when_needed(spark):
-    one = spark.range(0, 100, numPartitions=1)
-    assert balance(one, min_partitions=4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, numPartitions=6)
-    assert balance(many, min_partitions=4).rdd.getNumPartitions() == 6
-
-
 def test_reward_summary_rollup_and_cube(spark):
     df = spark.createDataFrame(
         [("a", "x", 1.0, 1.0), ("a", "y", 0.0, 0.0), ("b", "x", 0.5, 1.0)], "s string, t string, reward double, gate double"
@@ -138,3 +130,31 @@ def test_number_results_skips_and_limit(spark):
     assert out[3].model_answer == "ERROR: boom"
     limited = number_results(df, ["k"], max_samples=3).collect()
     assert sorted(r.k for r in limited) == [0, 2, 3]
+
+
+def test_row_index_joins_other_columns(spark):
+    df = spark.createDataFrame([(i % 7, i, f"t{i}") for i in range(50)], "a int, b int, text string")
+    idx, n = sample.with_row_index(df, ["a", "b"], "place")
+    rows = idx.orderBy("place").collect()
+    assert n == 50 and [(r.a, r.b) for r in rows] == sorted((i % 7, i) for i in range(50))
+    assert all(r.text == f"t{r.b}" for r in rows)
+
+
+def test_slices_may_overlap(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    out = sample.split_by_slices(df, {"a": "x[:60%]", "b": "x[4:]", "none": "x[:0]"}, ["k"]).collect()
+    assert sorted((r.split, r.k) for r in out) == [("a", k) for k in range(6)] + [("b", k) for k in range(4, 10)]
+
+
+def test_three_way_split(spark):
+    train, held = spark.range(11).withColumnRenamed("id", "k"), spark.range(100, 103).withColumnRenamed("id", "k")
+    out = sample.three_way_split(train, held, ["k"]).collect()
+    assert sorted(r.k for r in out if r.split == "test") == [100, 101, 102]
+    assert sum(r.split == "train" for r in out) == 8 and sum(r.split == "validation" for r in out) == 3
+
+
+def test_best_of_group_string_ties_and_exact_order(spark):
+    rows = [(1, "b", 0.5), (1, "a", 0.5), (1, "c", 0.5000004), (2, "z", 0.1), (2, "y", 0.1), (3, "n", None)]
+    df = spark.createDataFrame(rows, "g int, id string, reward double")
+    got = {r.g: (r.id, r.reward, r.n_generations) for r in analyze.best_of_group(df, "g", "reward", ["id"]).collect()}
+    assert got == {1: ("c", 0.5000004, 3), 2: ("y", 0.1, 2), 3: ("n", None, 1)}
