@@ -107,6 +107,17 @@ LOGIC_CONCLUSION_WORDS = ("therefore", "thus")
 LOGIC_HEDGE_WORDS = ("mixed", "uncertain", "cautious")
 TIMING_TERMS = ("short-term", "long-term", "near-term")
 FUTURE_TERM = "future"
+# Scores of the reasoning rules: terms that count in full, weights, bonuses.
+QUALITY_TERMS_FULL, QUALITY_TERMS_WEIGHT = 3.0, 0.4
+QUALITY_LINKS_FULL, QUALITY_LINKS_WEIGHT = 2.0, 0.3
+QUALITY_BOTH_CUES, QUALITY_ONE_CUE = 0.3, 0.15
+LOGIC_CONTRADICTIONS = (("growth", "decline"), ("profit", "loss"))
+LOGIC_BASE, LOGIC_CONTRADICTED = 0.5, 0.2
+LOGIC_CONCLUSION, LOGIC_HEDGE = 0.3, 0.2
+CONTEXT_TERMS_FULL, CONTEXT_TERMS_WEIGHT = 3.0, 0.6
+CONTEXT_HORIZON, CONTEXT_FUTURE = 0.4, 0.2
+BUNDLE_WEIGHTS = {"quality": 0.5, "logic": 0.3, "context": 0.2}
+FINANCE_WEIGHTS = {"sentiment": 0.35, "reasoning": 0.25, "calibration": 0.20, "direction": 0.15}
 DIRECTION_POSITIVE_CUES = ("increase", "growth", "improve", "up", "higher")
 DIRECTION_NEGATIVE_CUES = ("decrease", "decline", "worse", "down", "lower")
 
@@ -183,3 +194,10 @@ MIN_TOTAL_EXAMPLES = 20
 MAX_PROMPT_TOKENS = 1024
 TRAIN_FRACTION = 0.8
 VALIDATION_FRACTION = 0.2
+
+# FIXED VALUES - layout of the evaluation summary
+SUMMARY_RULE = "=" * 50
+SUMMARY_HEADER = ("Model: ", "Adapter: ", "Total samples processed: ", "Output directory: ")
+SAMPLE_HEADER = "SAMPLE %02d\n"
+SAMPLE_RULE = "-" * 30
+SAMPLE_FIELDS = ("Image: ", "Question: ", "Ground Truth: ", "Model Answer: ", "Status: ")

@@ -179,9 +179,11 @@ def reasoning_quality(reasoning: str, lowered: bool = False) -> Column:
     + cue balance (0.3 both polarities, 0.15 one), clamped to [0, 1]."""
     t = _text(reasoning, lowered)
     pos, neg = _any(t, K.QUALITY_POSITIVE_CUES), _any(t, K.QUALITY_NEGATIVE_CUES)
-    terms = f"least({_count(t, K.FINANCIAL_TERMS)} / 3.0D, 1.0D) * 0.4D"
-    links = f"least({_count(t, K.CONNECTIVES)} / 2.0D, 1.0D) * 0.3D"
-    balance = f"CASE WHEN {pos} AND {neg} THEN 0.3D WHEN {pos} OR {neg} THEN 0.15D ELSE 0.0D END"
+    terms = f"least({_count(t, K.FINANCIAL_TERMS)} / {K.QUALITY_TERMS_FULL}D, 1.0D) * {K.QUALITY_TERMS_WEIGHT}D"
+    links = f"least({_count(t, K.CONNECTIVES)} / {K.QUALITY_LINKS_FULL}D, 1.0D) * {K.QUALITY_LINKS_WEIGHT}D"
+    balance = (
+        f"CASE WHEN {pos} AND {neg} THEN {K.QUALITY_BOTH_CUES}D WHEN {pos} OR {neg} THEN {K.QUALITY_ONE_CUE}D ELSE 0.0D END"
+    )
     return F.expr(_clamp01_sql(f"{terms} + {links} + {balance}"))
 
 
@@ -189,40 +191,39 @@ def reasoning_logic(reasoning: str, lowered: bool = False) -> Column:
     """O-36: 0.5 (0.2 when growth & decline or profit & loss) + 0.3 for a
     conclusion word + 0.2 for a hedge word, clamped."""
     t = _text(reasoning, lowered)
-    contradictory = (
-        f"(({_has(t, 'growth')} AND {_has(t, 'decline')}) OR ({_has(t, 'profit')} AND {_has(t, 'loss')}))"
-    )
-    base = f"CASE WHEN {contradictory} THEN 0.2D ELSE 0.5D END"
-    conclusion = f"CASE WHEN {_any(t, K.LOGIC_CONCLUSION_WORDS)} THEN 0.3D ELSE 0.0D END"
-    hedge = f"CASE WHEN {_any(t, K.LOGIC_HEDGE_WORDS)} THEN 0.2D ELSE 0.0D END"
+    contradictory = " OR ".join(f"({_has(t, a)} AND {_has(t, b)})" for a, b in K.LOGIC_CONTRADICTIONS)
+    base = f"CASE WHEN {contradictory} THEN {K.LOGIC_CONTRADICTED}D ELSE {K.LOGIC_BASE}D END"
+    conclusion = f"CASE WHEN {_any(t, K.LOGIC_CONCLUSION_WORDS)} THEN {K.LOGIC_CONCLUSION}D ELSE 0.0D END"
+    hedge = f"CASE WHEN {_any(t, K.LOGIC_HEDGE_WORDS)} THEN {K.LOGIC_HEDGE}D ELSE 0.0D END"
     return F.expr(_clamp01_sql(f"{base} + {conclusion} + {hedge}"))
 
 
 def reasoning_context(reasoning: str, lowered: bool = False) -> Column:
     """O-37: 0.6 x min(context terms / 3, 1) + timing (0.4 horizon, 0.2 future), clamped."""
     t = _text(reasoning, lowered)
-    terms = f"least({_count(t, K.CONTEXT_TERMS)} / 3.0D, 1.0D) * 0.6D"
+    terms = f"least({_count(t, K.CONTEXT_TERMS)} / {K.CONTEXT_TERMS_FULL}D, 1.0D) * {K.CONTEXT_TERMS_WEIGHT}D"
     timing = (
-        f"CASE WHEN {_any(t, K.TIMING_TERMS)} THEN 0.4D WHEN {_has(t, K.FUTURE_TERM)} THEN 0.2D ELSE 0.0D END"
+        f"CASE WHEN {_any(t, K.TIMING_TERMS)} THEN {K.CONTEXT_HORIZON}D "
+        f"WHEN {_has(t, K.FUTURE_TERM)} THEN {K.CONTEXT_FUTURE}D ELSE 0.0D END"
     )
     return F.expr(_clamp01_sql(f"{terms} + {timing}"))
 
 
 @dataclass(frozen=True)
 class BundleWeights:
-    quality: float = 0.5
-    logic: float = 0.3
-    context: float = 0.2
+    quality: float = K.BUNDLE_WEIGHTS["quality"]
+    logic: float = K.BUNDLE_WEIGHTS["logic"]
+    context: float = K.BUNDLE_WEIGHTS["context"]
 
 
 @dataclass(frozen=True)
 class FinanceWeights:
     """Weights of the finance reward; they total 0.95 as in the reference (Q-1)."""
 
-    sentiment: float = 0.35
-    reasoning: float = 0.25
-    calibration: float = 0.20
-    direction: float = 0.15
+    sentiment: float = K.FINANCE_WEIGHTS["sentiment"]
+    reasoning: float = K.FINANCE_WEIGHTS["reasoning"]
+    calibration: float = K.FINANCE_WEIGHTS["calibration"]
+    direction: float = K.FINANCE_WEIGHTS["direction"]
 
 
 def directional(reasoning: str, sentiment: str, lowered: bool = False) -> Column:

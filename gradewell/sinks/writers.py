@@ -57,11 +57,10 @@ def summary_lines(
     header = total.select(
         F.lit(-1).cast("long").alias("_gw_order"),
         F.concat(
-            F.lit(title + "\n" + "=" * 50 + "\n\n"),
-            F.lit(f"Model: {model}\nAdapter: {adapter}\n"),
-            F.lit("Total samples processed: "),
+            F.lit(f"{title}\n{K.SUMMARY_RULE}\n\n{K.SUMMARY_HEADER[0]}{model}\n{K.SUMMARY_HEADER[1]}{adapter}\n"),
+            F.lit(K.SUMMARY_HEADER[2]),
             F.col("n").cast("string"),
-            F.lit(f"\nOutput directory: {output_dir}\n"),
+            F.lit(f"\n{K.SUMMARY_HEADER[3]}{output_dir}\n"),
         ).alias("value"),
     )
     truth = results.schema["ground_truth"].dataType.simpleString() if "ground_truth" in results.columns else ""
@@ -71,18 +70,13 @@ def summary_lines(
         else F.col("ground_truth").cast("string")
     )
     none = F.lit("None")
-    number = F.format_string("SAMPLE %02d\n", F.col("sample_id") + 1)
-    fields = {
-        "Image": F.col("image_path"),
-        "Question": F.col("question"),
-        "Ground Truth": gt,
-        "Model Answer": F.col("model_answer"),
-        "Status": F.col("processing_status"),
-    }
-    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v, none), F.lit("\n")) for k, v in fields.items()]
+    number = F.format_string(K.SAMPLE_HEADER, F.col("sample_id") + 1)
+    number = F.when(F.col("sample_id").isNull(), F.lit(K.SAMPLE_HEADER.replace("%02d", "None"))).otherwise(number)
+    values = [F.col("image_path"), F.col("question"), gt, F.col("model_answer"), F.col("processing_status")]
+    lines = [F.concat(F.lit(k), F.coalesce(v, none), F.lit("\n")) for k, v in zip(K.SAMPLE_FIELDS, values)]
     blocks = results.select(
         F.col("sample_id").cast("long").alias("_gw_order"),
-        F.concat(F.when(F.col("sample_id").isNull(), F.lit("SAMPLE None\n")).otherwise(number), F.lit("-" * 30 + "\n"), *lines).alias("value"),
+        F.concat(number, F.lit(K.SAMPLE_RULE + "\n"), *lines).alias("value"),
     )
     return header.unionByName(blocks)
 
