@@ -54,7 +54,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "flat-tokens")
-    token_counts.write_flat(table(spark, sf_dir, "documents"), path, BYTE_BPE)
+    token_counts.write_flat(table(spark, sf_dir, "documents"), path, BYTE_BPE, compression="gzip")
     return token_counts.count_tokens(spark, path)
 
 

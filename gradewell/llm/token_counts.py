@@ -8,6 +8,7 @@ and a prefix maximum gives it the end of the document before its first one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,13 @@ BLOCK_IDS = 1 << 20
 
 
 def write_flat(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, kind: str = KIND, ordered: bool = False
+    docs: DataFrame,
+    path: str,
+    tokenizer_path: str,
+    end_id: int = END_ID,
+    kind: str = KIND,
+    ordered: bool = False,
+    compression: str = "none",
 ) -> None:
     """Ids of every text as flat files, each document closed by ``end_id``,
     whose bytes must be valid UTF-8. Null texts are the end id alone.
@@ -36,6 +43,7 @@ def write_flat(
     Spark's text writer does the writing: a document's bytes are a line, the
     end id is the line separator. Documents are in the order of the rows, or
     with ``ordered`` ascending by doc_id, which shuffles the texts.
+    ``compression`` is none or gzip, of each file as a whole.
     """
     closing = np.array(end_id, kind).tobytes().decode()
     small_batches(docs.sparkSession)
@@ -50,7 +58,31 @@ def write_flat(
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["value"])
 
     rows = (in_order(docs) if ordered else docs).select("text").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", closing).text(path)
+    rows.select(F.col("value").cast("string")).write.option("lineSep", closing).text(path, compression=compression)
+
+
+def pieces(content: memoryview, size: int, packed: bool) -> Iterator[memoryview | bytes]:
+    """The content of a file in pieces of ``size`` bytes, the last one shorter.
+    A packed file is unpacked piece by piece."""
+    if not packed:
+        yield from (content[at : at + size] for at in range(0, len(content), size))
+        return
+    unpack, held = zlib.decompressobj(wbits=31), b""
+    for at in range(0, len(content), size):
+        feed = content[at : at + size]
+        while feed:
+            held += unpack.decompress(feed, size - len(held))
+            feed = unpack.unconsumed_tail
+            if len(held) == size:
+                yield held
+                held = b""
+    while more := unpack.decompress(unpack.unconsumed_tail, size - len(held)):
+        held += more
+        if len(held) == size:
+            yield held
+            held = b""
+    if held:
+        yield held
 
 
 def scan_blocks(
@@ -65,11 +97,11 @@ def scan_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path"), batch.column("content")):
-                buffer, width = content.as_buffer(), np.dtype(kind).itemsize
-                ids = np.frombuffer(buffer, kind, count=buffer.size // width)
-                for block, at in enumerate(range(0, len(ids), block_ids)):
-                    part = ids[at : at + block_ids]
-                    row = {"file": file.as_py(), "block": block, "size": len(part)}
+                name, width = file.as_py(), np.dtype(kind).itemsize
+                each = pieces(memoryview(content.as_buffer()), block_ids * width, name.endswith(".gz"))
+                for block, raw in enumerate(each):
+                    part = np.frombuffer(raw, kind, count=len(raw) // width)
+                    row = {"file": name, "block": block, "size": len(part)}
                     row["ends"] = np.flatnonzero(part == end_id)
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
 

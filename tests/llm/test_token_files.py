@@ -81,11 +81,12 @@ def test_store_of_empty_table(spark, documents):
     assert token_store.checksums(token_store.read_tokens(spark, path)).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
 @pytest.mark.parametrize("block", [3, 7, 1000])
-def test_counts_over_blocks(spark, documents, odd_rows, block):
+def test_counts_over_blocks(spark, documents, odd_rows, block, compression):
     path = f"{tempfile.mkdtemp()}/flat"
     small = [(i, t) for i, t in odd_rows if len(t or "") < 1000]
-    token_counts.write_flat(documents(small), path, BYTE_BPE, ordered=True)
+    token_counts.write_flat(documents(small), path, BYTE_BPE, ordered=True, compression=compression)
     got = token_counts.count_tokens(spark, path, block_ids=block).orderBy("doc_index").collect()
     tokenizer = library(False)
     sizes = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ordered(small)]
@@ -130,3 +131,14 @@ def test_counts_of_empty_table(spark, documents):
     path = f"{tempfile.mkdtemp()}/flat"
     token_counts.write_flat(documents([]), path, BYTE_BPE)
     assert token_counts.count_tokens(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+def test_pieces_of_packed_files(size):
+    raw = np.random.default_rng(1).integers(0, 9, 5000).astype("<u4").tobytes()
+    import gzip
+
+    for content, packed in ((raw, False), (gzip.compress(raw), True)):
+        got = [bytes(x) for x in token_counts.pieces(memoryview(content), size, packed)]
+        assert b"".join(got) == raw
+        assert all(len(x) == size for x in got[:-1])
