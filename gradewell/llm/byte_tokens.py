@@ -13,7 +13,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CACHED = 600_000  # chunks a task remembers
+CACHED = 250_000  # chunks a task remembers
+TOGETHER = 200  # new chunks in a text for the library
 # a space that the chunk rule does not cover: such texts are encoded in whole
 ODD_SPACE = re.compile(r" (?=\s|$)")
 # After a letter or digit, a run of these to the chunk's end is a piece of its own.
@@ -49,11 +50,11 @@ class Encoder:
         cut = [(c, base) for c in new if (base := c.rstrip(TAIL)) != c and base and base[-1].isalnum()]
         fresh = list(new.difference([c for c, _ in cut]).union([b for _, b in cut]).difference(known))
         if fresh:
-            text = " " + " ".join(fresh)
-            raw = self._ids([text])[0]
+            texts = [" " + " ".join(fresh[at : at + TOGETHER]) for at in range(0, len(fresh), TOGETHER)]
+            raw = b"".join(self._ids(texts))
             ends = np.cumsum(self.size[np.frombuffer(raw, "<u4")])
             # a chunk ends where the next one's space begins
-            spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+            spaces = np.flatnonzero(np.frombuffer("".join(texts).encode(), np.uint8) == 32)
             stops = 4 * (np.searchsorted(ends, np.append(spaces[1:], ends[-1])) + 1)
             starts = np.append(0, stops[:-1])
             known.update(zip(fresh, map(raw.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
