@@ -6,9 +6,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from gradewell.llm import decontaminate, language_id
 from gradewell.llm.common import id_crc
-from test_bpe import by_library
-from test_line_dedup import brute as slow_lines
-from test_simhash import slow as slow_groups
+from .test_bpe import by_library
+from .test_line_dedup import brute as slow_lines
+from .test_simhash import slow as slow_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
