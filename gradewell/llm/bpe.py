@@ -30,6 +30,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NEVER = np.int64(1 << 40)
 CACHED = 300_000  # chunks a task remembers, and as many words
 PLAIN = regex.compile(r"[\x00-\u024f]*+")
+# Runs of these to a chunk's end, after a letter, are a word of their own.
+TAIL = ".,;:!?#$%&*|)"
 SHORT = 48  # symbols up to which exact merging scans instead of using a heap
 
 
@@ -279,41 +281,63 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo:
-    """Per chunk: its token ids and its decoded text, each joined by spaces."""
+    """Per chunk: its token ids and its decoded text, each joined by spaces.
+    A chunk without white space always has a token."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.known, self.tokens = codec, {}, {}
+        self.codec = codec
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, str]] = {}  # of words
 
-    def learn(self, wanted: set[str]) -> None:
-        if len(self.known) + len(wanted) > CACHED:
-            self.known = {c: k for c, k in self.known.items() if c in wanted}
-        new = [c for c in wanted if c not in self.known]
-        parts = [self.codec.split(c) for c in new]
-        words = {w for p in parts for w in p if isinstance(w, str)}
+    def _learn_words(self, words: set[str]) -> None:
         if len(self.tokens) + len(words) > CACHED:
             self.tokens = {w: t for w, t in self.tokens.items() if w in words}
         text = self.codec.text
         if fresh := [w for w in words if w not in self.tokens]:
             for w, ids in zip(fresh, self.codec.encode_words(fresh)):
                 self.tokens[w] = " ".join(map(str, ids)), " ".join([text[i] for i in ids])
-        known, tokens = self.known, self.tokens
-        for chunk, p in zip(new, parts):
-            if len(p) == 1 and isinstance(p[0], str):
-                known[chunk] = tokens[p[0]]
+
+    def learn(self, wanted: set[str]) -> None:
+        if len(self.ids) + len(wanted) > CACHED:
+            self.ids = {c: k for c, k in self.ids.items() if c in wanted}
+            self.decoded = {c: k for c, k in self.decoded.items() if c in wanted}
+        words: set[str] = set()
+        plain, others = [], []
+        for chunk in wanted.difference(self.ids):
+            # most are letters, or letters before a run of punctuation
+            base = chunk.rstrip(TAIL)
+            word = base.lower()
+            if word.isalpha() and (word.isascii() or PLAIN.fullmatch(base)):
+                tail = chunk[len(base) :]
+                plain.append((chunk, word, tail))
+                words.add(word)
+                words.add(tail)
+            else:
+                parts = self.codec.split(chunk)
+                others.append((chunk, parts))
+                words.update([w for w in parts if isinstance(w, str)])
+        words.discard("")
+        self._learn_words(words)
+        ids, decoded, tokens, text = self.ids, self.decoded, self.tokens, self.codec.text
+        for chunk, word, tail in plain:
+            if tail:
+                (a, b), (c, d) = tokens[word], tokens[tail]
+                ids[chunk], decoded[chunk] = f"{a} {c}", f"{b} {d}"
             else:
-                both = [tokens[w] if isinstance(w, str) else (str(w), text[w]) for w in p]
-                known[chunk] = " ".join([i for i, _ in both]), " ".join([d for _, d in both])
+                ids[chunk], decoded[chunk] = tokens[word]
+        for chunk, parts in others:
+            both = [tokens[w] if isinstance(w, str) else (str(w), text[w]) for w in parts]
+            ids[chunk] = " ".join([i for i, _ in both])
+            decoded[chunk] = " ".join([d for _, d in both])
 
     def of(self, texts) -> Iterator[tuple[str, str]]:
         """Ids and decoded text of each text; null counts as empty. The new
         chunks of all texts are learned at once, so that numpy's calls are few."""
         own = [chunks(t) if t else [] for t in texts]
-        self.learn({c for x in own for c in x})
-        known = self.known
+        self.learn(set().union(*own))
         for x in own:
-            # a chunk of nothing but dropped characters has no ids and adds no space
-            both = [k for c in x if (k := known[c])[0]]
-            yield " ".join([i for i, _ in both]), " ".join([d for _, d in both])
+            yield " ".join(map(self.ids.__getitem__, x)), " ".join(map(self.decoded.__getitem__, x))
 
 
 def load_spec(path: str) -> dict:
