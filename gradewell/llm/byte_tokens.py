@@ -8,6 +8,7 @@ returned tokens tell where each chunk ends.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 
@@ -25,9 +26,15 @@ class Encoder:
     """``special`` False makes the special tokens' strings ordinary text."""
 
     def __init__(self, spec: str, special: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        # the memo here replaces the library's word cache, whose memory a
+        # worker process would keep for every tokenizer of every task
+        model = self.tokenizer.model
+        model._resize_cache(0)
+        self.tokenizer.model = model
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = not special
