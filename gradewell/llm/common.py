@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from gradewell.session import ensure_checkpoint_dir
 
-# Rows a Python worker gets at once. Documents are a few KB on average and
-# some are very long, so a batch of Spark's default 10,000 rows can be large.
-BATCH_ROWS = 1000
+# Rows a Python worker gets at once, and rows the ORC reader holds. Documents
+# are a few KB on average and some are very long, so batches of Spark's default
+# 10,000 and 4,096 rows can be large.
+BATCH_ROWS = 256
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.orc.columnarReaderBatchSize")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size of the session to ``BATCH_ROWS``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's batch sizes to ``BATCH_ROWS``."""
+    for key in BATCHES:
+        if int(spark.conf.get(key)) > BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
