@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from gradewell.llm.common import id_crc, stored, table
+from gradewell.llm.common import discard, id_crc, stored, table
 from gradewell.llm.queries import WORD_BPE
 
 # No stage but the line dedup can be said in SQL; the stages are tested
@@ -65,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared folder and read back as the next stage's input."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, name.replace(" ", "-"))
+            if k:
+                discard(before)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import stored
+from gradewell.llm.common import discard, stored
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -21,15 +21,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ends = both.select(F.col("a").alias("node")).distinct()
     labels = stored(ends.join(nodes, "node"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
         least = near.agg(F.min("label").alias("near"))
         moved = labels.join(least, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        target = stored(moved, "labels-near")
-        jump = target.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        stepped = target.join(jump, F.col("new.node") == F.col("via")).select(
+        jump = moved.select(F.col("node").alias("via"), F.col("new").alias("far"))
+        stepped = moved.join(jump, F.col("new.node") == F.col("via")).select(
             "node", F.least("new", "far").alias("label"), "old"
         )
         after = stored(stepped, "labels")
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where(F.col("label") != F.col("old")).isEmpty():
-            return labels
+            discard(both)
+            return after.select("node", "label")

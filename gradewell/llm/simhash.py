@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import small_batches, stored
+from gradewell.llm.common import discard, small_batches, stored
 from gradewell.llm.components import components
 
 SEED = 42
@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
         distinct.join(found, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id")),
         "components",
     )
+    discard(distinct)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import small_batches, stored
+from gradewell.llm.common import discard, small_batches, stored
 
 WORD = re.compile(r"\w+")
 GRAMS = (4, 5)  # character n-grams of a word with its ends marked
@@ -179,6 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
             yield pd.DataFrame({"positive": batch["positive"], "places": raw})
 
     got = rows.mapInPandas(used, "positive boolean, places binary").toPandas().sort_values(["positive", "places"])
+    discard(rows)
     places = [np.frombuffer(r, "<i4") for r in got["places"]]
     weight, bias = train(places, got["positive"].to_numpy(bool), prior, len(chosen))
     return Model(chosen, weight, bias)
