@@ -53,9 +53,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     path = shared_path(spark, "flat-tokens")
-    token_counts.write_flat(table(spark, sf_dir, "documents"), path, BYTE_BPE, compression="gzip")
-    return token_counts.count_tokens(spark, path)
+    token_counts.write_flat(docs, path, BYTE_BPE, compression="gzip")
+    # doc_index is the rank by doc_id; count_documents has it as a column
+    return token_counts.count_documents(spark, path, docs.schema["doc_id"].dataType.simpleString()).select(
+        "doc_id", "start", "n_tokens"
+    )
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ from gradewell.llm.token_store import in_order
 KIND = ">u2"
 END_ID = 0xC580
 BLOCK_IDS = 1 << 20
+# Subfolders of a written folder: the flat files, and which document stands where.
+PART, FLAT, SIDE = "part", "flat", "documents"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def write_flat(
@@ -44,21 +47,51 @@ def write_flat(
     end id is the line separator. Documents are in the order of the rows, or
     with ``ordered`` ascending by doc_id, which shuffles the texts.
     ``compression`` is none or gzip, of each file as a whole.
+
+    The same tasks write a side table: a line (place in the file, doc_id) for
+    each document, in a file of the same name in another subfolder. Both files
+    of a task are open at once, so that nothing is sorted.
     """
     closing = np.array(end_id, kind).tobytes().decode()
     small_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder, place = None, 0
         for batch in batches:
             encoder = encoder or Encoder(spec.value, special=False)
             each = encoder.encode(batch.column("text").to_pylist())
             raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in each]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["value"])
-
-    rows = (in_order(docs) if ordered else docs).select("text").mapInArrow(run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", closing).text(path, compression=compression)
+            ids = batch.column("doc_id").to_pylist()
+            raw += [f"{place + k} {'' if i is None else i}".encode() for k, i in enumerate(ids)]
+            place += len(ids)
+            parts = [FLAT] * len(ids) + [SIDE] * len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array(parts)], ["value", PART])
+
+    spark = docs.sparkSession
+    kept = (in_order(docs) if ordered else docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    rows = kept.mapInArrow(run, f"value binary, {PART} string").select(F.col("value").cast("string"), PART)
+    before = spark.conf.get(WRITERS, "0")
+    spark.conf.set(WRITERS, "2")
+    try:
+        rows.write.partitionBy(PART).option("lineSep", closing).text(path, compression=compression)
+    finally:
+        spark.conf.set(WRITERS, before)
+
+
+def read_places(spark: SparkSession, path: str, id_type: str, end_id: int = END_ID, kind: str = KIND) -> DataFrame:
+    """The side table of a written folder: (name, place, doc_id), the name of
+    the flat file and the place of the document in it, 0 first."""
+    closing = np.array(end_id, kind).tobytes().decode()
+    lines = spark.read.option("lineSep", closing).text(path)
+    if PART in lines.columns:  # else no document was written
+        lines = lines.where(F.col(PART) == SIDE)
+    own = F.split("value", " ", 2)
+    return lines.select(
+        F.substring_index("_metadata.file_path", "/", -1).alias("name"),
+        own[0].cast("long").alias("place"),
+        F.when(own[1] != "", own[1]).cast(id_type).alias("doc_id"),
+    )
 
 
 def pieces(content: memoryview, size: int, packed: bool) -> Iterator[memoryview | bytes]:
@@ -105,8 +138,10 @@ def scan_blocks(
                     row["ends"] = np.flatnonzero(part == end_id)
                     yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block long, size long, ends array<long>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if PART in files.columns:
+        files = files.where(F.col(PART) == FLAT)
+    return files.select("path", "content").mapInArrow(run, "file string, block long, size long, ends array<long>")
 
 
 def count_tokens(
@@ -114,6 +149,46 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: doc_index (0 first), start (ids before it) and
     n_tokens (with its end id), over all files in order of their names.
+    """
+    return scan_documents(spark, path, end_id, kind, block_ids).select("doc_index", "start", "n_tokens")
+
+
+def count_documents(spark: SparkSession, path: str, id_type: str = "long", block_ids: int = BLOCK_IDS) -> DataFrame:
+    """One row per document of a folder that ``write_flat`` wrote: doc_id,
+    doc_index, start and n_tokens.
+
+    Scanned counts get their doc_id by file and place. doc_index and start are
+    those of the documents in order of doc_id, nulls first, then n_tokens, so
+    they do not depend on the files the rows came to. Only numbers are shuffled.
+    """
+    scanned = scan_documents(spark, path, block_ids=block_ids).where("place is not null")
+    counts = scanned.select(F.substring_index("file", "/", -1).alias("name"), "place", "n_tokens")
+    named = counts.join(read_places(spark, path, id_type), ["name", "place"]).select("doc_id", "n_tokens")
+    ordered = named.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens")
+    rows = stored(ordered.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("n")), "document-counts")
+    rows = rows.withColumn("range", F.shiftright("n", 33))
+    past = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("range").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("size"))
+    bases = totals.select(
+        "range",
+        F.coalesce(F.sum("rows").over(past), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("size").over(past), F.lit(0)).alias("size_before"),
+    )
+    earlier = Window.partitionBy("range").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("earlier", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    return within.join(bases, "range").select(
+        "doc_id",
+        (F.col("rows_before") + F.col("n").bitwiseAND((1 << 33) - 1)).alias("doc_index"),
+        (F.col("size_before") + F.col("earlier")).alias("start"),
+        "n_tokens",
+    )
+
+
+def scan_documents(
+    spark: SparkSession, path: str, end_id: int = END_ID, kind: str = KIND, block_ids: int = BLOCK_IDS
+) -> DataFrame:
+    """One row per document: doc_index, start and n_tokens, and the file and
+    place in it of its end (null for a document without end).
 
     The files are one stream, so a document may cross blocks and files. Ids
     after the last end id are a document without end; an empty folder gives
@@ -137,6 +212,7 @@ def count_tokens(
         "ends",
         (F.col("file_at") + F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("at"),
         (F.col("file_index") + F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0))).alias("index"),
+        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("file_place"),
         "size",
     )
     # the last end before a block: in its file, else in the files before it
@@ -146,23 +222,27 @@ def count_tokens(
         "file", F.coalesce(F.max("file_last").over(past), F.lit(0)).alias("before")
     )
     ready = last.join(before, "file").select(
+        "file",
+        "file_place",
         "at",
         "index",
         "ends",
         F.greatest(F.coalesce(F.max("last").over(earlier), F.lit(0)), "before").alias("open_at"),
     )
-    each = ready.select("at", "index", "open_at", "ends", F.posexplode("ends").alias("k", "end"))
+    each = ready.select("file", "file_place", "at", "index", "open_at", "ends", F.posexplode("ends").alias("k", "end"))
     whole = each.select(
         (F.col("index") + F.col("k")).alias("doc_index"),
         F.when(F.col("k") == 0, F.col("open_at"))
         .otherwise(F.col("at") + F.element_at("ends", F.greatest(F.col("k"), F.lit(1))) + 1)
         .alias("start"),
         (F.col("at") + F.col("end") + 1).alias("stop"),
-    ).select("doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
+        "file",
+        (F.col("file_place") + F.col("k")).alias("place"),
+    ).select("doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"), "file", "place")
     totals = last.agg(
         F.coalesce(F.max("last"), F.lit(0)).alias("start"),
         F.max(F.col("at") + F.col("size")).alias("stop"),
         F.sum(F.size("ends")).alias("doc_index"),
     )
     tail = totals.where("stop > start").select("doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
-    return whole.unionByName(tail)
+    return whole.unionByName(tail, allowMissingColumns=True)

@@ -127,12 +127,42 @@ def test_counts_in_order_of_ids(spark, documents):
     assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in sorted(rows)]
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_counts_carry_ids_however_rows_are_dealt(spark, documents, odd_rows, compression):
+    rows = [(i * 7919 % 997, "token " * (i % 13)) for i in range(300)] + [(2000 + (i or 0), t) for i, t in odd_rows]
+    rows.append((None, "a null id"))
+    docs, tokenizer = documents(rows), library(False)
+    sizes = [(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows]
+    want, at = [], 0
+    for k, (i, n) in enumerate(sorted(sizes, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))):
+        want.append((i, k, at, n))
+        at += n
+    for dealt in (docs.coalesce(1), docs.repartition(5, "text")):
+        path = f"{tempfile.mkdtemp()}/flat"
+        token_counts.write_flat(dealt, path, BYTE_BPE, compression=compression)
+        got = token_counts.count_documents(spark, path, block_ids=1000).orderBy("doc_index").collect()
+        assert [(r["doc_id"], r["doc_index"], r["start"], r["n_tokens"]) for r in got] == want
+
+
+def test_counts_query_names_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r["doc_id"]: len(x.ids) + 1 for r, x in zip(rows, library(False).encode_batch([r["text"] or "" for r in rows], add_special_tokens=False))}
+    assert {r["doc_id"]: r["n_tokens"] for r in queries.op8_token_counts(spark, sf).collect()} == want
+
+
 def test_counts_of_empty_table(spark, documents):
     path = f"{tempfile.mkdtemp()}/flat"
     token_counts.write_flat(documents([]), path, BYTE_BPE)
     assert token_counts.count_tokens(spark, path).count() == 0
 
 
+def test_counts_with_ids_of_empty_table(spark, documents):
+    path = f"{tempfile.mkdtemp()}/flat"
+    token_counts.write_flat(documents([]), path, BYTE_BPE)
+    assert token_counts.count_documents(spark, path).count() == 0
+
+
 @pytest.mark.parametrize("size", [1, 7, 100, 10**6])
 def test_pieces_of_packed_files(size):
     raw = np.random.default_rng(1).integers(0, 9, 5000).astype("<u4").tobytes()
