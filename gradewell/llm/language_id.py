@@ -18,7 +18,9 @@ CENTROIDS = 4  # clusters per language
 PER_LANGUAGE = 600  # training documents per language, at most about
 LANGUAGES = 64  # languages learned, the most frequent ones
 SHARPNESS = 20.0  # of the softmax over languages that gives the score
-SLACK = 0.3  # a text is rejected under this share of the least training cosine
+LOW = 0.02  # quantile of the cosines of left-out texts of one size class
+ENOUGH = 50  # left-out texts of a size class; with fewer it takes a class near it
+SLACK = 0.65  # a text is rejected under this share of that quantile
 GUARD = 40  # trigrams; the distance of a shorter text says too little
 MULTIPLIER = np.uint32(2654435761)
 
@@ -40,7 +42,7 @@ class Model:
     idf: np.ndarray  # BUCKETS
     centroids: np.ndarray  # languages * CENTROIDS, BUCKETS; unit rows
     owner: np.ndarray  # language of each centroid
-    least: np.ndarray  # per power of two of the trigrams: least training cosine
+    least: np.ndarray  # per power of two of the trigrams: low cosine of left-out texts
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -88,6 +90,40 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     return known.where(place < shares[F.col("lang")]).select("lang", "text")
 
 
+def low_cosines(x: np.ndarray, lang: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per size class, the ``LOW`` quantile of the cosine of a text with the
+    centroids of its language, fitted on the other half of the texts.
+
+    A class with few texts takes the nearest smaller one with enough, or the
+    nearest larger one, whose cosines are higher by about the root of the size.
+    None asks for more than the same quantile of all texts beyond the guard:
+    long texts of one word are far from the others of their size.
+    """
+    best, place = np.full(len(x), np.nan), np.zeros(len(x), int)
+    for name in set(lang):
+        own = np.flatnonzero(lang == name)
+        place[own] = np.arange(len(own)) % 2
+        for half in (0, 1):
+            fitted, left = own[place[own] != half], own[place[own] == half]
+            if len(fitted):
+                best[left] = (x[left] @ clusters(x[fitted], CENTROIDS).T).max(1)
+    known = np.isfinite(best)
+    low = {}
+    for s in range(32):
+        cosines = best[known & (sizes == s)]
+        if len(cosines) >= ENOUGH:
+            low[s] = np.quantile(cosines, LOW, method="higher")
+    if not low:  # too few texts for classes
+        low = {int(np.median(sizes)): np.quantile(best[known], LOW, method="higher") if known.any() else 0.0}
+    guarded = best[known & (sizes >= size_class(GUARD))]
+    most = np.quantile(guarded, LOW, method="higher") if len(guarded) else 1.0
+    least = np.zeros(32)
+    for s in range(32):
+        smaller = [k for k in low if k <= s]
+        least[s] = low[max(smaller)] if smaller else low[min(low)] * 2.0 ** ((s - min(low)) / 2)
+    return np.minimum(least, most)
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Model from the rows of ``docs`` (doc_id, text, lang) with a language.
 
@@ -115,12 +151,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     each = [clusters(x[lang == name], CENTROIDS) for name in model.languages]
     model.centroids = np.concatenate(each).astype(np.float32)
     model.owner = np.repeat(np.arange(len(each)), [len(c) for c in each])
-    best = np.array([(each[model.languages.index(n)] @ v).max() for n, v in zip(lang, x)])
-    sizes = np.array([size_class(n) for n in counts.sum(1)])
-    # a class takes the least cosine of the smaller sizes too: they are harder
-    for s in range(32):
-        own = best[sizes <= s] if (sizes <= s).any() else best
-        model.least[s] = own.min()
+    model.least = low_cosines(x, lang, np.array([size_class(n) for n in counts.sum(1)]))
     return model
 
 

@@ -70,6 +70,27 @@ def test_far_texts_are_rejected(model):
     assert not model.predict("short")[2]
 
 
+def test_real_model_rejects_what_is_no_language_of_it(spark):
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rnd = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = ["".join(rnd.choice(list(a), 2000)) for a in (letters, "0123456789abcdef", letters + letters.upper() + "0123456789+/")]
+    polish = "Gdzie znajduje się biblioteka i ile czasu zajmuje droga do niej z dworca, skoro wszystkie ulice są zamknięte. "
+    finnish = "Missä kirjasto sijaitsee ja kuinka kauan sinne kestää kävellä rautatieasemalta, kun kadut ovat suljettuina. "
+    russian = "Где находится библиотека и сколько времени занимает дорога до неё от вокзала. "
+    chinese = "图书馆在哪里从火车站走到那里需要多长时间因为所有的街道都关闭了"
+    for text in [*made, "12345 67890 " * 100 + "a", polish, finnish, russian, chinese, polish * 5, russian * 5]:
+        assert model.predict(text)[2], text[:40]
+
+
+def test_one_outlier_does_not_set_the_cutoff(documents, model):
+    """One text of noise with a language barely moves the least cosines."""
+    noise = " ".join(f"{i * 7919 % 9973:x}q" for i in range(40))
+    other = language_id.fit(documents([*corpus(), (9999, noise, "en")]))
+    assert (other.least > 0.8 * model.least).all()
+    assert not other.predict(TEXTS["fr"])[2]
+
+
 def test_nothing_to_learn(documents):
     nothing = language_id.fit(documents([(1, "text", None), (2, None, "en"), (3, "12", "de")]))
     assert language_id.fit(documents([])).predict("some text") == ("und", 0.0, True)
