@@ -16,7 +16,8 @@ UNKNOWN = "und"
 BUCKETS = 4096  # hashed byte trigrams
 CENTROIDS = 4  # clusters per language
 PER_LANGUAGE = 600  # training documents per language, at most about
-LANGUAGES = 64  # languages learned, the most frequent ones
+TEXTS = 64 * PER_LANGUAGE  # training documents, at most about; many languages share them
+LEAST_TEXTS = 20  # of a language; more languages than have room for these are an error
 SHARPNESS = 20.0  # of the softmax over languages that gives the score
 LOW = 0.02  # quantile of the cosines of left-out texts of one size class
 ENOUGH = 50  # left-out texts of a size class; with fewer it takes a class near it
@@ -79,12 +80,15 @@ def clusters(rows: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows (lang, text) of each frequent language,
-    chosen by a hash of doc_id and text."""
+    """About ``per_language`` rows (lang, text) of every language, chosen by a
+    hash of doc_id and text; fewer of each if all have more than ``TEXTS``."""
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().limit(TEXTS // LEAST_TEXTS + 1).collect()
+    if len(sizes) > TEXTS // LEAST_TEXTS:
+        raise ValueError(f"lang has more than {TEXTS // LEAST_TEXTS} values")
     if not sizes:
         return known.where(F.lit(False)).select("lang", "text")
+    per_language = min(per_language, TEXTS // len(sizes))
     shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     return known.where(place < shares[F.col("lang")]).select("lang", "text")
@@ -127,8 +131,8 @@ def low_cosines(x: np.ndarray, lang: np.ndarray, sizes: np.ndarray) -> np.ndarra
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Model from the rows of ``docs`` (doc_id, text, lang) with a language.
 
-    The sample is bounded: ``PER_LANGUAGE`` texts of each of at most
-    ``LANGUAGES`` languages; tasks send only their n-gram counts.
+    The sample is bounded: ``PER_LANGUAGE`` texts of each language and about
+    ``TEXTS`` of all; every language is learned. Tasks send only their n-gram counts.
     """
     small_batches(docs.sparkSession)
 
@@ -160,7 +164,7 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
 
     Only the text is used. A text that is null or has no letter is ``und``
     with score 0 and rejected; so is every text if nothing was learned. The
-    model (a few MB, bounded by ``LANGUAGES`` and ``CENTROIDS``) is broadcast.
+    model (a few MB, ``CENTROIDS`` rows of 16 KB a language) is broadcast.
     Other columns stay; one named ``into`` is replaced.
     """
     small_batches(docs.sparkSession)

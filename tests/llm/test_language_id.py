@@ -91,6 +91,16 @@ def test_one_outlier_does_not_set_the_cutoff(documents, model):
     assert not other.predict(TEXTS["fr"])[2]
 
 
+def test_every_language_is_learned(documents, monkeypatch):
+    rows = [(k * 10 + i, f"wort{k}abc satz{k}xyz dies{k} und{k} " * 4 + str(i), f"l{k:02}") for k in range(70) for i in range(3)]
+    many = language_id.fit(documents(rows))
+    assert many.languages == [f"l{k:02}" for k in range(70)]
+    assert {many.predict(t)[0] for _, t, _ in rows} == set(many.languages)
+    monkeypatch.setattr(language_id, "TEXTS", 60 * language_id.LEAST_TEXTS)
+    with pytest.raises(ValueError, match="more than 60"):
+        language_id.fit(documents(rows))
+
+
 def test_nothing_to_learn(documents):
     nothing = language_id.fit(documents([(1, "text", None), (2, None, "en"), (3, "12", "de")]))
     assert language_id.fit(documents([])).predict("some text") == ("und", 0.0, True)
