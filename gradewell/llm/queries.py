@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, decontaminate, language_id, line_dedup, quality, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm import bpe, decontaminate, language_id, line_dedup, quality, runs, secret_scan, simhash, token_counts, token_store, toxicity
 from gradewell.llm.common import id_crc, shared_path, table
 from gradewell.llm.oracle import ORACLE  # noqa: F401 - the entry reads it here
 
@@ -75,6 +75,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) as the contract of op13 has them: texts of a
+    tenth of the ids repeat some of their words from a word on to the end."""
+    h = id_crc()
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    n = F.size(words)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    unit = F.slice(words, a.cast("int") + 1, p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    text = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted_runs(table(spark, sf_dir, "documents")))
+    # runs come by start, then period, so that the first of equals stays
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda a, b: F.when(b.length * a.period > a.length * b.period, b).otherwise(a))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -86,4 +124,5 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
