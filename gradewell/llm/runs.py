@@ -7,8 +7,8 @@ with the two periods from b on, so a Z-function forward from b and one backward
 from it give the stretch of that period around b, as far as a window of 2P
 words before b and 5P behind it reaches.
 
-Boundaries whose next P words stand again P to 2P - 1 words later, by a rolling
-hash, are candidates; documents are exploded into tiles, overlapping slices of
+Boundaries with two equal periods behind, by a rolling hash, are candidates
+where a document has nearly a whole run behind one; documents are exploded into tiles, overlapping slices of
 the words around the candidates of an octave. Tiles are shuffled and solved on
 their own. What they find are fragments of runs: fragments of one document and
 period that share a period's worth of words are one run, so they are shuffled by
@@ -44,13 +44,37 @@ def scattered(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def candidates(flat: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+class Rolling:
+    """Hashes of every stretch of some ids, by prefix sums. Equal stretches
+    have equal hashes; equal hashes of different ones only cost work, as the
+    Z-functions decide."""
+
+    def __init__(self, ids: np.ndarray):
+        factors = np.full(len(ids) + 1, MULTIPLIER, np.uint64)
+        factors[0] = 1
+        self.power = np.multiply.accumulate(factors)
+        self.sums = np.zeros(len(ids) + 1, np.uint64)
+        np.cumsum(scattered(ids) * self.power[:-1], out=self.sums[1:])
+
+    def same(self, at: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Are the ``size`` items from ``at`` the ones that stand ``q`` later?"""
+        here = self.sums[at + size] - self.sums[at]
+        return here * self.power[q] == self.sums[at + q + size] - self.sums[at + q]
+
+
+def candidates(
+    flat: np.ndarray, starts: np.ndarray, longest: int, least_words: int, least_periods: int
+) -> Iterator[tuple[int, np.ndarray]]:
     """(P, boundaries) of each octave over some texts in a row, whose
-    separators occur once: the multiples of P that have the P words from there
-    again P to 2P - 1 words later, and the last P of that period too. Equal
-    hashes of different words only cost work: the Z-functions decide."""
-    hashes, factor, p = scattered(flat), MULTIPLIER, 1
-    while LEAST_PERIODS * p <= longest:
+    separators occur once and whose first items are ``starts``.
+
+    A boundary is one where two periods follow, by hashes. Of a run that
+    counts, the first boundary has nearly all of it behind: texts without such
+    a boundary for a period have no run of it.
+    """
+    rolling, hashes, p = Rolling(flat), scattered(flat), 1
+    factor = MULTIPLIER
+    while least_periods * p <= longest:
         rows = -(-len(hashes) // p)
         grid = np.zeros(rows * p, np.uint64)
         grid[: len(hashes)] = hashes
@@ -59,8 +83,13 @@ def candidates(flat: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray
         at, q = row * p, more + p
         inside = at + 2 * q <= len(flat)
         at, q = at[inside], q[inside]
-        again = hashes[at + q - p] == hashes[at + 2 * q - p]
-        yield p, np.unique(at[again])
+        twice = rolling.same(at, q, q)
+        at, q = at[twice], q[twice]
+        key = (np.searchsorted(starts, at, "right") - 1) * p + q - p
+        most = np.maximum(least_words, least_periods * q) - p + 1 - q
+        whole = at + q + most <= len(flat)
+        whole[whole] = rolling.same(at[whole], q[whole], most[whole])
+        yield p, np.unique(at[np.isin(key, key[whole])])
         if len(hashes) <= p:
             return
         hashes = hashes[:-p] * np.uint64(factor) + hashes[p:]
@@ -139,7 +168,7 @@ def solve(ids: np.ndarray, boundaries: np.ndarray, p: int) -> Iterator[tuple[int
             yield q, start, end
 
 
-def explode(docs: DataFrame) -> DataFrame:
+def explode(docs: DataFrame, least_words: int, least_periods: int) -> DataFrame:
     """One row per document (key, doc_id, n_words, text with one space between
     words, tiled) and one per tile (key, octave, first, ids, boundaries)."""
     small_batches(docs.sparkSession)
@@ -158,7 +187,7 @@ def explode(docs: DataFrame) -> DataFrame:
                 flat[at : at + len(own)] = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
             flat[starts + sizes] = -1 - np.arange(len(split))
             tiles = []
-            for p, at in candidates(flat, int(sizes.max(initial=0))):
+            for p, at in candidates(flat, starts, int(sizes.max(initial=0)), least_words, least_periods):
                 owner = np.searchsorted(starts, at, "right") - 1
                 place = at - starts[owner]
                 tile = place // max(TILE_WORDS, 8 * p)
@@ -248,7 +277,7 @@ def find_runs(docs: DataFrame, least_words: int = LEAST_WORDS, least_periods: in
     """
     if least_periods < LEAST_PERIODS:
         raise ValueError(f"runs of fewer than {LEAST_PERIODS} periods are not all found")
-    rows = stored(explode(docs), "run-tiles", compression="zstd")
+    rows = stored(explode(docs, least_words, least_periods), "run-tiles", compression="zstd")
     runs = stitch(fragments(rows.where("octave is not null")), least_words, least_periods)
     listed = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
     kind = "array<struct<start:bigint,length:bigint,period:bigint>>"
