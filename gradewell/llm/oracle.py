@@ -60,4 +60,70 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE = {"op2_secret_scan": SECRETS, "op4_line_dedup": LINES}
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, [ord(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT for i in range(8)]),
+    lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"""
+
+_RAISE = """
+  SELECT tree, 0 AS level, idx, n, {digest} AS h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY idx))
+  FROM {nodes} WHERE n > 1 GROUP BY tree, level, idx // 8"""
+
+# sides of each leaf's siblings at each level below the root
+_SIDES = """
+  SELECT l.tree, l.idx, s.level, coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx < l.idx // 8 ** s.level), '') AS a,
+         coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx > l.idx // 8 ** s.level), '') AS b
+  FROM {leaves} l JOIN {nodes} s
+    ON s.tree = l.tree AND s.n > 1 AND s.idx // 8 = (l.idx // (8 ** s.level)::BIGINT) // 8
+  GROUP BY ALL"""
+
+
+def _sides(leaves: str, nodes: str) -> str:
+    return _SIDES.format(leaves=leaves, nodes=nodes).replace("l.idx // 8 ** s.level", "l.idx // (8 ** s.level)::BIGINT")
+
+
+MANIFEST = f"""
+WITH RECURSIVE own AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+              END AS tampered
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY tree) AS n FROM own),
+nodes AS ({_RAISE.format(digest="leaf", leaves="leaves", nodes="nodes")}),
+groups AS (
+  SELECT 'top' AS tree, tree AS name, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS ({_RAISE.format(digest="subroot", leaves="groups", nodes="tops")}),
+sides AS ({_sides("leaves", "nodes")}),
+top_sides AS ({_sides("groups", "tops")}),
+steps AS (
+  SELECT tree, idx, row_number() OVER (PARTITION BY tree, idx ORDER BY level) - 1 AS step, a, b
+  FROM (SELECT * FROM sides
+        UNION ALL
+        SELECT l.tree, l.idx, 1000 + t.level, t.a, t.b
+        FROM leaves l JOIN groups g ON g.name = l.tree JOIN top_sides t ON t.idx = g.idx)),
+folded AS (
+  SELECT tree, idx, 0::BIGINT AS step, coalesce(tampered, leaf) AS h FROM leaves
+  UNION ALL
+  SELECT f.tree, f.idx, f.step + 1, sha256(s.a || f.h || s.b)
+  FROM folded f JOIN steps s ON s.tree = f.tree AND s.idx = f.idx AND s.step = f.step),
+last AS (SELECT tree, idx, arg_max(h, step) AS h FROM folded GROUP BY ALL),
+proofs AS (SELECT tree, idx, string_agg(a || b, '' ORDER BY step) AS proof FROM steps GROUP BY ALL)
+SELECT l.doc_id, l.leaf, g.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root,
+       f.h = r.h AS verified
+FROM leaves l JOIN groups g ON g.name = l.tree JOIN last f ON f.tree = l.tree AND f.idx = l.idx
+LEFT JOIN proofs p ON p.tree = l.tree AND p.idx = l.idx CROSS JOIN (SELECT h FROM tops WHERE n = 1) r
+"""
+
+ORACLE = {"op2_secret_scan": SECRETS, "op4_line_dedup": LINES, "op12_manifest": MANIFEST}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, decontaminate, language_id, line_dedup, quality, runs, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm import bpe, decontaminate, language_id, line_dedup, manifest, quality, runs, secret_scan, simhash, token_counts, token_store, toxicity
 from gradewell.llm.common import id_crc, shared_path, table
 from gradewell.llm.oracle import ORACLE  # noqa: F401 - the entry reads it here
 
@@ -75,6 +75,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [lowered if f == "text" else F.col(f) for f in manifest.FIELDS]
+    found = manifest.manifest(docs, {"tampered": F.when(id_crc() % 3 == 0, manifest.leaf_digest(*fields))})
+    given = found.withColumn("given", F.coalesce("tampered", "leaf")).withColumn("folded_root", manifest.folded_root("given"))
+    digits = F.lower(F.hex("proof")).cast("binary")
+    return given.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(digits, 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) as the contract of op13 has them: texts of a
     tenth of the ids repeat some of their words from a word on to the end."""
@@ -124,5 +142,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_manifest": op12_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
