@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import bpe, decontaminate, language_id, line_dedup, manifest, quality, runs, secret_scan, simhash, token_counts, token_store, toxicity
+from gradewell.llm import bpe, decontaminate, language_id, language_model, line_dedup, manifest, quality, runs, secret_scan, simhash, token_counts, token_store, toxicity
 from gradewell.llm.common import id_crc, shared_path, table
 from gradewell.llm.oracle import ORACLE  # noqa: F401 - the entry reads it here
 
@@ -75,6 +75,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_crc() % 5 == 1
+    model = language_model.fit(docs.where(~held_out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -142,6 +150,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_language_model": op11_language_model,
     "op12_manifest": op12_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
