@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from .text import py_strip
+from .variant import flatten_variant, variant_completion
 
 
 def _col(c: Column | str) -> Column:
@@ -57,9 +58,12 @@ def flatten_chat(
     fields, such as ``from`` and ``value``, to read others). Messages of any
     other type, such as plain strings, are lines as they are. An empty or null
     list gives null. ``msgs_type`` is the column's Spark type (from
-    ``df.schema``); without it the messages are structs of strings.
+    ``df.schema``); without it the messages are structs of strings. In a
+    Variant column each row and each message may have its own shape.
     """
     msgs = _col(msgs)
+    if isinstance(msgs_type, T.VariantType):
+        return flatten_variant(msgs, role_field, content_field)
     element = msgs_type.elementType if isinstance(msgs_type, T.ArrayType) else None
     if element is None:
         text = T.StringType()
@@ -82,9 +86,12 @@ def completion_text(c: Column | str, c_type: T.DataType) -> Column:
     """O-13: completion value as text; the shape is read from the schema.
 
     string -> as is; list of messages -> their ``content`` joined by newline;
-    struct or map -> ``content``, else ``text``.
+    struct or map -> ``content``, else ``text``. In a Variant column each row
+    has its own shape.
     """
     c = _col(c)
+    if isinstance(c_type, T.VariantType):
+        return variant_completion(c)
     if isinstance(c_type, T.StringType):
         return c
     if isinstance(c_type, T.ArrayType):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.chat import flatten_chat
 from ..functions.text import py_strip
+from ..functions.variant import as_text, field, flatten_variant, is_true
 
 
 def _truthy(c: Column, dtype: T.DataType) -> Column:
@@ -25,14 +26,21 @@ def _truthy(c: Column, dtype: T.DataType) -> Column:
         return c.isNotNull() & c
     if isinstance(dtype, T.NumericType):
         return c.isNotNull() & (c != 0)
+    if isinstance(dtype, T.VariantType):
+        return is_true(c)
     return c.isNotNull()
 
 
+def _is_text(schema: dict[str, T.DataType], name: str) -> Column:
+    """The column as text, whatever its type."""
+    return as_text(F.col(name)) if isinstance(schema[name], T.VariantType) else F.col(name).cast("string")
+
+
 def _stripped_or_empty(df: DataFrame, name: str) -> Column:
     """``str(ex.get(name, '')).strip()`` with null read as missing (Q-11)."""
     if name not in df.columns:
         return F.lit("")
-    return py_strip(F.coalesce(F.col(name).cast("string"), F.lit("")))
+    return py_strip(F.coalesce(_is_text({f.name: f.dataType for f in df.schema}, name), F.lit("")))
 
 
 def synthesize_prompt(df: DataFrame, combine: bool = False) -> Column:
@@ -64,10 +72,10 @@ def synthesize_prompt(df: DataFrame, combine: bool = False) -> Column:
     for name in K.PROMPT_FIELDS:
         if name in schema:
             col = F.col(name)
-            options.append(F.when(_truthy(col, schema[name]), col.cast("string")))
+            options.append(F.when(_truthy(col, schema[name]), _is_text(schema, name)))
     for name in K.CHAT_FIELDS:
         # a chat that is not a list gives no prompt (only lists are flattened)
-        if name in schema and isinstance(schema[name], T.ArrayType):
+        if name in schema and isinstance(schema[name], (T.ArrayType, T.VariantType)):
             col = F.col(name)
             flat = flatten_chat(col, schema[name])
             options.append(F.when(_truthy(col, schema[name]) & (F.length(flat) > 0), flat))
@@ -80,7 +88,12 @@ def synthesize_prompt(df: DataFrame, combine: bool = False) -> Column:
 
 def pick_reference(df: DataFrame) -> Column:
     """O-12: first non-null reference-like field as text ('' counts); else null."""
-    present = [F.col(n).cast("string") for n in K.REFERENCE_FIELDS if n in df.columns]
+    schema = {f.name: f.dataType for f in df.schema}
+    present = []
+    for n in K.REFERENCE_FIELDS:
+        if n in schema:
+            null = F.is_variant_null(n) if isinstance(schema[n], T.VariantType) else F.lit(False)
+            present.append(F.when(~null, _is_text(schema, n)))
     if not present:
         return F.lit(None).cast("string")
     return F.coalesce(*present) if len(present) > 1 else present[0]
@@ -96,6 +109,43 @@ def to_prompt_reference(df: DataFrame, keep: list[str] | None = None, combine: b
     )
 
 
+def variant_prompt_reference(df: DataFrame, row: str = "row", keep: list[str] | None = None) -> DataFrame:
+    """O-11, O-12 and O-14 where each row is a Variant object with fields of its
+    own (``readers.read_variant_rows``): (prompt, reference) and ``keep`` fields.
+
+    The same precedence as ``to_prompt_reference``, decided row by row: a
+    field that only some rows have, or that is text in one row and a list of
+    messages in the next, needs no common schema. An explicit null counts as a
+    missing field. A row without any of them is its own JSON, keys in order.
+    """
+    v = F.col(row)
+    blank = F.lit("")
+    named = lambda name: field(v, name)
+    options = [F.when(is_true(named(n)), as_text(named(n))) for n in K.PROMPT_FIELDS]
+    for n in K.CHAT_FIELDS:
+        flat = flatten_variant(named(n))
+        options.append(F.when(F.length(flat) > 0, flat))
+
+    def text(name: str) -> Column:
+        return py_strip(F.coalesce(F.when(~F.is_variant_null(named(name)), as_text(named(name))), blank))
+
+    instr, inp, ctx, q = map(text, ("instruction", "input", "context", "question"))
+    options += [
+        F.when((instr != "") & (inp != ""), F.concat(instr, F.lit(K.INSTRUCTION_INPUT_SEPARATOR), inp)),
+        F.when(instr != "", instr),
+        F.when(inp != "", inp),
+        F.when((ctx != "") & (q != ""), F.concat(ctx, F.lit(K.CONTEXT_QUESTION_SEPARATOR), q)),
+        F.when(q != "", q),
+        F.to_json(v),
+    ]
+    references = [F.when(~F.is_variant_null(named(n)), as_text(named(n))) for n in K.REFERENCE_FIELDS]
+    return df.select(
+        *[as_text(named(k)).alias(k) for k in keep or []],
+        F.coalesce(*options).alias("prompt"),
+        F.coalesce(*references).alias("reference"),
+    )
+
+
 def flatten_turns(
     turns: DataFrame,
     conv: str = "conv_id",

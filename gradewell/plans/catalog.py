@@ -87,6 +87,35 @@ def q_flatten_chat_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _json_lines(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    path = shared_path(spark, name)
+    rows.write.text(path)
+    return path
+
+
+def q_flatten_mixed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-10 over one column that mixes all shapes, message by message."""
+    path = _json_lines(spark, X.mixed_chats(spark, sf_dir), "mixed-chats")
+    chats = readers.read_examples(spark, path, ["messages"], schema="conv_id bigint, messages variant")
+    return chats.select("conv_id", flatten_chat("messages", chats.schema["messages"].dataType).alias("prompt"))
+
+
+def q_mixed_prompt_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-11, O-12 and O-14 over JSON lines without a common schema."""
+    path = _json_lines(spark, X.mixed_rows(spark, sf_dir), "mixed-rows")
+    found = normalize.variant_prompt_reference(readers.read_variant_rows(spark, path), keep=["doc_id"])
+    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def q_verifiable_reward_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-30 over completions of five shapes in one column, through O-13."""
+    lines, references = X.mixed_completions(spark, sf_dir)
+    path = _json_lines(spark, lines, "mixed-completions")
+    kind = "conv_id bigint, turn bigint, variant int, completion variant"
+    scored = rewards.score_verifiable(readers.read_examples(spark, path, schema=kind), references, X.PAIR_KEY)
+    return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
+
+
 def q_render_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-17 over the array of typed parts that O-19 makes."""
     rows = render.format_chart(_chart_questions(spark, sf_dir), keep=["doc_id"])

@@ -375,6 +375,21 @@ ORACLE: dict[str, str] = {
 SELECT variant, count(*) AS n, {r6('avg(reward)')} AS mean_reward, {r6('min(reward)')} AS min_reward, {r6('max(reward)')} AS max_reward
 FROM vscored GROUP BY variant""",
     "q_flatten_chat": f"WITH {CHATS}\nSELECT conv_id, {_flat_chat()} AS prompt FROM chats GROUP BY conv_id",
+    "q_flatten_mixed_chat": f"""WITH lines AS (SELECT conv_id, turn, conv_id % 8 AS shape, role || ': ' || {strip('text')} AS message,
+  role || ': ' || {strip("text || '  end'")} AS parts, text FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
+each AS (SELECT conv_id, turn, shape, CASE shape WHEN 1 THEN parts WHEN 2 THEN text
+  WHEN 3 THEN CASE WHEN turn % 2 = 1 THEN message ELSE text END
+  WHEN 5 THEN CASE WHEN turn % 2 = 1 THEN 'user: None' ELSE 'None: ' END
+  WHEN 7 THEN CASE WHEN turn % 3 = 0 THEN 'True' ELSE turn::VARCHAR END ELSE message END AS line FROM lines)
+SELECT conv_id, CASE WHEN any_value(shape) NOT IN (4, 6) THEN {strip("string_agg(line, chr(10) ORDER BY turn)")} END AS prompt
+FROM each GROUP BY conv_id""",
+    "q_mixed_prompt_reference": f"""SELECT doc_id, CASE WHEN shape = 0 AND text <> '' THEN text
+    WHEN shape = 1 THEN {strip(f"'user: ' || {strip('text')} || chr(10) || '7'")}
+    WHEN shape = 2 THEN {strip("text || chr(10) || lang")} WHEN shape = 3 THEN '   '
+    WHEN shape = 4 THEN text ELSE '{{"doc_id":' || doc_id || ',"other":{{"a":' || doc_id || ',"b":[1,"x"]}}}}' END AS prompt,
+  CASE shape WHEN 1 THEN '1.5' WHEN 2 THEN source WHEN 3 THEN '' WHEN 4 THEN 'True' END AS reference
+FROM (SELECT doc_id, doc_id % 6 AS shape, coalesce(text, '') AS text, lang, source FROM documents)""",
+    "q_verifiable_reward_mixed": f"WITH {VERIFIABLE}\nSELECT conv_id, turn, variant, {r6('reward')} AS reward FROM vscored",
     "q_flatten_turns": f"WITH {CHATS}\nSELECT conv_id, {_flat_chat()} AS prompt FROM chats GROUP BY conv_id",
     "q_completion_text": f"WITH {CHATS}\nSELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS completion_text FROM chats GROUP BY conv_id",
     "q_prompt_reference": f"WITH {RAW_EXAMPLES}\nSELECT doc_id, {_prompt_sql()} AS prompt, coalesce(reference, answer, chosen) AS reference FROM raw",

@@ -48,6 +48,13 @@ def read_examples(
     return df
 
 
+def read_variant_rows(spark: SparkSession, path: str | Sequence[str], name: str = "row") -> DataFrame:
+    """O-1 for JSON lines without a common schema: each line is one Variant
+    value in column ``name``, so fields may be missing or change their type
+    from row to row. A malformed line fails the job."""
+    return spark.read.option("singleVariantColumn", name).option("mode", "FAILFAST").json(path)
+
+
 LABELLED_SCHEMA = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("label", T.IntegerType())])
 
 
