@@ -86,16 +86,14 @@ def best_of_group(
     reward: str,
     tie_keys: list[str],
     carry: list[str] | None = None,
-    salts: int = 64,
 ) -> DataFrame:
     """O-49: the top completion per group: highest reward, compared exactly
     (null last), ties to the smallest ``tie_keys`` in order (any orderable
     type).
 
-    Two ``min(struct)`` steps: first per (group, salt) with rows dealt by both,
-    so that a group with a third of all rows is spread over ``salts`` tasks
-    whatever the input's partitioning was, then per group over one row per
-    salt. No group is sorted or buffered whole.
+    One ``min(struct)`` aggregation: each task reduces its own rows before the
+    shuffle, so a group with a third of all rows sends one row per task. No
+    group is buffered whole.
     """
     carry = list(carry or [])
     rank = F.struct(
@@ -104,10 +102,7 @@ def best_of_group(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(tie_keys)],
         *[F.col(c).alias(f"_c_{c}") for c in [reward] + carry],
     )
-    salt = F.pmod(F.xxhash64(*tie_keys), F.lit(salts)).alias("_gw_salt")
-    dealt = scores.select(group, salt, rank.alias("_gw_rank")).repartition(group, "_gw_salt")
-    some = dealt.groupBy(group, "_gw_salt").agg(F.min("_gw_rank").alias("_gw_best"), F.count(F.lit(1)).alias("_gw_n"))
-    best = some.groupBy(group).agg(F.min("_gw_best").alias("_gw_best"), F.sum("_gw_n").alias("n_generations"))
+    best = scores.groupBy(group).agg(F.min(rank).alias("_gw_best"), F.count(F.lit(1)).alias("n_generations"))
     return best.select(
         F.col(group),
         *[F.col(f"_gw_best._k{i}").alias(k) for i, k in enumerate(tie_keys)],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import preview
-from .sample import with_row_index
+from .sample import number_rows
 
 
 def next_turn_pairs(
@@ -112,19 +112,16 @@ def number_results(
     position among samples whose image resolved (skipped ones take no
     number); error rows keep their number and carry ``ERROR: message``.
 
-    ``order_by`` is the sample key (unique). Both positions are computed on
-    the narrow key frame (keys + one flag), so only that is range-shuffled and
-    checkpointed; the wide outputs are joined to their numbers once.
+    ``order_by`` is the sample key; it may repeat or be null. Both positions come
+    from one range sort of keys and row hashes; rows are joined to them once.
     ``max_samples`` stops after that many processed samples (skipped ones do
     not count), as the evaluation's sample limit does.
     """
-    keys = outputs.select(*[F.col(k) for k in order_by], F.col(resolvable).isNotNull().alias("_gw_ok"))
-    positions, _ = with_row_index(keys, order_by, "dataset_index", count=False)
-    kept = positions.filter(F.col("_gw_ok")).select(*order_by, "dataset_index")
-    numbers, _ = with_row_index(kept, ["dataset_index"], "sample_id", count=False)
+    resolved = F.col(resolvable).isNotNull()
+    numbered, _ = number_rows(outputs, order_by, "dataset_index", resolved, "sample_id")
+    numbered = numbered.filter(F.col("sample_id").isNotNull())
     if max_samples is not None:
-        numbers = numbers.filter(F.col("sample_id") < max_samples)
-    numbered = outputs.filter(F.col(resolvable).isNotNull()).join(numbers, order_by, "inner")
+        numbered = numbered.filter(F.col("sample_id") < max_samples)
     is_error = F.col(status) == "error"
     return numbered.withColumn(
         answer,

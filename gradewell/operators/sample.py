@@ -2,10 +2,11 @@
 
 Rows have no position in Spark. Where the reference relies on one, a dense
 row index is built in parallel (never ``row_number()`` over an unpartitioned
-window, which runs in one task): the order keys alone are range-partitioned
-and sorted, numbered inside their partition and checkpointed; the running
-count of the earlier partitions (a table with one row per partition,
-broadcast back) makes the number global, and the rows get it by key.
+window, which runs in one task): the order keys and a row hash are counted,
+range-partitioned and sorted, numbered inside their partition and checkpointed;
+the running count of the earlier partitions (a table with one row per
+partition, broadcast back) makes the number global, and the rows get it by a
+null-safe join on keys and hash.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..session import reliable_checkpoint
@@ -52,34 +54,101 @@ def shuffle_sample(df: DataFrame, n: int, key: str, seed: int = K.DEFAULT_SEED)
     return cap(ordered, n, [F.col("_gw_shuffle"), F.col(key)]).drop("_gw_shuffle")
 
 
+_HASH, _TIMES, _START, _FLAGGED = "_gw_h", "_gw_times", "_gw_start", "_gw_flagged"
+_COPIES = 10_000  # equal rows numbered by one task
+
+
+def _row_hash(df: DataFrame, order_by: list[str]) -> Column:
+    """Tells rows of equal keys apart; 0 if there is nothing but the keys."""
+    rest = [f for f in df.schema.fields if f.name not in order_by]
+    if not rest:
+        return F.lit(0).cast("long")
+    text = (T.MapType, T.VariantType)
+    cols = [F.to_json(F.struct(F.col(f.name))) if isinstance(f.dataType, text) else F.col(f.name) for f in rest]
+    return F.xxhash64(*cols)
+
+
+def _numbered(df: DataFrame, order_by: list[str], flag: Column | None = None) -> DataFrame:
+    """One row per different (keys, row hash) of ``df``, which has the hash as
+    a column: how many rows it stands for, the number of the first of them, and
+    its number among the rows with the flag. Checkpointed."""
+    flagged = (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias(_FLAGGED)
+    keys = [*order_by, _HASH]
+    groups = df.select(*keys, flagged).groupBy(*keys, _FLAGGED).agg(F.count(F.lit(1)).alias(_TIMES))
+    lined = groups.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    lined = reliable_checkpoint(lined.select("*", F.monotonically_increasing_id().alias(_MID)))
+    lined = lined.withColumn(_PID, F.shiftright(_MID, 33)).withColumn("_gw_f", F.when(F.col(_FLAGGED), F.col(_TIMES)).otherwise(0))
+    counts = lined.groupBy(_PID).agg(F.sum(_TIMES).alias("_gw_n"), F.sum("_gw_f").alias("_gw_nf"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        _PID,
+        F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_off"),
+        F.coalesce(F.sum("_gw_nf").over(before), F.lit(0)).alias("_gw_off_f"),
+    )
+    inside = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        lined.withColumn("_gw_in", F.coalesce(F.sum(_TIMES).over(inside), F.lit(0)))
+        .withColumn("_gw_in_f", F.coalesce(F.sum("_gw_f").over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), _PID)  # a row per partition of the range sort
+        .select(
+            *keys,
+            _FLAGGED,
+            _TIMES,
+            (F.col("_gw_off") + F.col("_gw_in")).alias(_START),
+            (F.col("_gw_off_f") + F.col("_gw_in_f")).alias("_gw_start_f"),
+        )
+    )
+
+
+def number_rows(
+    df: DataFrame, order_by: list[str], name: str, flag: Column | None = None, flag_name: str = "flag_index"
+) -> tuple[DataFrame, int]:
+    """Every row of ``df`` once, with its number ``name`` in ``order_by`` order
+    and, if ``flag`` is given, its number among the flagged rows ``flag_name``
+    (null for the others); also the row count.
+
+    Keys may repeat and may be null (nulls first). Rows of equal keys come in
+    the order of a hash of all columns, and rows that are equal altogether take
+    consecutive numbers: one of them stands for all, so that a third of all rows
+    being equal is no hot task. Only keys and hashes are range-sorted and
+    checkpointed; rows meet their number by a null-safe join. Jobs at build
+    time: the checkpoint (with its range sample), and its total.
+    """
+    hashed = df.withColumn(_HASH, _row_hash(df, order_by))
+    groups = _numbered(hashed, order_by, flag)
+    total = groups.agg(F.coalesce(F.sum(_TIMES), F.lit(0)).alias("n"), F.coalesce(F.max(_TIMES), F.lit(0)).alias("most")).first()
+    repeated = total["most"] > 1
+    if set(df.columns) == set(order_by):
+        rows = groups.select(*df.columns, _FLAGGED, _TIMES, _START, "_gw_start_f")
+    else:
+        other = groups.select(*[F.col(k).alias(f"_gw_k{i}") for i, k in enumerate(order_by)], F.col(_HASH).alias("_gw_oh"), _FLAGGED, _TIMES, _START, "_gw_start_f")
+        same = F.col(_HASH) == F.col("_gw_oh")
+        for i, k in enumerate(order_by):
+            same = same & F.col(k).eqNullSafe(F.col(f"_gw_k{i}"))
+        rows = hashed.join(other, same)
+    numbers = [(F.col(_START) + F.col("_gw_i")).alias(name)]
+    if flag is not None:
+        numbers.append(F.when(F.col(_FLAGGED), F.col("_gw_start_f") + F.col("_gw_i")).alias(flag_name))
+    zero = F.lit(0).cast("long")
+    if not repeated:
+        return rows.withColumn("_gw_i", zero).select(*df.columns, *numbers), int(total["n"])
+    single = rows.filter(F.col(_TIMES) == 1).withColumn("_gw_i", zero)
+    many = rows.filter(F.col(_TIMES) > 1).dropDuplicates([_START])
+    step = F.lit(_COPIES).cast("long")
+    blocks = many.withColumn("_gw_from", F.explode(F.sequence(zero, F.col(_TIMES) - 1, step)))
+    last = F.least(F.col("_gw_from") + step, F.col(_TIMES)) - 1
+    copies = blocks.repartition(_START, "_gw_from").withColumn("_gw_i", F.explode(F.sequence(F.col("_gw_from"), last)))
+    both = single.select(*df.columns, *numbers).union(copies.select(*df.columns, *numbers))
+    return both, int(total["n"])
+
+
 def with_row_index(
     df: DataFrame, order_by: list[str], name: str = "row_index", count: bool = True
 ) -> tuple[DataFrame, int | None]:
-    """Dense 0..n-1 index in ``order_by`` order; returns (frame, row count or
-    None when ``count`` is False).
-
-    ``order_by`` must be unique if ``df`` has other columns: these rows get
-    their number by an equi-join on it. Only the keys are range-shuffled and
-    checkpointed, in ``spark.sql.shuffle.partitions`` partitions; the one
-    single-task step is a running sum over a row per partition. Jobs at build
-    time: the checkpoint (with its range sample), and the count if asked for.
-    """
-    ordered = df.select(*order_by).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    # partition numbers and ordinals must be the same for both uses below
-    tagged = reliable_checkpoint(ordered.select(*order_by, F.monotonically_increasing_id().alias(_MID)))
-    part = F.shiftright(_MID, 33)
-    counts = tagged.groupBy(part.alias(_PID)).agg(F.count(F.lit(1)).alias("_gw_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum("_gw_n").over(before), F.lit(0)).alias("_gw_off"), "_gw_n")
-    total = offsets.agg(F.coalesce(F.sum("_gw_n"), F.lit(0))).first()[0] if count else None
-    indexed = (
-        tagged.withColumn(_PID, part)
-        .join(F.broadcast(offsets.drop("_gw_n")), _PID)
-        .select(*order_by, (F.col("_gw_off") + F.col(_MID) - F.shiftleft(_PID, 33)).alias(name))
-    )
-    if set(df.columns) != set(order_by):
-        indexed = df.join(indexed, order_by)
-    return indexed, (int(total) if total is not None else None)
+    """Dense 0..n-1 index in ``order_by`` order (:func:`number_rows`); returns
+    (frame, row count or None when ``count`` is False)."""
+    indexed, n = number_rows(df, order_by, name)
+    return indexed, n if count else None
 
 
 _SLICE = re.compile(r"^(?P<name>[^\[\]]*)(\[(?P<start>-?\d+%?)?:(?P<stop>-?\d+%?)?\])?$")

@@ -212,6 +212,20 @@ def q_take_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.take_skip_split(docs, ["doc_id"]).select("doc_id", "row_index", "split")
 
 
+def q_take_skip_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-23 over a key that many rows share and some lack: rows by split and
+    key, each row numbered once."""
+    docs = X.table(spark, sf_dir, "documents")
+    keyed = docs.select(F.when(F.col("doc_id") % 9 != 0, F.col("lang")).alias("lang"), "source")
+    parts = sample.take_skip_split(keyed, ["lang"])
+    return parts.groupBy("lang", "split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("row_index").alias("numbers"),
+        F.min("row_index").alias("first"),
+        F.max("row_index").alias("last"),
+    )
+
+
 def q_take_skip_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-23 over a table whose row count is no multiple of 5."""
     turns = X.table(spark, sf_dir, "conversations").select("conv_id", "turn")

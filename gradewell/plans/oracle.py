@@ -412,6 +412,11 @@ ORDER BY md5('{K.DEFAULT_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {K.SA
 SELECT doc_id, CAST(greatest(1, length({RL_PROMPT}) // 4) AS INTEGER) AS full_len FROM sentences ORDER BY doc_id LIMIT {K.MAX_REAL_EXAMPLES}""",
     "q_take_skip": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
 SELECT doc_id, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",
+    "q_take_skip_repeated_keys": """WITH keyed AS (SELECT CASE WHEN doc_id % 9 <> 0 THEN lang END AS lang FROM documents),
+idx AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS row_index, count(*) OVER () AS n FROM keyed),
+parts AS (SELECT lang, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx)
+SELECT lang, split, count(*) AS n, count(DISTINCT row_index) AS numbers, min(row_index) AS first, max(row_index) AS last
+FROM parts GROUP BY lang, split""",
     "q_take_skip_conversations": """WITH idx AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index, count(*) OVER () AS n
              FROM conversations)
 SELECT conv_id, turn, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",

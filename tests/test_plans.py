@@ -38,20 +38,14 @@ def test_group_operators_use_no_window(spark, name):
     assert "Window" not in _executed_plan(QUERIES[name](spark, SF_SMALL))
 
 
-def test_hot_group_is_dealt_by_salt(spark):
-    """With broadcast off, as at scale, best-of-group exchanges between its two steps."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        plan = QUERIES["q_best_of_group"](spark, SF_SMALL)._jdf.queryExecution().sparkPlan().toString()
-        physical = QUERIES["q_best_of_group"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert plan.count("Aggregate") >= 4
-    first = physical.index("_gw_salt", physical.index("hashpartitioning"))
-    assert "hashpartitioning(prompt_id#" in physical and "_gw_salt" in physical[first : first + 20]
-    steps = [line for line in physical.splitlines() if "Exchange hashpartitioning" in line]
-    assert "_gw_salt" not in steps[0] and "_gw_salt" in steps[1]
+def test_best_of_group_reduces_before_the_shuffle(spark):
+    """A hot group sends one row per task: one exchange, below it a partial step."""
+    from gradewell.operators import analyze
+
+    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as reward", "id")
+    plan = _executed_plan(analyze.best_of_group(df, "g", "reward", ["id"]))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "partial_min" in plan[plan.index("Exchange hashpartitioning") :]
 
 
 @pytest.mark.parametrize("name", ["q_accuracy", "q_status_counts"])

@@ -158,3 +158,40 @@ def test_best_of_group_string_ties_and_exact_order(spark):
     df = spark.createDataFrame(rows, "g int, id string, reward double")
     got = {r.g: (r.id, r.reward, r.n_generations) for r in analyze.best_of_group(df, "g", "reward", ["id"]).collect()}
     assert got == {1: ("c", 0.5000004, 3), 2: ("y", 0.1, 2), 3: ("n", None, 1)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_row_is_numbered_once(spark, seed):
+    """Null and repeated keys, rows that are equal altogether, maps."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "a", "b"]), {"m": rng.randint(0, 1)}) for _ in range(rng.randint(1, 120))]
+    df = spark.createDataFrame(rows, "k int, t string, m map<string,int>").repartition(5)
+    indexed, n = sample.with_row_index(df, ["k"])
+    got = sorted(indexed.collect(), key=lambda r: r.row_index)
+    assert n == len(rows) and [r.row_index for r in got] == list(range(n))
+    assert [r.k for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    text = lambda r: repr((r[0], r[1], r[2]))
+    assert sorted(map(text, got)) == sorted(map(text, rows))
+    keys, n = sample.with_row_index(df.select("k"), ["k"])
+    assert n == len(rows) and sorted(r.row_index for r in keys.collect()) == list(range(n))
+
+
+def test_many_equal_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sample, "_COPIES", 10)
+    df = spark.range(100).selectExpr("if(id < 95, 7, cast(null as int)) as k", "if(id < 95, 'x', 'y') as t")
+    got = sorted(sample.with_row_index(df, ["k"])[0].collect(), key=lambda r: r.row_index)
+    assert [(r.k, r.t, r.row_index) for r in got] == [(None, "y", i) for i in range(5)] + [(7, "x", i) for i in range(5, 100)]
+
+
+def test_results_of_repeated_samples_keep_their_numbers(spark):
+    rows = [(1, "p", "ok", "a", None), (1, "p", "ok", "a", None), (1, None, "ok", "b", None), (None, "q", "error", "c", "bad"), (2, "r", "ok", "d", None)]
+    df = spark.createDataFrame(rows, "id int, image_path string, processing_status string, model_answer string, error_message string")
+    from gradewell.operators import compare
+
+    got = compare.number_results(df, ["id"]).collect()
+    assert sorted(r.sample_id for r in got) == [0, 1, 2, 3]
+    assert {(r.id, r.sample_id, r.dataset_index) for r in got if r.id != 1} == {(None, 0, 0), (2, 3, 4)}
+    assert sorted(r.dataset_index for r in got if r.id == 1) in ([1, 2], [2, 3])
+    assert len(compare.number_results(df, ["id"], max_samples=2).collect()) == 2
