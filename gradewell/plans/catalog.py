@@ -16,11 +16,11 @@ from .. import constants as K
 from ..functions.chat import completion_text, flatten_chat, render_chat, token_length
 from ..functions.numeric import round6
 from ..functions.text import extract_answer, extract_number, news_from_prompt
-from ..operators import analyze, compare, normalize, render, rewards, sample
+from ..operators import analyze, compare, normalize, predictions, render, rewards, sample
 from ..session import shared_path
 from ..sinks import writers
 from ..sources import readers
-from ..streaming import streams
+from ..streaming import streams, tracking
 from . import fixtures as X
 
 GEN_KEY = X.GEN_KEY
@@ -544,6 +544,58 @@ def q_stream_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
 
 
+def q_track_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-58: arriving generations scored and tracked by week and line number,
+    over several micro-batches; nothing is late under this watermark."""
+    rows = X.timed_completions(spark, sf_dir)
+    source, sink, state = (shared_path(spark, f"track-{x}") for x in ("source", "sink", "state"))
+    rows.repartition(4, "l_orderkey").write.json(source)
+    arriving = readers.stream_examples(spark, source, rows.schema, files_per_batch=2)
+    probs = rewards.teacher_probabilities(X.teacher_table(spark, sf_dir), "prompt_id")
+    scored = rewards.finance_reward(arriving, probs, "prompt_id")
+    groups = ["l_linenumber"]
+    job = tracking.track_rewards(
+        scored, sink, state, "scored_at", groups, window="7 days", watermark="100000 days", available_now=True
+    )
+    job.await_all()
+    late = tracking.late_rows(spark, sink, groups)
+    found = tracking.current_rewards(spark, sink, groups).join(late, groups)
+    return found.select(
+        F.unix_timestamp("window_start").alias("week"),
+        "l_linenumber",
+        "n",
+        round6("mean_reward").alias("mean_reward"),
+        round6("min_reward").alias("min_reward"),
+        round6("max_reward").alias("max_reward"),
+        round6("gate_rate").alias("gate_rate"),
+        "seen",
+        "late",
+    )
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, predictions.PredictionStore]:
+    """Two runs over one store: half of the prompts, then all of them."""
+    teacher = X.teacher_table(spark, sf_dir).select("prompt_id", "text")
+    store = predictions.PredictionStore(spark, shared_path(spark, "predictions"), "length-logits")
+    for rows in (teacher.filter(F.col("prompt_id") % 2 == 0), teacher):
+        store.update(rows, "text", X.length_logit_predictor)
+    return teacher, store
+
+
+def q_prediction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-33 through a store that two runs filled, joined back to the prompts."""
+    teacher, store = _predicted(spark, sf_dir)
+    joined = rewards.with_teacher(teacher, "text", store.read())
+    return joined.select(
+        "prompt_id", *[round6(F.get("probs", i)).alias(f"p_{label}") for i, label in enumerate(K.TEACHER_LABELS)]
+    )
+
+
+def q_prediction_store_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-33: how many texts each run sent to the model; the second only unseen ones."""
+    return _predicted(spark, sf_dir)[1].history()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -301,6 +301,11 @@ def finance_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_text.select(*GEN_KEY, "prompt_id", ending.alias("completion"))
 
 
+def timed_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 with an event time: order k was scored 10 k minutes after the epoch."""
+    return finance_completions(spark, sf_dir).withColumn("scored_at", F.timestamp_seconds(F.col("l_orderkey") * 600))
+
+
 def finance_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of C5 alone."""
     return table(spark, sf_dir, "lineitem").select(*GEN_KEY, F.col("l_orderkey").alias("prompt_id"))

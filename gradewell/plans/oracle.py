@@ -442,6 +442,17 @@ SELECT doc_id, in_base, in_lora FROM fo""",
     "q_score_teacher": f"""WITH {TEACHER}
 SELECT prompt_id, {r6(by_length('text', 0))} AS p_negative, {r6(by_length('text', 1))} AS p_neutral, {r6(by_length('text', 2))} AS p_positive
 FROM teacher""",
+    "q_prediction_store": f"""WITH {TEACHER}
+SELECT prompt_id, {r6(by_length('text', 0))} AS p_negative, {r6(by_length('text', 1))} AS p_neutral, {r6(by_length('text', 2))} AS p_positive
+FROM teacher""",
+    "q_prediction_store_runs": f"""WITH {TEACHER},
+firsts AS (SELECT text, min(CASE WHEN prompt_id % 2 = 0 THEN 0 ELSE 1 END) AS run FROM teacher WHERE text <> '' GROUP BY text)
+SELECT run::INTEGER AS run, count(*) AS n FROM firsts GROUP BY run""",
+    "q_track_rewards": f"""WITH {FINANCE},
+weeks AS (SELECT (l_orderkey * 600 // 604800) * 604800 AS week, l_linenumber, count(*) AS n, avg(finance_reward) AS mean,
+  min(finance_reward) AS lo, max(finance_reward) AS hi, avg(CASE WHEN gate > 0 THEN 1.0 ELSE 0.0 END) AS passed FROM fin GROUP BY ALL)
+SELECT week, l_linenumber, n, {r6('mean')} AS mean_reward, {r6('lo')} AS min_reward, {r6('hi')} AS max_reward, {r6('passed')} AS gate_rate,
+  (sum(n) OVER (PARTITION BY l_linenumber))::BIGINT AS seen, 0::BIGINT AS late FROM weeks""",
     "q_finance_reward_model": f"""WITH {FINANCE_MODEL}
 SELECT {GEN_KEY_SQL}, {r6('p_teacher')} AS p_teacher, {r6('finance_reward')} AS finance_reward FROM fin""",
     "q_teacher_alignment": _finance_select(f"{GEN_KEY_SQL}, sentiment, {r6('p_teacher')} AS p_teacher"),

@@ -268,6 +268,12 @@ def image_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
-def stream_examples(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "json") -> DataFrame:
-    """O-8: the same rows as a stream of arriving files (schema is required)."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def stream_examples(
+    spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "json", files_per_batch: int | None = None
+) -> DataFrame:
+    """O-8: the same rows as a stream of arriving files (schema is required),
+    at most ``files_per_batch`` files in a micro-batch."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
