@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradewell.session import ensure_checkpoint_dir
 
@@ -51,6 +55,36 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shipped(spark: SparkSession, value: Any) -> Broadcast:
+    """``value`` as a broadcast of bytes. Classes of this package go with it, so
+    workers need not have the package; ``received`` reads it there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> Any:
+    return pickle.loads(shared.value)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a row's values; maps and variants by their JSON."""
+    odd = (T.MapType, T.VariantType)
+    return F.xxhash64(
+        *[F.to_json(F.struct(F.col(f.name))) if isinstance(f.dataType, odd) else F.col(f.name) for f in docs.schema.fields]
+    )
+
+
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the decimal doc_id; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import small_batches
+from gradewell.llm.common import received, shipped, small_batches
 
 UNKNOWN = "und"
 BUCKETS = 4096  # hashed byte trigrams
@@ -83,9 +83,7 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows (lang, text) of every language, chosen by a
     hash of doc_id and text; fewer of each if all have more than ``TEXTS``."""
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count().limit(TEXTS // LEAST_TEXTS + 1).collect()
-    if len(sizes) > TEXTS // LEAST_TEXTS:
-        raise ValueError(f"lang has more than {TEXTS // LEAST_TEXTS} values")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TEXTS // LEAST_TEXTS).collect()
     if not sizes:
         return known.where(F.lit(False)).select("lang", "text")
     per_language = min(per_language, TEXTS // len(sizes))
@@ -132,7 +130,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Model from the rows of ``docs`` (doc_id, text, lang) with a language.
 
     The sample is bounded: ``PER_LANGUAGE`` texts of each language and about
-    ``TEXTS`` of all; every language is learned. Tasks send only their n-gram counts.
+    ``TEXTS`` of all. Every language is learned, or where ``lang`` holds noise,
+    its ``TEXTS // LEAST_TEXTS`` (1,920) most frequent values; texts of the
+    others are predicted as the nearest of these. Tasks send only their n-gram counts.
     """
     small_batches(docs.sparkSession)
 
@@ -168,10 +168,10 @@ def identify(docs: DataFrame, model: Model, into: str = "language") -> DataFrame
     Other columns stay; one named ``into`` is replaced.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = shared.value.predict
+        predict = received(shared).predict
         for texts in batches:
             yield pd.DataFrame([predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 

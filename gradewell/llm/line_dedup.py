@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import small_batches, stored
+from gradewell.llm.common import free_names, small_batches, stored
 
 SPACE = b" \t\n\x0b\x0c\r"
 # Size of each filter: 2^27 bits in 64 blocks of 256 KB; a hash picks a block
@@ -94,9 +94,15 @@ def seen_again(docs: DataFrame, min_chars: int) -> bytes:
     return b"".join(bits.get(b, empty) for b in range(BLOCKS))
 
 
+def unnamed() -> Column:
+    """Tells rows without a doc_id apart, so that they are no hot key."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Distinct (digest, doc_id) of the lines that hit the seen-again filter;
-    the digest is the 128-bit xxh3 hash of the line's key."""
+    """Distinct (digest, doc_id, row) of the lines that hit the seen-again
+    filter; the digest is the 128-bit xxh3 hash of the line's key, ``row`` a
+    hash of the text where the doc_id is null, else null."""
     bits = docs.sparkSession.sparkContext.broadcast(seen_again(docs, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +122,13 @@ def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
             base = _blocks(h) << BLOCK_BITS
             hit = np.flatnonzero(has(base + a) & has(base + b)).tolist()
             digests = pa.array([xxhash.xxh3_128_digest(keys[i]) for i in hit], pa.binary())
-            ids = batch.column("doc_id").take(pa.array([row[i] for i in hit], pa.int64()))
-            yield pa.RecordBatch.from_arrays([digests, ids], ["digest", "doc_id"])
+            at = pa.array([row[i] for i in hit], pa.int64())
+            own = [batch.column(c).take(at) for c in ("doc_id", "row")]
+            yield pa.RecordBatch.from_arrays([digests, *own], ["digest", "doc_id", "row"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(run, f"digest binary, doc_id {id_type}")
+    named = docs.select("doc_id", "text", unnamed().alias("row"))
+    found = named.mapInArrow(run, f"digest binary, doc_id {id_type}, row long")
     return found.distinct()
 
 
@@ -134,16 +142,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
     "first": the smallest), there with all its repeats. Rows with one doc_id
     are one document. Null doc_ids are one document that is never chosen. A
     null text is one empty line and comes back as the empty text. The order
-    of lines stays; an empty table stays empty.
+    of lines stays; an empty table stays empty. Columns of other names stay as
+    they are.
     """
     small_batches(docs.sparkSession)
     held = stored(suspects(docs, min_chars), "line-suspects")
     choose = F.max if keep == "last" else F.min
-    common = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), choose("doc_id").alias("keeper"))
+    found_in = F.count("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    common = held.groupBy("digest").agg(found_in.alias("n"), choose("doc_id").alias("keeper"))
     common = stored(common.where(F.col("n") >= min_docs).select("digest", "keeper"), "line-repeats")
     lost = held.join(common, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # bounded by the document's own lines
-    lists = lost.groupBy(F.col("doc_id").alias("_lost_id")).agg(F.collect_list("digest").alias("_lost"))
+    lost_id, lost_row, gone, left = free_names(docs, "lost_id", "lost_row", "gone", "left")
+    lists = lost.groupBy(F.col("doc_id").alias(lost_id), F.col("row").alias(lost_row)).agg(F.collect_list("digest").alias(gone))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, dropped in batches:
@@ -158,9 +169,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: s
                 out.append(("\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop]), len(drop)))
             yield pd.DataFrame(out, columns=["text", "n_dropped"])
 
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_lost_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & unnamed().eqNullSafe(F.col(lost_row))
+    joined = docs.join(lists, same, "left")
     before = F.coalesce(F.col("text"), F.lit(""))
     lines = F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
-    done = joined.withColumn("_kept", F.pandas_udf(run, "text string, n_dropped long")(F.col("text"), F.col("_lost")))
-    columns = [F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return done.select(*columns, lines.cast("long").alias("n_lines"), F.col("_kept.n_dropped").alias("n_dropped"))
+    done = joined.withColumn(left, F.pandas_udf(run, "text string, n_dropped long")(F.col("text"), F.col(gone)))
+    columns = [F.col(f"{left}.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return done.select(*columns, lines.cast("long").alias("n_lines"), F.col(f"{left}.n_dropped").alias("n_dropped"))

@@ -119,9 +119,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id) of the given trigrams over folded texts."""
-    folded = F.translate(F.col("text"), UPPER, LOWER)
-    found = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select("doc_id", F.explode(found).alias("trigram"))
+    folded = docs.select("doc_id", F.translate(F.col("text"), UPPER, LOWER).alias("folded"))
+    found = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return folded.select("doc_id", F.explode(found).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import discard, small_batches, stored
+from gradewell.llm.common import discard, free_names, row_hash, small_batches, stored
 from gradewell.llm.components import components
 
 SEED = 42
@@ -257,11 +257,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id is
-    the component_id. Rows that repeat a doc_id are one document and leave
-    one row. A row with a null doc_id cannot be named and stays. All columns
-    stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one document of each component: the one with the least
+    doc_id, null ids last, then the least hash of its text and of its row. Rows
+    that are equal altogether are one document. All columns stay, whatever
+    their names."""
+    own, owner = free_names(docs, "own", "owner")
+    chosen = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), row_hash(docs).alias("row")
+    )
+    named = docs.withColumn(own, chosen)
+    found = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), shingle, radius)
+    # part by part, as a null within a struct equals none in a join
+    parts = ["none", "id", "text", "row"]
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(owner)).distinct()
+    same = F.lit(True)
+    for part in parts:
+        same = same & F.col(f"{own}.{part}").eqNullSafe(F.col(f"{owner}.{part}"))
+    return named.join(keep, same, "left_semi").dropDuplicates([own]).drop(own)

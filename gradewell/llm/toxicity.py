@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import discard, small_batches, stored
+from gradewell.llm.common import discard, received, shipped, small_batches, stored
 
 WORD = re.compile(r"\w+")
 GRAMS = (4, 5)  # character n-grams of a word with its ends marked
@@ -190,10 +190,10 @@ def score(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
     used. Null and empty texts get the score of no word at all. The model (at
     most ``FEATURES`` weights) is broadcast. Other columns stay."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
+        model = received(shared)
         memo = Memo(model.features)
         for texts in batches:
             yield pd.Series([model.score(memo.of(t)) for t in texts], dtype="float64")

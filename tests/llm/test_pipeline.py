@@ -65,6 +65,30 @@ def test_stages_take_empty_tables_and_more_columns(spark, documents, odd_rows, s
         assert out.columns == clash.columns
 
 
+HELPERS = "language lost_id lost_row gone left own owner own_n_lines n_lines n_dropped gone_id gone_hash fp component_id row digest keeper _language".split()
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_columns_of_their_helpers_names(spark, documents, stage):
+    line = "a line that many documents share, and all but one lose"
+    rows = [(i, f"The own text of document {i} with words enough to tell what it says\n{line}") for i in range(8)]
+    docs = documents(rows).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in HELPERS})
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got
+    for r in got:
+        assert [r[c] for c in HELPERS] == [f"{c} {r['doc_id']}" for c in HELPERS]
+
+
+def test_near_duplicate_stage_leaves_one_row_of_each_component(spark, documents):
+    a = "one text that stands here more than once in the table " * 3
+    b = "something else altogether with no word of the other one " * 3
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, "alone and without an id, but with words " * 3), (3, a), (1, a)]
+    got = corpus_pipeline.STAGES[2][1](spark, documents(rows), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", a), ("1", b), ("None", rows[4][1])])
+
+
 def test_language_stage_drops_texts_without_a_letter(spark, documents, odd_rows):
     docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(documents([(10**6, "12 34"), (10**6 + 1, None)]))
     ids = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
@@ -82,11 +106,11 @@ def test_lengths_follow_the_text(spark, documents):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
 
 
-@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_secret_scan", "op4_line_dedup", "op12_manifest"])
 def test_sql_twins(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")

@@ -134,7 +134,7 @@ def test_dedup_leaves_one_of_each(documents, copies):
     groups = slow(copies)
     want = sorted({c for i, _, c in groups if i is not None and c == i})
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == want
-    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert sum(r["doc_id"] is None for r in kept) == 1  # the other has a named near copy
 
 
 def test_empty_table(documents):
