@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from gradewell.llm.common import discard, id_crc, stored, table
+from gradewell.llm.common import discard, free_names, id_crc, stored, table
 from gradewell.llm.queries import WORD_BPE
 
 # No stage but the line dedup can be said in SQL; the stages are tested
@@ -19,15 +19,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that language ID rejects go: no letter, or far from every
     language learned from the labelled documents."""
     model = language_id.fit(docs.where(id_crc() % 4 != 2))
-    found = language_id.identify(docs, model, into="_language")
-    return found.where(~F.col("_language.rejected")).select(*[found[c] for c in docs.columns])
+    (into,) = free_names(docs, "language")
+    found = language_id.identify(docs, model, into=into)
+    return found.where(~F.col(f"{into}.rejected")).drop(into)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    done = line_dedup.dedup_lines(docs)
+    # a document's own columns of the operator's names are put aside
+    names = [c for c in ("n_lines", "n_dropped") if c in docs.columns]
+    aside = dict(zip(names, free_names(docs, *(f"own_{c}" for c in names))))
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "n_dropped")
     own = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return done.withColumns(own).select(*docs.columns)
+    return done.withColumnsRenamed({v: k for k, v in aside.items()}).withColumns(own).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
