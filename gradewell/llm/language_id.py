@@ -17,7 +17,7 @@ BUCKETS = 4096  # hashed byte trigrams
 CENTROIDS = 4  # clusters per language
 PER_LANGUAGE = 600  # training documents per language, at most about
 TEXTS = 64 * PER_LANGUAGE  # training documents, at most about; many languages share them
-LEAST_TEXTS = 20  # of a language; more languages than have room for these are an error
+LEAST_TEXTS = 20  # of a language, if there are as many; so many languages are learned as have room for these
 SHARPNESS = 20.0  # of the softmax over languages that gives the score
 LOW = 0.02  # quantile of the cosines of left-out texts of one size class
 ENOUGH = 50  # left-out texts of a size class; with fewer it takes a class near it
