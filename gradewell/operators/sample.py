@@ -30,16 +30,20 @@ def filter_token_len(df: DataFrame, max_len: int = K.MAX_PROMPT_TOKENS, col: str
     return df.filter(F.col(col) <= max_len)
 
 
+TASK_ROWS = 100_000  # rows that one task may order
+
+
 def cap(df: DataFrame, n: int, order_by: list[str] | list[Column]) -> DataFrame:
     """O-21: the first n rows by key; n <= 0 keeps all.
 
-    Planned as TakeOrderedAndProject: top n per partition, then one merge
-    task that holds n rows. Meant for n that one task holds easily (up to
-    some 100,000 rows); for more, filter ``with_row_index`` instead, which
-    sorts keys only and in parallel.
+    Up to ``TASK_ROWS`` rows it is planned as TakeOrderedAndProject: top n per
+    partition, then one merge task that holds n rows. A larger n of plain
+    column names goes through :func:`first_rows`, in no defined order.
     """
     if n is None or n <= 0:
         return df
+    if n > TASK_ROWS and all(isinstance(c, str) for c in order_by):
+        return first_rows(df, n, order_by)
     return df.orderBy(*order_by).limit(n)
 
 
@@ -51,7 +55,7 @@ def shuffle_sample(df: DataFrame, n: int, key: str, seed: int = K.DEFAULT_SEED)
     """
     shuffle_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     ordered = df.withColumn("_gw_shuffle", shuffle_key)
-    return cap(ordered, n, [F.col("_gw_shuffle"), F.col(key)]).drop("_gw_shuffle")
+    return cap(ordered, n, ["_gw_shuffle", key]).drop("_gw_shuffle")
 
 
 _HASH, _TIMES, _START, _FLAGGED = "_gw_h", "_gw_times", "_gw_start", "_gw_flagged"
@@ -68,6 +72,84 @@ def _row_hash(df: DataFrame, order_by: list[str]) -> Column:
     return F.xxhash64(*cols)
 
 
+_PIVOTS = 4_000  # sampled keys of one round
+
+
+def _pivot_rows(keys: DataFrame, names: list[str], n: int, rows: int, seed: int) -> list:
+    """Some keys around the n-th of ``rows``, ascending, from a sample of bounded
+    size: two close on either side, two further off, and every eighth."""
+    drawn = keys.orderBy(F.xxhash64(F.lit(seed), *names)).limit(_PIVOTS)
+    drawn = drawn.orderBy(*names).collect()
+    near, spread = len(drawn) * n / rows, max(1.0, len(drawn) ** 0.5)
+    places = [near - 6 * spread, near - spread, near + spread, near + 6 * spread]
+    places += [len(drawn) * i / 8 for i in range(9)]
+    kept = sorted({min(max(int(x), 0), len(drawn) - 1) for x in places})
+    return list(dict.fromkeys(drawn[i] for i in kept))
+
+
+def first_rows(df: DataFrame, n: int, order_by: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """O-21, O-24 for any n: exactly the first n rows by ``order_by`` (nulls
+    first, rows of equal keys by a hash of the others), in no defined order.
+
+    A selection by pivots: each round samples some thousand keys, counts the
+    rows below and up to a dozen of them in one aggregation without a shuffle
+    of rows, and goes on with the stretch that holds the n-th row, until one
+    task may order it (``task_rows``). Rows before the stretch are kept by a
+    filter, so no task sees more than its own part. A stretch of rows equal
+    altogether is made from one of them, however many there are. ``df`` is read
+    once or twice a round and must give the same rows each time.
+    """
+    if n <= 0:
+        return df.limit(0)
+    hashed = df.withColumn(_HASH, _row_hash(df, order_by))
+    names = [*order_by, _HASH]
+    kinds = {f.name: f.dataType for f in hashed.schema.fields}
+    key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
+
+    def literal(row) -> Column:
+        return F.struct(*[F.lit(row[i]).cast(kinds[c]).alias(f"k{i}") for i, c in enumerate(names)])
+
+    def upto(cut) -> Column:
+        """Rows before a cut: (pivot, whether the pivot itself is before it)."""
+        row, inclusive = cut
+        first, least = F.col(f"`{names[0]}`"), row[0]
+        whole = key <= literal(row) if inclusive else key < literal(row)
+        if least is None:
+            return whole
+        return (first.isNull() | (first <= F.lit(least).cast(kinds[names[0]]))) & whole  # the scan prunes by it
+
+    rows, low, high, below, seed = hashed.count(), None, None, 0, 0
+    if n >= rows:
+        return df
+    while rows > task_rows:
+        inside = hashed if low is None else hashed.where(~upto(low))
+        inside = inside if high is None else inside.where(upto(high))
+        pivots = _pivot_rows(inside.select(*names), names, n - below, rows, seed)
+        cuts = [(row, inclusive) for row in pivots for inclusive in (False, True)]
+        counts = inside.agg(*[F.count_if(upto(cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
+        left, right = 0, rows
+        for cut, count in zip(cuts, counts):  # ascending
+            if count > n - below:
+                high, right = cut, count
+                break
+            low, left = cut, count
+        below, rows, seed = below + left, right - left, seed + 1
+        if below == n or (low is not None and high is not None and low[0] == high[0]):
+            break  # nothing more is wanted, or the stretch is one key
+    inside = hashed if low is None else hashed.where(~upto(low))
+    inside = inside if high is None else inside.where(upto(high))
+    rest = n - below
+    if rest <= task_rows:
+        last = inside.orderBy(*names).limit(rest)
+    else:
+        parts = -(-rest // task_rows)
+        size = F.when(F.col("_gw_part") < parts - 1, F.lit(task_rows)).otherwise(F.lit(rest - (parts - 1) * task_rows))
+        dealt = inside.limit(1).withColumn("_gw_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        last = dealt.repartition(parts, "_gw_part").withColumn("_gw_part", F.explode(F.sequence(F.lit(1), size.cast("int"))))
+    last = last.select(*df.columns)
+    return last if low is None else hashed.where(upto(low)).select(*df.columns).unionByName(last)
+
+
 def _numbered(df: DataFrame, order_by: list[str], flag: Column | None = None) -> DataFrame:
     """One row per different (keys, row hash) of ``df``, which has the hash as
     a column: how many rows it stands for, the number of the first of them, and

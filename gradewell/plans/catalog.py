@@ -20,7 +20,7 @@ from ..operators import analyze, compare, normalize, predictions, render, reward
 from ..session import shared_path
 from ..sinks import writers
 from ..sources import readers
-from ..streaming import streams, tracking
+from ..streaming import quarantine, streams, tracking
 from . import fixtures as X
 
 GEN_KEY = X.GEN_KEY
@@ -207,6 +207,22 @@ def q_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.cap(rl, K.MAX_REAL_EXAMPLES, ["doc_id"]).select("doc_id", "full_len")
 
 
+def q_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-21 beyond what one task orders: the first 20,000 lines by price, found
+    by pivots with a small task size."""
+    lines = X.table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return sample.first_rows(lines, 20_000, ["l_extendedprice", "l_orderkey", "l_linenumber"], task_rows=500)
+
+
+def q_first_rows_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-21 over a key that is often null and mostly repeated: the first 30,000
+    rows, counted by key."""
+    lines = X.table(spark, sf_dir, "lineitem")
+    keyed = lines.select(F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("l_returnflag"))
+    first = sample.first_rows(keyed, 30_000, ["l_returnflag"], task_rows=500)
+    return first.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_take_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.table(spark, sf_dir, "documents").select("doc_id")
     return sample.take_skip_split(docs, ["doc_id"]).select("doc_id", "row_index", "split")
@@ -446,6 +462,16 @@ def q_read_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "text", "reasoning", "sentiment", round6("confidence").alias("confidence"))
 
 
+def q_schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-1: fields that are missing or change their type, named by folder
+    before a job reads the files."""
+    path = shared_path(spark, "drift")
+    for name, rows in X.drifting_examples(spark, sf_dir).items():
+        rows.write.text(f"{path}/{name}")
+    problems = readers.schema_problems(readers.json_fields(spark, f"{path}/*", by="folder"), ["doc_id", "lang", "n_chars"])
+    return problems.withColumn("unit", F.substring_index("unit", "/", -1))
+
+
 def q_load_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-4 and O-5: split folders, picked by name and normalised."""
     path = shared_path(spark, "splits")
@@ -544,6 +570,21 @@ def q_stream_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
 
 
+def q_stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-8 and O-57: arriving lines, some broken or of another type: good rows
+    and quarantined lines, each line once."""
+    source, good, bad, state = (shared_path(spark, f"quarantine-{x}") for x in ("source", "good", "bad", "state"))
+    X.lines_with_faults(spark, sf_dir).repartition(4).write.text(source)
+    kind = "doc_id bigint, n_chars bigint"
+    quarantine.stream_quarantine(
+        spark, source, kind, good, bad, state, files_per_batch=2, available_now=True
+    ).awaitTermination()
+    rows, lines = quarantine.read_quarantine(spark, good, bad, kind)
+    return rows.withColumn("line", F.lit(None).cast("string")).unionByName(
+        lines.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("n_chars"), "line")
+    )
+
+
 def q_track_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-58: arriving generations scored and tracked by week and line number,
     over several micro-batches; nothing is late under this watermark."""

@@ -435,3 +435,30 @@ def length_logit_predictor():
         return (e / e.sum(axis=1, keepdims=True)).tolist()
 
     return predict
+
+
+def drifting_examples(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """JSON lines of documents in three folders whose fields drift: ``old``
+    has every field, ``new`` no lang and n_chars as text for every fifth id,
+    ``mixed`` n_chars with a fraction, and every seventh line cut short."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    part, keep = F.col("doc_id") % 3, {"ignoreNullFields": "false"}
+    old = F.to_json(F.struct("doc_id", "lang", "n_chars"), keep)
+    as_text = F.to_json(F.struct("doc_id", F.col("n_chars").cast("string").alias("n_chars")), keep)
+    new = F.when(F.col("doc_id") % 5 == 0, as_text).otherwise(F.to_json(F.struct("doc_id", "n_chars"), keep))
+    half = F.to_json(F.struct("doc_id", "lang", (F.col("n_chars") + F.lit(0.5).cast("double")).alias("n_chars")), keep)
+    mixed = F.when(F.col("doc_id") % 7 == 0, F.lit('{"doc_id": ')).otherwise(half)
+    lines = {"old": old, "new": new, "mixed": mixed}
+    return {name: docs.filter(part == i).select(line.alias("value")) for i, (name, line) in enumerate(lines.items())}
+
+
+def lines_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of documents: every tenth is cut short, every eleventh has
+    text for a number."""
+    docs = table(spark, sf_dir, "documents")
+    number, chars = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    whole = F.concat(F.lit('{"doc_id":'), number, F.lit(',"n_chars":'), chars, F.lit("}"))
+    short = F.concat(F.lit('{"doc_id":'), number, F.lit(',"n_chars"'))
+    typed = F.concat(F.lit('{"doc_id":'), number, F.lit(',"n_chars":"many"}'))
+    line = F.when(F.col("doc_id") % 10 == 0, short).when(F.col("doc_id") % 11 == 0, typed).otherwise(whole)
+    return docs.select(line.alias("value"))

@@ -410,6 +410,26 @@ FROM documents""",
 ORDER BY md5('{K.DEFAULT_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {K.SAMPLE_ROWS}""",
     "q_cap": f"""WITH {SENTENCES}
 SELECT doc_id, CAST(greatest(1, length({RL_PROMPT}) // 4) AS INTEGER) AS full_len FROM sentences ORDER BY doc_id LIMIT {K.MAX_REAL_EXAMPLES}""",
+    "q_first_rows": """SELECT l_extendedprice, l_orderkey, l_linenumber FROM lineitem
+ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 20000""",
+    "q_first_rows_ties": """WITH keyed AS (SELECT CASE WHEN l_linenumber > 1 THEN l_returnflag END AS l_returnflag FROM lineitem),
+kept AS (SELECT l_returnflag FROM keyed ORDER BY l_returnflag NULLS FIRST LIMIT 30000)
+SELECT l_returnflag, count(*) AS n FROM kept GROUP BY l_returnflag""",
+    "q_schema_problems": """WITH d AS (SELECT doc_id, lang, n_chars, doc_id % 3 AS part FROM documents),
+typed AS (
+  SELECT CASE part WHEN 0 THEN 'old' WHEN 1 THEN 'new' ELSE 'mixed' END AS unit,
+    CASE WHEN part = 2 AND doc_id % 7 = 0 THEN 'malformed' WHEN n_chars IS NULL THEN 'void'
+         WHEN part = 1 AND doc_id % 5 = 0 THEN 'string' WHEN part = 2 THEN 'double' ELSE 'bigint' END AS type
+  FROM d)
+SELECT unit, 'malformed' AS problem, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS found, CAST(NULL AS VARCHAR) AS wanted,
+  count(*) AS n FROM typed WHERE type = 'malformed' GROUP BY unit
+UNION ALL SELECT unit, 'missing', 'lang', NULL, NULL, count(*) FROM typed WHERE unit = 'new' GROUP BY unit
+UNION ALL SELECT unit, 'conflict', 'n_chars', 'string', 'double', count(*) FROM typed WHERE type = 'string' GROUP BY unit""",
+    "q_stream_quarantine": """SELECT CASE WHEN doc_id % 10 <> 0 AND doc_id % 11 <> 0 THEN doc_id END AS doc_id,
+  CASE WHEN doc_id % 10 <> 0 AND doc_id % 11 <> 0 THEN CAST(n_chars AS BIGINT) END AS n_chars,
+  CASE WHEN doc_id % 10 = 0 THEN '{"doc_id":' || doc_id || ',"n_chars"'
+       WHEN doc_id % 11 = 0 THEN '{"doc_id":' || doc_id || ',"n_chars":"many"}' END AS line
+FROM documents""",
     "q_take_skip": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
 SELECT doc_id, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",
     "q_take_skip_repeated_keys": """WITH keyed AS (SELECT CASE WHEN doc_id % 9 <> 0 THEN lang END AS lang FROM documents),

@@ -55,6 +55,98 @@ def read_variant_rows(spark: SparkSession, path: str | Sequence[str], name: str
     return spark.read.option("singleVariantColumn", name).option("mode", "FAILFAST").json(path)
 
 
+LINE, MALFORMED = "line", "malformed"
+
+
+def json_fields(spark: SparkSession, path: str | Sequence[str], by: str = "file") -> DataFrame:
+    """O-1: what JSON-lines files really hold: (unit, field, type, n), n the
+    lines of the unit (a ``file``, or a ``folder`` of files) in which the field
+    has that type.
+
+    Types are string, bigint, double (any number with a point or exponent),
+    boolean, object, array and void (an explicit null). Two rows a unit have no
+    field: type ``line`` counts its JSON objects, ``malformed`` the other lines.
+    Blank lines are skipped. One pass over the text; each task adds up its own
+    counts before the shuffle, which carries a row per unit, field and type.
+    """
+    if by not in ("file", "folder"):
+        raise ValueError(f"by {by!r}: file or folder")
+    file = F.col("_metadata.file_path")
+    unit = file if by == "file" else F.regexp_replace(file, "/[^/]*$", "")
+    parsed = spark.read.text(path).select(unit.alias("unit"), "value").filter(F.trim("value") != "")
+    parsed = parsed.select("unit", F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("m"))
+
+    def kind(value):
+        name = F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Za-z]+", 0))
+        return F.when(name.isin("decimal", "float"), F.lit("double")).otherwise(name)
+
+    whole = F.struct(
+        F.lit(None).cast("string").alias("field"),
+        F.when(F.col("m").isNull(), F.lit(MALFORMED)).otherwise(F.lit(LINE)).alias("type"),
+    )
+    own = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("field"), kind(e["value"]).alias("type")))
+    found = F.concat(F.array(whole), F.coalesce(own, F.slice(F.array(whole), 1, 0)))
+    return parsed.select("unit", F.inline(found)).groupBy("unit", "field", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def schema_problems(fields: DataFrame, required: Iterable[str] = ()) -> DataFrame:
+    """O-1: what is wrong in which unit of :func:`json_fields`: (unit, problem,
+    field, found, wanted, n), n the lines concerned.
+
+    ``missing``: lines without a required field (an explicit null is there).
+    ``conflict``: values of another type than most lines of all units have (of
+    equally frequent types the first by name). Whole numbers fit a double; a
+    bigint column that also holds doubles is wanted as double. ``malformed``:
+    lines that are no JSON object. The input is a row per unit, field and type.
+    """
+    text = F.lit(None).cast("string")
+    lines = fields.filter(F.col("field").isNull())
+    whole = lines.filter(F.col("type") == LINE).select("unit", F.col("n").alias("_gw_lines"))
+    malformed = lines.filter(F.col("type") == MALFORMED).select(
+        "unit", F.lit("malformed").alias("problem"), text.alias("field"), text.alias("found"), text.alias("wanted"), "n"
+    )
+    there = fields.filter(F.col("field").isNotNull())
+    names = list(dict.fromkeys(required))
+    asked = whole.withColumn("field", F.explode(F.array(*[F.lit(c) for c in names]).cast("array<string>")))
+    held = there.groupBy("unit", "field").agg(F.sum("n").alias("_gw_held"))
+    lacking = F.col("_gw_lines") - F.coalesce(F.col("_gw_held"), F.lit(0))
+    missing = asked.join(held, ["unit", "field"], "left").select(
+        "unit", F.lit("missing").alias("problem"), "field", text.alias("found"), text.alias("wanted"), lacking.alias("n")
+    )
+    typed = there.filter(F.col("type") != "void")
+    number = F.col("type").isin("bigint", "double")
+    of_all = typed.groupBy("field", F.when(number, F.lit("number")).otherwise(F.col("type")).alias("_gw_type")).agg(
+        F.sum("n").alias("_gw_n"), F.max(F.col("type") == "double").alias("_gw_double")
+    )
+    exact = F.when(F.col("_gw_type") != "number", F.col("_gw_type")).when(F.col("_gw_double"), F.lit("double"))
+    named = of_all.withColumn("_gw_type", exact.otherwise(F.lit("bigint")))
+    most = named.groupBy("field").agg(F.min(F.struct((-F.col("_gw_n")).alias("n"), F.col("_gw_type").alias("wanted"))).alias("_gw_most"))
+    fits = (F.col("type") == F.col("_gw_most.wanted")) | ((F.col("type") == "bigint") & (F.col("_gw_most.wanted") == "double"))
+    conflict = typed.join(most, "field").filter(~fits).select(
+        "unit", F.lit("conflict").alias("problem"), "field", F.col("type").alias("found"), "_gw_most.wanted", "n"
+    )
+    return malformed.unionByName(missing.filter(F.col("n") > 0)).unionByName(conflict)
+
+
+MAX_NAMED = 20
+
+
+def check_examples(spark: SparkSession, path: str | Sequence[str], required: Iterable[str] = (), by: str = "file") -> None:
+    """Raise ``ValueError`` naming units and fields (the first ``MAX_NAMED``
+    problems, and how many there are) before a job reads drifting files."""
+    problems = schema_problems(json_fields(spark, path, by), required)
+    shown = problems.orderBy("unit", "problem", "field", "found").limit(MAX_NAMED + 1).collect()
+    if not shown:
+        return
+    texts = []
+    for p in shown[:MAX_NAMED]:
+        types = f" is {p['found']}, not {p['wanted']}" if p["problem"] == "conflict" else ""
+        field = f" {p['field']}" if p["field"] is not None else ""
+        texts.append(f"{p['unit']}: {p['problem']}{field}{types} ({p['n']} lines)")
+    more = f" and more, {problems.count()} in all" if len(shown) > MAX_NAMED else ""
+    raise ValueError("; ".join(texts) + more)
+
+
 LABELLED_SCHEMA = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("label", T.IntegerType())])
 
 
