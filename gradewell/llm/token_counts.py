@@ -8,6 +8,7 @@ and a prefix maximum gives it the end of the document before its first one.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,20 @@ PART, FLAT, SIDE = "part", "flat", "documents"
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
+def check_width(spec: str, end_id: int, kind: str) -> None:
+    """Raise ``ValueError`` if an id of the tokenizers file ``spec`` does not
+    fit ``kind``, or if it is the end id, which would split documents."""
+    read = json.loads(spec)
+    vocab = read["model"]["vocab"]  # a list of (token, score) in unigram files
+    ids = set(vocab.values()) if isinstance(vocab, dict) else set(range(len(vocab)))
+    ids |= {added["id"] for added in read.get("added_tokens") or ()}
+    most = np.iinfo(kind).max
+    if end_id > most or max(ids, default=0) > most:
+        raise ValueError(f"ids to {max(ids, default=0)} and end id {end_id} do not fit {np.dtype(kind).itemsize} bytes")
+    if end_id in ids:
+        raise ValueError(f"end id {end_id} is in the vocabulary")
+
+
 def write_flat(
     docs: DataFrame,
     path: str,
@@ -41,7 +56,8 @@ def write_flat(
     compression: str = "none",
 ) -> None:
     """Ids of every text as flat files, each document closed by ``end_id``,
-    whose bytes must be valid UTF-8. Null texts are the end id alone.
+    whose bytes must be valid UTF-8. Null texts are the end id alone. A
+    vocabulary that ``kind`` does not hold, or that has ``end_id``, is refused.
 
     Spark's text writer does the writing: a document's bytes are a line, the
     end id is the line separator. Documents are in the order of the rows, or
@@ -53,8 +69,10 @@ def write_flat(
     of a task are open at once, so that nothing is sorted.
     """
     closing = np.array(end_id, kind).tobytes().decode()
+    text = read_spec(tokenizer_path)
+    check_width(text, end_id, kind)
     small_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    spec = docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place = None, 0

@@ -1,3 +1,4 @@
+import json
 import tempfile
 import zlib
 
@@ -172,3 +173,18 @@ def test_pieces_of_packed_files(size):
         got = [bytes(x) for x in token_counts.pieces(memoryview(content), size, packed)]
         assert b"".join(got) == raw
         assert all(len(x) == size for x in got[:-1])
+
+
+def test_ids_that_do_not_fit_and_a_known_end_id_are_refused(documents):
+    def spec(*ids):
+        return json.dumps({"model": {"vocab": {f"t{i}": i for i in ids}}, "added_tokens": [{"id": 7, "content": "x"}]})
+
+    token_counts.check_width(spec(0, 65_535), 0xC580, ">u2")
+    token_counts.check_width(spec(0, 116_096), 0xC580, ">u4")
+    with pytest.raises(ValueError, match="do not fit"):
+        token_counts.check_width(spec(0, 116_096), 0xC580, ">u2")
+    for known in (0xC580, 7):
+        with pytest.raises(ValueError, match="in the vocabulary"):
+            token_counts.check_width(spec(0, 0xC580), known, ">u2")
+    with pytest.raises(ValueError, match="in the vocabulary"):
+        token_counts.write_flat(documents([(1, "a")]), f"{tempfile.mkdtemp()}/flat", BYTE_BPE, end_id=2)
