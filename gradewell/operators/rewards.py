@@ -32,6 +32,7 @@ from ..functions.text import (
     news_from_prompt,
     normalize_text,
 )
+from .skew import salted_join
 
 
 def _col(c: Column | str) -> Column:
@@ -75,20 +76,23 @@ def score_verifiable(
     completion: str = "completion",
     reference: str = "reference",
     out: str = "reward",
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """O-30 + O-44: completions LEFT JOIN references on the prompt key, then score.
 
     The join is an equi-join (sort-merge or size-checked broadcast, chosen by
     adaptive execution from runtime sizes); a completion without a reference
     scores without the reference terms. ``key`` is a column or a list of
-    them. A completion may be text or chat-shaped (O-13 gives its text).
+    them. A completion may be text or chat-shaped (O-13 gives its text). The
+    rows of ``hot`` keys (``skew.hot_keys``) are salted, for streams and joins
+    that adaptive execution does not split.
     """
     keys = [key] if isinstance(key, str) else list(key)
     text = completion_text(completion, completions.schema[completion].dataType)
     if references is None:
         return completions.withColumn(out, verifiable_reward(text))
     refs = references.select(*keys, F.col(reference).alias("_gw_ref"))
-    joined = completions.join(refs, keys, "left")
+    joined = salted_join(completions, refs, keys, hot or [])
     return joined.withColumn(out, verifiable_reward(text, "_gw_ref")).drop("_gw_ref")
 
 

@@ -16,7 +16,7 @@ from .. import constants as K
 from ..functions.chat import completion_text, flatten_chat, render_chat, token_length
 from ..functions.numeric import round6
 from ..functions.text import extract_answer, extract_number, news_from_prompt
-from ..operators import analyze, compare, normalize, predictions, render, rewards, sample
+from ..operators import analyze, compare, normalize, predictions, render, rewards, sample, skew
 from ..session import shared_path
 from ..sinks import writers
 from ..sources import readers
@@ -44,6 +44,17 @@ def q_verifiable_reward_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*X.PAIR_KEY, "variant", round6("reward").alias("reward"))
 
 
+def q_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-44 over hot keys: order lines of which a third share one key and some
+    have none, joined to the orders with the keys named by a sketch salted."""
+    lines = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    number = F.col("l_linenumber")
+    key = F.when(number <= 2, F.lit(1).cast("bigint")).when(number != 7, F.col("l_orderkey"))
+    keyed = lines.withColumn("key", key)
+    orders = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
+    return skew.salted_join(keyed, orders, "key", skew.hot_keys(keyed, "key"))
+
+
 def q_extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-27 on both sides of the completion/reference join."""
     completions, references = X.verifiable_inputs(spark, sf_dir)

@@ -430,6 +430,9 @@ UNION ALL SELECT unit, 'conflict', 'n_chars', 'string', 'double', count(*) FROM
   CASE WHEN doc_id % 10 = 0 THEN '{"doc_id":' || doc_id || ',"n_chars"'
        WHEN doc_id % 11 = 0 THEN '{"doc_id":' || doc_id || ',"n_chars":"many"}' END AS line
 FROM documents""",
+    "q_salted_join": """WITH keyed AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
+  CASE WHEN l_linenumber <= 2 THEN 1 WHEN l_linenumber <> 7 THEN l_orderkey END AS key FROM lineitem)
+SELECT keyed.*, o_orderpriority FROM keyed LEFT JOIN orders ON key = o_orderkey""",
     "q_take_skip": """WITH idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index, count(*) OVER () AS n FROM documents)
 SELECT doc_id, row_index, CASE WHEN row_index < floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split FROM idx""",
     "q_take_skip_repeated_keys": """WITH keyed AS (SELECT CASE WHEN doc_id % 9 <> 0 THEN lang END AS lang FROM documents),
