@@ -9,11 +9,12 @@ and a prefix maximum gives it the end of the document before its first one.
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from gradewell.llm.token_store import in_order
 KIND = ">u2"
 END_ID = 0xC580
 BLOCK_IDS = 1 << 20
+# Blocks a task reads from one file in a row, and the most such tasks at once.
+RANGE_BLOCKS, MOST_TASKS = 32, 100_000
 # Subfolders of a written folder: the flat files, and which document stands where.
 PART, FLAT, SIDE = "part", "flat", "documents"
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -112,54 +115,70 @@ def read_places(spark: SparkSession, path: str, id_type: str, end_id: int = END_
     )
 
 
-def pieces(content: memoryview, size: int, packed: bool) -> Iterator[memoryview | bytes]:
-    """The content of a file in pieces of ``size`` bytes, the last one shorter.
-    A packed file is unpacked piece by piece."""
-    if not packed:
-        yield from (content[at : at + size] for at in range(0, len(content), size))
-        return
-    unpack, held = zlib.decompressobj(wbits=31), b""
-    for at in range(0, len(content), size):
-        feed = content[at : at + size]
-        while feed:
-            held += unpack.decompress(feed, size - len(held))
-            feed = unpack.unconsumed_tail
-            if len(held) == size:
-                yield held
-                held = b""
-    while more := unpack.decompress(unpack.unconsumed_tail, size - len(held)):
-        held += more
-        if len(held) == size:
+def open_file(path: str, packed: bool) -> pa.NativeFile:
+    """``path`` opened by pyarrow: a mounted folder, HDFS or an object store. A
+    packed file opens as a stream of its unpacked bytes."""
+    if path.startswith(("file:", "/")):
+        store, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(place, compression="gzip") if packed else store.open_input_file(place)
+
+
+def pieces(stream: BinaryIO, size: int, most: int | None = None) -> Iterator[bytes]:
+    """The next ``most`` pieces (None: all) of ``size`` bytes, the last one
+    shorter where the stream ends."""
+    while most is None or most > 0:
+        held = stream.read(size)
+        while len(held) < size and (more := stream.read(size - len(held))):
+            held += more
+        if held:
             yield held
-            held = b""
-    if held:
-        yield held
+        if len(held) < size:
+            return
+        most = None if most is None else most - 1
 
 
 def scan_blocks(
     spark: SparkSession, path: str, end_id: int = END_ID, kind: str = KIND, block_ids: int = BLOCK_IDS
 ) -> DataFrame:
     """One row per block: (file, block, size, ends), ``ends`` the places of the
-    end id in the block. A file is read by one task, block by block."""
+    end id in the block.
+
+    Spark lists the files with their lengths; each range of ``RANGE_BLOCKS``
+    blocks of a file is a row, and the rows are dealt evenly to tasks, which
+    open the files themselves (``open_file``) and hold one block at a time. So a
+    file of any length is read by many tasks. A gzip file cannot be entered in
+    its middle: it is one range, unpacked block by block.
+    """
+    width = np.dtype(kind).itemsize
+    step = block_ids * width
     schema = pa.schema(
         [("file", pa.string()), ("block", pa.int64()), ("size", pa.int64()), ("ends", pa.list_(pa.int64()))]
     )
+    most = RANGE_BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content")):
-                name, width = file.as_py(), np.dtype(kind).itemsize
-                each = pieces(memoryview(content.as_buffer()), block_ids * width, name.endswith(".gz"))
-                for block, raw in enumerate(each):
-                    part = np.frombuffer(raw, kind, count=len(raw) // width)
-                    row = {"file": name, "block": block, "size": len(part)}
-                    row["ends"] = np.flatnonzero(part == end_id)
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+            for name, first in zip(*(c.to_pylist() for c in batch.columns)):
+                packed = name.endswith(".gz")
+                with open_file(name, packed) as stream:
+                    if not packed:
+                        stream.seek(first * step)
+                    for k, raw in enumerate(pieces(stream, step, None if packed else most)):
+                        part = np.frombuffer(raw, kind, count=len(raw) // width)
+                        row = {"file": name, "block": first + k, "size": len(part)}
+                        row["ends"] = np.flatnonzero(part == end_id)
+                        yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     if PART in files.columns:
         files = files.where(F.col(PART) == FLAT)
-    return files.select("path", "content").mapInArrow(run, "file string, block long, size long, ends array<long>")
+    last = F.when(F.col("path").endswith(".gz"), F.lit(0)).otherwise(F.floor((F.col("length") - 1) / (step * most)))
+    ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("n"))
+    ranges = ranges.select("path", (F.col("n") * most).alias("first"))
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks).mapInArrow(run, "file string, block long, size long, ends array<long>")
 
 
 def count_tokens(
@@ -210,13 +229,15 @@ def scan_documents(
 
     The files are one stream, so a document may cross blocks and files. Ids
     after the last end id are a document without end; an empty folder gives
-    no rows. Only block totals go through the windows: one row per file
-    through the last one.
+    no rows. Only block totals go through the windows, a few numbers for each
+    block, and one row per file through the last one; the places of the ends
+    are joined to their block afterwards.
     """
     blocks = stored(scan_blocks(spark, path, end_id, kind, block_ids), "token-blocks")
-    files = blocks.groupBy("file").agg(
-        F.sum("size").alias("size"), F.sum(F.size("ends")).alias("n")
+    narrow = blocks.select(
+        "file", "block", "size", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last_end")
     )
+    files = narrow.groupBy("file").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
     past = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select(
         "file",
@@ -224,30 +245,31 @@ def scan_documents(
         F.coalesce(F.sum("n").over(past), F.lit(0)).alias("file_index"),
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.join(bases, "file").select(
+    placed = narrow.join(bases, "file").select(
         "file",
         "block",
-        "ends",
+        "n",
+        "last_end",
         (F.col("file_at") + F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("at"),
-        (F.col("file_index") + F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0))).alias("index"),
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("file_place"),
+        (F.col("file_index") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("index"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_place"),
         "size",
     )
     # the last end before a block: in its file, else in the files before it
-    last = placed.withColumn("last", F.col("at") + F.try_element_at("ends", F.lit(-1)) + 1)
+    last = placed.withColumn("last", F.col("at") + F.col("last_end") + 1)
     per_file = last.groupBy("file").agg(F.max("last").alias("file_last"), F.max(F.col("at") + F.col("size")).alias("file_end"))
     before = per_file.select(
         "file", F.coalesce(F.max("file_last").over(past), F.lit(0)).alias("before")
     )
     ready = last.join(before, "file").select(
         "file",
+        "block",
         "file_place",
         "at",
         "index",
-        "ends",
         F.greatest(F.coalesce(F.max("last").over(earlier), F.lit(0)), "before").alias("open_at"),
     )
-    each = ready.select("file", "file_place", "at", "index", "open_at", "ends", F.posexplode("ends").alias("k", "end"))
+    each = ready.join(blocks.select("file", "block", "ends"), ["file", "block"]).select("file", "file_place", "at", "index", "open_at", "ends", F.posexplode("ends").alias("k", "end"))
     whole = each.select(
         (F.col("index") + F.col("k")).alias("doc_index"),
         F.when(F.col("k") == 0, F.col("open_at"))
@@ -260,7 +282,7 @@ def scan_documents(
     totals = last.agg(
         F.coalesce(F.max("last"), F.lit(0)).alias("start"),
         F.max(F.col("at") + F.col("size")).alias("stop"),
-        F.sum(F.size("ends")).alias("doc_index"),
+        F.sum("n").alias("doc_index"),
     )
     tail = totals.where("stop > start").select("doc_index", "start", (F.col("stop") - F.col("start")).alias("n_tokens"))
     return whole.unionByName(tail, allowMissingColumns=True)

@@ -1,3 +1,5 @@
+import gzip
+import io
 import json
 import tempfile
 import zlib
@@ -165,16 +167,36 @@ def test_counts_with_ids_of_empty_table(spark, documents):
 
 
 @pytest.mark.parametrize("size", [1, 7, 100, 10**6])
-def test_pieces_of_packed_files(size):
+def test_pieces_of_packed_files(size, tmp_path):
     raw = np.random.default_rng(1).integers(0, 9, 5000).astype("<u4").tobytes()
-    import gzip
-
-    for content, packed in ((raw, False), (gzip.compress(raw), True)):
-        got = [bytes(x) for x in token_counts.pieces(memoryview(content), size, packed)]
+    (tmp_path / "a b#c").write_bytes(raw)
+    (tmp_path / "a b#c.gz").write_bytes(gzip.compress(raw))
+    for name, packed in (("a b#c", False), ("a b#c.gz", True)):
+        with token_counts.open_file(f"file:{tmp_path}/{name}", packed) as stream:
+            got = list(token_counts.pieces(stream, size))
         assert b"".join(got) == raw
         assert all(len(x) == size for x in got[:-1])
 
 
+@pytest.mark.parametrize(("most", "want"), [(1, ["abc"]), (2, ["abc", "def"]), (3, ["abc", "def", "g"]), (9, ["abc", "def", "g"])])
+def test_pieces_of_a_range(most, want):
+    assert list(token_counts.pieces(io.BytesIO(b"abcdefg"), 3, most)) == [x.encode() for x in want]
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    """Ranges of one file go to tasks of their own; documents cross them."""
+    ids = np.random.default_rng(2).integers(0, 40, 50_000).astype("<u4")
+    (tmp_path / "part-00000").write_bytes(ids.tobytes())
+    blocks = token_counts.scan_blocks(spark, str(tmp_path), 0, "<u4", 100)
+    assert blocks.rdd.getNumPartitions() == -(-50_000 // (100 * token_counts.RANGE_BLOCKS))
+    tasks = {r[0] for r in blocks.select(F.spark_partition_id()).distinct().collect()}
+    assert len(tasks) > 10
+    got = token_counts.count_tokens(spark, str(tmp_path), 0, "<u4", 100).orderBy("doc_index").collect()
+    stops = [*(np.flatnonzero(ids == 0) + 1).tolist(), *([len(ids)] if ids[-1] else [])]
+    starts = [0, *stops[:-1]]
+    assert [tuple(r) for r in got] == [(k, a, b - a) for k, (a, b) in enumerate(zip(starts, stops))]
+
+
 def test_ids_that_do_not_fit_and_a_known_end_id_are_refused(documents):
     def spec(*ids):
         return json.dumps({"model": {"vocab": {f"t{i}": i for i in ids}}, "added_tokens": [{"id": 7, "content": "x"}]})
