@@ -18,7 +18,7 @@ from ..functions.numeric import round6
 from ..functions.text import extract_answer, extract_number, news_from_prompt
 from ..operators import analyze, compare, normalize, predictions, render, rewards, sample, skew
 from ..session import shared_path
-from ..sinks import writers
+from ..sinks import one_file, writers
 from ..sources import readers
 from ..streaming import quarantine, streams, tracking
 from . import fixtures as X
@@ -553,6 +553,16 @@ def q_write_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_write_summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-55: the summary as one file, its lines numbered as they stand in it."""
+    path = f"{shared_path(spark, 'summary')}.txt"
+    one_file.write_summary_file(_numbered(spark, sf_dir), path, "base-model", "adapter", "results")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")
+    )
+    return sample.with_row_index(lines, ["at", "n"], "place", count=False)[0].select("place", "line")
+
+
 def _streamed(spark: SparkSession, rows: DataFrame, start) -> DataFrame:
     """``rows`` as arriving JSON files (O-8) through a streaming job that ends
     when they are done; what it wrote."""

@@ -559,4 +559,14 @@ texts AS (
     || 'Model Answer: ' || model_answer || chr(10) || 'Status: ' || processing_status || chr(10) AS t FROM numbered),
 lines AS (SELECT unnest(string_split(t, chr(10))) AS line FROM texts)
 SELECT line, count(*) AS n FROM lines GROUP BY line""",
+    "q_write_summary_file": f"""WITH {CHART_OUT},
+texts AS (
+  SELECT CAST(-1 AS BIGINT) AS k, {lit(K.SUMMARY_TITLE)} || chr(10) || repeat('=', 50) || chr(10) || chr(10) || 'Model: base-model' || chr(10) || 'Adapter: adapter' || chr(10)
+    || 'Total samples processed: ' || CAST(count(*) AS VARCHAR) || chr(10) || 'Output directory: results' || chr(10) AS t FROM numbered
+  UNION ALL
+  SELECT sample_id AS k, 'SAMPLE ' || CASE WHEN sample_id < 9 THEN '0' ELSE '' END || CAST(sample_id + 1 AS VARCHAR) || chr(10) || repeat('-', 30) || chr(10)
+    || 'Image: ' || image_path || chr(10) || 'Question: ' || question || chr(10) || 'Ground Truth: [' || chr(39) || lang || chr(39) || ']' || chr(10)
+    || 'Model Answer: ' || model_answer || chr(10) || 'Status: ' || processing_status || chr(10) AS t FROM numbered),
+lines AS (SELECT k, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM texts)
+SELECT row_number() OVER (ORDER BY k, i) - 1 AS place, line FROM lines""",
 }

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
 
-def write_comparison_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """O-53: ``prompt, base_output, lora_output`` as UTF-8 CSV with a header;
-    quotes are doubled. Multi-line fields stay quoted (read back with
-    ``multiLine``). ``single_file`` writes through one task: for a report of
-    at most some thousand rows, as the reference makes."""
-    out = df.select("prompt", "base_output", "lora_output")
-    if single_file:
-        out = out.coalesce(1)
+def comparison_rows(df: DataFrame) -> DataFrame:
+    return df.select("prompt", "base_output", "lora_output")
+
+
+def write_csv_parts(rows: DataFrame, path: str, mode: str, header: bool) -> None:
     (
-        out.write.mode(mode)
-        .option("header", True)
+        rows.write.mode(mode)
+        .option("header", header)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        # Spark would trim the texts otherwise
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
+def write_comparison_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
+    """O-53: ``prompt, base_output, lora_output`` as UTF-8 CSV with a header;
+    quotes are doubled. Multi-line fields stay quoted (read back with
+    ``multiLine``). ``single_file`` writes through one task: for a report of
+    at most some thousand rows, as the reference makes. For a larger one there
+    is ``one_file.write_comparison_file``."""
+    out = comparison_rows(df)
+    write_csv_parts(out.coalesce(1) if single_file else out, path, mode, header=True)
+
+
 RESULT_FIELDS = (
     "sample_id",
     "dataset_index",
@@ -47,6 +57,11 @@ def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> Non
     df.select(*RESULT_FIELDS).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def summary_order() -> list[Column]:
+    """The header, samples without an id, then the others; equal ones by their text."""
+    return [F.coalesce("_gw_order", F.lit(-1)), F.col("_gw_order").isNull(), F.col("value")]
+
+
 def summary_lines(
     results: DataFrame, model: str, adapter: str, output_dir: str, title: str = K.SUMMARY_TITLE
 ) -> DataFrame:
@@ -93,6 +108,5 @@ def write_summary(
     """O-55: the summary as text, header first, blocks in sample order
     (range-partitioned sort, so files are in order without one task)."""
     lines = summary_lines(results, model, adapter, output_dir, title)
-    lines.repartitionByRange("_gw_order").sortWithinPartitions("_gw_order").select("value").write.mode(mode).option(
-        "lineSep", "\n"
-    ).text(path)
+    rows = lines.repartitionByRange(*summary_order()).sortWithinPartitions(*summary_order())
+    rows.select("value").write.mode(mode).option("lineSep", "\n").text(path)

@@ -109,7 +109,7 @@ def test_resolve_images(spark, tmp_dir):
 
 
 def test_comparison_csv_round_trip(spark, tmp_dir):
-    rows = [("p, 1", 'say "hi"', "line1\nline2"), ("é", "", "x")]
+    rows = [("p, 1", 'say "hi"', "line1\nline2"), ("é", "", "x"), ("  outer ", "space\t", " ")]
     df = spark.createDataFrame(rows, "prompt string, base_output string, lora_output string")
     out = os.path.join(tmp_dir, "cmp")
     write_comparison_csv(df, out, single_file=True)
