@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,3 +97,73 @@ def test_repeated_labels_and_ids(spark, documents):
     labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)] * 3, "doc_id long, toxic int")
     model = toxicity.fit(documents(texts), labels.withColumn("text", F.lit("clash")))
     assert np.isfinite(model.weight).all()
+
+
+def slow_buckets(text):
+    out = set()
+    for word in set(toxicity.WORD.findall((text or "").lower())):
+        marked = f"<{word}>"
+        grams = {marked} | {marked[i : i + n] for n in (4, 5) for i in range(len(marked) - n + 1)}
+        out |= {zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams}
+    return out
+
+
+def slow_fit(rows, prior):
+    """Features, weights and bias from (text, positive), by a dense matrix: the
+    positives' risk and the negatives' share of the unlabelled risk, which is
+    climbed instead where it is below zero."""
+    held = [(slow_buckets(t), p) for t, p in rows]
+    n_pos = sum(p for _, p in held)
+    n_other = len(held) - n_pos
+    in_pos, in_other = Counter(), Counter()
+    for own, p in held:
+        (in_pos if p else in_other).update(own)
+    chosen = []
+    for bucket, uses in in_pos.items():
+        p, u = uses / n_pos, in_other[bucket] / n_other
+        both = (uses + in_other[bucket]) / len(held)
+        z = (p - u) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_other) + 1e-12)
+        if uses >= toxicity.LEAST_USE and (u - prior * p) / (1 - prior) <= toxicity.MOST_NEGATIVE * p and z >= toxicity.LEAST_Z:
+            chosen.append(bucket)
+    chosen.sort()
+    assert 0 < len(chosen) < toxicity.FEATURES
+    x = np.array([[b in own for b in chosen] for own, _ in held], float)
+    pos = np.array([p for _, p in held], bool)
+    w, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
+    first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    for step in range(1, toxicity.ROUNDS + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        steep = (p * (1 - p))[:, None] * np.hstack([x, np.ones((len(x), 1))])
+        negative_risk = p[~pos].mean() - prior * p[pos].mean()
+        of_negatives = steep[~pos].mean(axis=0) - prior * steep[pos].mean(axis=0)
+        grad = -of_negatives if negative_risk < 0 else of_negatives - prior * steep[pos].mean(axis=0)
+        grad[:-1] += toxicity.DECAY * prior * w / len(chosen)
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad**2
+        move = toxicity.RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        w, bias = w - move[:-1], bias - move[-1]
+    return chosen, w, bias
+
+
+def test_query_like_a_slow_version(spark):
+    """The table is smaller than the samples asked for, so that all training
+    rows are learned from and nothing depends on how rows are drawn."""
+    sf = "/root/testdata/sf0.01"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    toxic = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0:
+            toxic[r["doc_id"]] = max(r["toxic"], toxic.get(r["doc_id"], 0))
+    prior = min(max(sum(toxic.values()) / len(toxic), 1e-3), 0.5)
+    assert len(docs) < toxicity.UNLABELLED
+    learn = [(t, toxic.get(i) == 1) for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 0]
+    chosen, w, bias = slow_fit(learn, prior)
+    weight = dict(zip(chosen, w))
+    got = {r["doc_id"]: r for r in queries.op10_toxicity(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        z = sum(weight.get(b, 0.0) for b in slow_buckets(t)) + bias
+        want = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-4)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
