@@ -611,8 +611,11 @@ def q_track_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     over several micro-batches; nothing is late under this watermark."""
     rows = X.timed_completions(spark, sf_dir)
     source, sink, state = (shared_path(spark, f"track-{x}") for x in ("source", "sink", "state"))
-    rows.repartition(4, "l_orderkey").write.json(source)
-    arriving = readers.stream_examples(spark, source, rows.schema, files_per_batch=2)
+    # every task writes its own rows; four files at least, half of all files a batch
+    most = -(-X.table(spark, sf_dir, "lineitem").count() // 4)
+    rows.write.option("maxRecordsPerFile", max(most, 1)).json(source)
+    files = len(spark.read.text(source).inputFiles())
+    arriving = readers.stream_examples(spark, source, rows.schema, files_per_batch=max(1, -(-files // 2)))
     probs = rewards.teacher_probabilities(X.teacher_table(spark, sf_dir), "prompt_id")
     scored = rewards.finance_reward(arriving, probs, "prompt_id")
     groups = ["l_linenumber"]
