@@ -8,6 +8,7 @@ so each regex runs once per row.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
@@ -111,12 +112,17 @@ def _has(col_sql: str, term: str) -> str:
     return f"contains({col_sql}, {_lit(term)})"
 
 
-def _count(col_sql: str, terms) -> str:
-    return "(" + " + ".join(f"CAST({_has(col_sql, t)} AS INT)" for t in terms) + ")"
+def _in(col_sql: str) -> Callable[[str], str]:
+    """Test of a term in a text, as SQL."""
+    return lambda term: _has(col_sql, term)
 
 
-def _any(col_sql: str, terms) -> str:
-    return "(" + " OR ".join(_has(col_sql, t) for t in terms) + ")"
+def _count(has: Callable[[str], str], terms) -> str:
+    return "(" + " + ".join(f"CAST({has(t)} AS INT)" for t in terms) + ")"
+
+
+def _any(has: Callable[[str], str], terms) -> str:
+    return "(" + " OR ".join(has(t) for t in terms) + ")"
 
 
 def _overlap_free(tags: list[str]) -> bool:
@@ -135,18 +141,14 @@ def _overlap_free(tags: list[str]) -> bool:
 def format_gate(c: str, tag_pairs=K.TAG_PAIRS) -> Column:
     """O-31: 1.0 when each of the six tags occurs exactly once (case-sensitive).
 
-    One regex scan collects every tag occurrence; the gate holds when the
-    sorted occurrences are exactly the six tags (each once). A ``contains``
-    guard skips the scan for text missing a tag. Tags that could overlap fall
-    back to counting by replacement.
+    A text holds a tag once when it has it and nothing is cut off at its second
+    occurrence. Tags that could overlap fall back to counting by replacement.
     """
     tags = [t for pair in tag_pairs for t in pair]
     txt = f"coalesce({_q(c)}, '')"
     guard = " AND ".join(_has(txt, t) for t in tags)
     if _overlap_free(tags):
-        pattern = "(?:" + "|".join(re.escape(t) for t in tags) + ")"
-        expected = ", ".join(_lit(t) for t in sorted(tags))
-        exact = f"sort_array(regexp_extract_all({txt}, {_lit(pattern)}, 0)) = array({expected})"
+        exact = " AND ".join(f"octet_length(substring_index({txt}, {_lit(t)}, 2)) = octet_length({txt})" for t in tags)
     else:
         exact = " AND ".join(
             f"octet_length({txt}) - octet_length(replace({txt}, {_lit(t)}, '')) = {len(t.encode('utf-8'))}" for t in tags
@@ -178,41 +180,51 @@ def _clamp01_sql(x: str) -> str:
     return f"greatest(0.0D, least(1.0D, {x}))"
 
 
-def reasoning_quality(reasoning: str, lowered: bool = False) -> Column:
-    """O-35: 0.4 x min(finance terms / 3, 1) + 0.3 x min(connectives / 2, 1)
-    + cue balance (0.3 both polarities, 0.15 one), clamped to [0, 1]."""
-    t = _text(reasoning, lowered)
-    pos, neg = _any(t, K.QUALITY_POSITIVE_CUES), _any(t, K.QUALITY_NEGATIVE_CUES)
-    terms = f"least({_count(t, K.FINANCIAL_TERMS)} / {K.QUALITY_TERMS_FULL}D, 1.0D) * {K.QUALITY_TERMS_WEIGHT}D"
-    links = f"least({_count(t, K.CONNECTIVES)} / {K.QUALITY_LINKS_FULL}D, 1.0D) * {K.QUALITY_LINKS_WEIGHT}D"
+def _quality(has: Callable[[str], str]) -> Column:
+    pos, neg = _any(has, K.QUALITY_POSITIVE_CUES), _any(has, K.QUALITY_NEGATIVE_CUES)
+    terms = f"least({_count(has, K.FINANCIAL_TERMS)} / {K.QUALITY_TERMS_FULL}D, 1.0D) * {K.QUALITY_TERMS_WEIGHT}D"
+    links = f"least({_count(has, K.CONNECTIVES)} / {K.QUALITY_LINKS_FULL}D, 1.0D) * {K.QUALITY_LINKS_WEIGHT}D"
     balance = (
-        f"CASE WHEN {pos} AND {neg} THEN {K.QUALITY_BOTH_CUES}D WHEN {pos} OR {neg} THEN {K.QUALITY_ONE_CUE}D ELSE 0.0D END"
+        f"CASE WHEN {pos} THEN CASE WHEN {neg} THEN {K.QUALITY_BOTH_CUES}D ELSE {K.QUALITY_ONE_CUE}D END "
+        f"WHEN {neg} THEN {K.QUALITY_ONE_CUE}D ELSE 0.0D END"
     )
     return F.expr(_clamp01_sql(f"{terms} + {links} + {balance}"))
 
 
+def reasoning_quality(reasoning: str, lowered: bool = False) -> Column:
+    """O-35: 0.4 x min(finance terms / 3, 1) + 0.3 x min(connectives / 2, 1)
+    + cue balance (0.3 both polarities, 0.15 one), clamped to [0, 1]."""
+    return _quality(_in(_text(reasoning, lowered)))
+
+
+def _logic(has: Callable[[str], str]) -> Column:
+    contradictory = " OR ".join(f"({has(a)} AND {has(b)})" for a, b in K.LOGIC_CONTRADICTIONS)
+    base = f"CASE WHEN {contradictory} THEN {K.LOGIC_CONTRADICTED}D ELSE {K.LOGIC_BASE}D END"
+    conclusion = f"CASE WHEN {_any(has, K.LOGIC_CONCLUSION_WORDS)} THEN {K.LOGIC_CONCLUSION}D ELSE 0.0D END"
+    hedge = f"CASE WHEN {_any(has, K.LOGIC_HEDGE_WORDS)} THEN {K.LOGIC_HEDGE}D ELSE 0.0D END"
+    return F.expr(_clamp01_sql(f"{base} + {conclusion} + {hedge}"))
+
+
 def reasoning_logic(reasoning: str, lowered: bool = False) -> Column:
     """O-36: 0.5 (0.2 when growth & decline or profit & loss) + 0.3 for a
     conclusion word + 0.2 for a hedge word, clamped."""
-    t = _text(reasoning, lowered)
-    contradictory = " OR ".join(f"({_has(t, a)} AND {_has(t, b)})" for a, b in K.LOGIC_CONTRADICTIONS)
-    base = f"CASE WHEN {contradictory} THEN {K.LOGIC_CONTRADICTED}D ELSE {K.LOGIC_BASE}D END"
-    conclusion = f"CASE WHEN {_any(t, K.LOGIC_CONCLUSION_WORDS)} THEN {K.LOGIC_CONCLUSION}D ELSE 0.0D END"
-    hedge = f"CASE WHEN {_any(t, K.LOGIC_HEDGE_WORDS)} THEN {K.LOGIC_HEDGE}D ELSE 0.0D END"
-    return F.expr(_clamp01_sql(f"{base} + {conclusion} + {hedge}"))
+    return _logic(_in(_text(reasoning, lowered)))
 
 
-def reasoning_context(reasoning: str, lowered: bool = False) -> Column:
-    """O-37: 0.6 x min(context terms / 3, 1) + timing (0.4 horizon, 0.2 future), clamped."""
-    t = _text(reasoning, lowered)
-    terms = f"least({_count(t, K.CONTEXT_TERMS)} / {K.CONTEXT_TERMS_FULL}D, 1.0D) * {K.CONTEXT_TERMS_WEIGHT}D"
+def _context(has: Callable[[str], str]) -> Column:
+    terms = f"least({_count(has, K.CONTEXT_TERMS)} / {K.CONTEXT_TERMS_FULL}D, 1.0D) * {K.CONTEXT_TERMS_WEIGHT}D"
     timing = (
-        f"CASE WHEN {_any(t, K.TIMING_TERMS)} THEN {K.CONTEXT_HORIZON}D "
-        f"WHEN {_has(t, K.FUTURE_TERM)} THEN {K.CONTEXT_FUTURE}D ELSE 0.0D END"
+        f"CASE WHEN {_any(has, K.TIMING_TERMS)} THEN {K.CONTEXT_HORIZON}D "
+        f"WHEN {has(K.FUTURE_TERM)} THEN {K.CONTEXT_FUTURE}D ELSE 0.0D END"
     )
     return F.expr(_clamp01_sql(f"{terms} + {timing}"))
 
 
+def reasoning_context(reasoning: str, lowered: bool = False) -> Column:
+    """O-37: 0.6 x min(context terms / 3, 1) + timing (0.4 horizon, 0.2 future), clamped."""
+    return _context(_in(_text(reasoning, lowered)))
+
+
 @dataclass(frozen=True)
 class BundleWeights:
     quality: float = K.BUNDLE_WEIGHTS["quality"]
@@ -230,43 +242,46 @@ class FinanceWeights:
     direction: float = K.FINANCE_WEIGHTS["direction"]
 
 
-def directional(reasoning: str, sentiment: str, lowered: bool = False) -> Column:
-    """O-40: cue direction agrees with the stated sentiment (own cue lists)."""
-    t = _text(reasoning, lowered)
+def _direction(has: Callable[[str], str], sentiment: str) -> Column:
     s = _q(sentiment)
-    pos, neg = _any(t, K.DIRECTION_POSITIVE_CUES), _any(t, K.DIRECTION_NEGATIVE_CUES)
-    agree = (
-        f"({pos} AND {neg} AND {s} = 'neutral') OR ({pos} AND NOT {neg} AND {s} = 'positive') "
-        f"OR ({neg} AND NOT {pos} AND {s} = 'negative')"
-    )
+    pos, neg = _any(has, K.DIRECTION_POSITIVE_CUES), _any(has, K.DIRECTION_NEGATIVE_CUES)
+    agree = f"CASE WHEN {pos} THEN {s} = CASE WHEN {neg} THEN 'neutral' ELSE 'positive' END ELSE {s} = 'negative' AND {neg} END"
     return F.expr(f"CASE WHEN {agree} THEN 1.0D ELSE 0.0D END")
 
 
+def directional(reasoning: str, sentiment: str, lowered: bool = False) -> Column:
+    """O-40: cue direction agrees with the stated sentiment (own cue lists)."""
+    return _direction(_in(_text(reasoning, lowered)), sentiment)
+
+
 _LC = "_gw_reasoning_lc"
 
 
 def score_reasoning(df: DataFrame, bundle: BundleWeights = BundleWeights(), with_direction: bool = False) -> DataFrame:
     """O-35..O-38 (and O-40) over an extracted ``reasoning`` column.
 
-    The reasoning is lower-cased once into its own column; the ~40 lexicon
-    tests read that column (a separate projection, so the optimizer does not
-    inline the costly ``lower`` into every test). Three projections in all.
+    The reasoning is lower-cased once into its own column, and a term that
+    several lexicons share is looked for once, into a column that they read
+    (separate projections, so the optimizer does not inline the costly ``lower``
+    and ``contains`` into every test).
     """
-    out = df.withColumn(_LC, F.lower(F.coalesce(F.col("reasoning"), F.lit(""))))
-    scores = {
-        "quality": reasoning_quality(_LC, lowered=True),
-        "logic": reasoning_logic(_LC, lowered=True),
-        "context": reasoning_context(_LC, lowered=True),
-    }
+    rules = {"quality": _quality, "logic": _logic, "context": _context}
     if with_direction:
-        scores["direction"] = directional(_LC, "sentiment", lowered=True)
-    out = out.withColumns(scores)
+        rules["direction"] = lambda has: _direction(has, "sentiment")
+    uses: Counter[str] = Counter()
+    for rule in rules.values():
+        rule(lambda term: uses.update([term]) or "true")
+    shared = {term: f"_gw_has_{i}" for i, term in enumerate(t for t, n in uses.items() if n > 1)}
+    test = _in(_q(_LC))
+    out = df.withColumn(_LC, F.lower(F.coalesce(F.col("reasoning"), F.lit(""))))
+    out = out.withColumns({c: F.expr(test(term)) for term, c in shared.items()})
+    out = out.withColumns({name: rule(lambda term: shared.get(term) or test(term)) for name, rule in rules.items()})
     weighted = (
         F.lit(bundle.quality) * F.col("quality")
         + F.lit(bundle.logic) * F.col("logic")
         + F.lit(bundle.context) * F.col("context")
     )
-    return out.select(*[c for c in out.columns if c != _LC], weighted.alias("bundle"))
+    return out.select(*[c for c in out.columns if c not in (_LC, *shared.values())], weighted.alias("bundle"))
 
 
 def teacher_probabilities(

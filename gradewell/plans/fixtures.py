@@ -285,9 +285,9 @@ def finance_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5: every lineitem row is one generation of prompt group ``l_orderkey``.
 
     The template is ``(l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 20``;
-    the 20-row template table is a fixed literal, broadcast to the scan. The
-    first sentence of document ``l_partkey``, where there is one, ends the
-    reasoning, so that texts are many.
+    the 20-row template table is a fixed literal, broadcast. The first sentence
+    of document ``l_partkey``, where there is one, ends the reasoning, so that
+    texts are many. Keys alone go through the join with the documents.
     """
     li = table(spark, sf_dir, "lineitem").select(*GEN_KEY)
     tid = ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")) % 20).cast("int")
@@ -296,7 +296,7 @@ def finance_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("l_partkey"),
         F.concat(F.lit(" "), F.substring_index("text", ".", 1), F.lit(K.REASONING_END)).alias("_gw_said"),
     )
-    with_text = gens.join(F.broadcast(finance_templates(spark)), "template_id").join(said, "l_partkey", "left")
+    with_text = gens.join(said, "l_partkey", "left").join(F.broadcast(finance_templates(spark)), "template_id")
     ending = F.replace("completion", F.lit(K.REASONING_END), F.coalesce("_gw_said", F.lit(K.REASONING_END)))
     return with_text.select(*GEN_KEY, "prompt_id", ending.alias("completion"))
 

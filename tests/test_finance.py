@@ -1,6 +1,7 @@
 """Golden rows FIXTURES D2, D3, D6 and reward properties."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +163,27 @@ def test_extraction_folds_like_python_re(spark):
         m = re.search(r"<REASONING>(.*?)</REASONING>", t, re.I | re.S)
         expected.append(m.group(1).strip() if m else "")
     assert got == expected == ["x", "y", "z", ""]
+
+
+def _logical(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_keys_go_through_the_join_with_the_documents(spark):
+    plan = _logical(X.finance_completions(spark, SF_SMALL)).splitlines()
+    joins = [line for line in plan if "Join " in line]
+    assert "LeftOuter" not in joins[0] and "LeftOuter" in joins[1]  # the texts come above the documents
+
+
+def test_a_term_of_several_rules_is_looked_for_once(spark):
+    rows = spark.createDataFrame([("x", "positive")], "reasoning string, sentiment string").repartition(1)
+    plan = _logical(rewards.score_reasoning(rows, with_direction=True))
+    for term in ("growth", "profit", "long-term", "therefore", "down"):
+        assert len(re.findall(rf"Contains\([^ ]*, {term}\)", plan)) == 1
+
+
+def test_gate_counts_tags_of_other_alphabets_and_repeats(spark):
+    once = "\u00e9<REASONING>\U0001f600</REASONING><SENTIMENT>p</SENTIMENT><CONFIDENCE>1</CONFIDENCE>\u00e9"
+    rows = [(once, 1.0), (once + "<SENTIMENT>", 0.0), (once + once, 0.0), (None, 0.0), ("", 0.0), (once + "<SENTIMENT", 1.0)]
+    got = spark.createDataFrame(rows, "c string, want double").select("want", rewards.format_gate("c").alias("gate")).collect()
+    assert [r.gate for r in got] == [r.want for r in got]
