@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts become passages of hashed words with TF-IDF weights. A randomised SVD
-gives a latent space in which a few hundred benchmark items and a sample of
-passages are spread; more items get more spaces. Passages whose cosine with an
+gives a latent space in which a few hundred benchmark items and all passages
+are spread; more items get more spaces. Passages whose cosine with an
 item there is high, measured against the share of the item that the space
 holds, are candidates. Items that a space holds badly, and items of a few words,
 whose cosine with a whole passage is low, are looked up by their words instead:
@@ -23,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import discard, free_names, received, shipped, small_batches, stored
+from gradewell.llm.common import free_names, received, shipped, small_batches, stored
 
 BUCKETS = 1 << 14  # hashed words
 STRIDE = 16  # words; a passage is two strides, and they overlap by one
 CHUNK = 64  # words of an item that make one query vector
 RANK, EXTRA = 64, 16  # dimensions of the latent space; more while it is sought
 SEED = 7
-FIT_PASSAGES = 20_000  # sample that the space is fitted on, at most about
-FIT_TASKS = 4
+FIT_TASKS = 2  # for each core, when the space is fitted
+SLICE = 512  # passages multiplied at once
+SLABS = 64  # parts of the product that are added on their own
 LEAST_COSINE = 0.36  # of a passage and an item, times the share of the item that the space holds
 LEAST_SHARE = 0.4  # an item of which the space holds less is looked up by its words
 LEAST_WORDS = 12  # and so is one of fewer words
@@ -142,61 +143,126 @@ def chunked(items: list[Item]) -> tuple[list[np.ndarray], np.ndarray]:
     return texts, np.array(owner)
 
 
-def sample_passages(hashed: DataFrame) -> DataFrame:
-    """A bounded sample of passages (words), chosen by a hash of their text."""
-    passages = hashed.select(F.sum(F.ceil(F.length("words") / (4 * STRIDE)))).first()[0] or 0
-    share = min(1.0, FIT_PASSAGES / max(passages, 1))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for raw in batch["words"]:
-                h = np.frombuffer(raw, "<u4")
-                seed = zlib.crc32(raw)
-                chosen = np.random.default_rng(seed).random(-(-len(h) // STRIDE)) < share
-                rows += [h[i * STRIDE : (i + 2) * STRIDE].tobytes() for i in np.flatnonzero(chosen).tolist()]
-            yield pd.DataFrame({"words": pd.Series(rows, dtype=object)})
-
-    return stored(hashed.select("words").mapInPandas(pick, "words binary"), "sampled-passages")
+def in_strides(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strides of some bucket arrays, padded with ``BUCKETS``; the first stride
+    of each array, and the array of each stride."""
+    strides = np.array([-(-len(b) // STRIDE) for b in each], np.int64)
+    flat = np.full((int(strides.sum()), STRIDE), BUCKETS, np.int64)
+    first = np.cumsum(strides) - strides
+    line = flat.reshape(-1)
+    for at, b in zip((first * STRIDE).tolist(), each):
+        line[at : at + len(b)] = b
+    return flat, first, np.repeat(np.arange(len(each)), strides)
+
+
+def squares(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Squared length of the TF-IDF vector of each row of buckets: a word's n
+    occurrences count 1 + 3 + ... + (2 n - 1)."""
+    rows = np.sort(rows, axis=1)
+    times = np.ones(rows.shape, np.float32)
+    for back in range(1, rows.shape[1]):
+        same = (rows[:, back:] == rows[:, :-back]) & (rows[:, back:] < BUCKETS)
+        if not same.any():
+            break
+        times[:, back:] += 2 * same
+    return (times * weights[rows]).sum(1)
+
+
+def add_products(each: list[np.ndarray], table: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` what the passages of some bucket arrays give: for each
+    word of each passage, the passage's projection by ``table`` over its
+    squared length. The last row of all three is no word."""
+    flat, _, text = in_strides(each)
+    whole = np.append(text[1:] == text[:-1], False)[: len(text)]  # the passage has a second stride
+    for at in range(0, len(flat), SLICE):
+        two = whole[at : at + SLICE, None]
+        n = len(two)
+        own = flat[at : at + n + 1]
+        if len(own) == n:
+            own = np.concatenate([own, np.full((1, STRIDE), BUCKETS)])
+        sums = table[own].sum(1)
+        square = squares(np.concatenate([own[:-1], np.where(two, own[1:], BUCKETS)], axis=1), weights)
+        passage = (sums[:-1] + two * sums[1:]) / np.maximum(square, 1e-9)[:, None]
+        given = np.zeros_like(sums)
+        given[:-1] = passage
+        given[1:] += two * passage
+        words = own.reshape(-1)
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        heads = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        total[words[heads]] += np.add.reduceat(given[order // STRIDE], heads)
+
+
+def passages_times(hashed: DataFrame, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'A times ``space``, over the TF-IDF rows A of all passages. A task keeps
+    a sum of a fixed size (5 MB when sent); the sums are added slab by slab."""
+    spark = hashed.sparkSession
+    width = space.shape[1]
+    given = spark.sparkContext.broadcast((space.astype(np.float32), idf.astype(np.float32)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def fit_space(passages: DataFrame, queries: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+        space, idf = given.value
+        table = np.zeros((BUCKETS + 1, width), np.float32)
+        table[:-1] = space * idf[:, None]
+        weights = np.append(idf**2, np.float32(0))
+        total = np.zeros((BUCKETS + 1, width))
+        for batch in batches:
+            texts = [buckets(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column("words")]
+            add_products([x for x in texts if len(x)], table, weights, total)
+        total = (total[:-1] * idf[:, None]).astype(np.float32).reshape(SLABS, -1)
+        full = np.flatnonzero(total.any(1))
+        columns = [
+            pa.array(full, pa.int64()),
+            pa.array(np.full(len(full), TaskContext.get().partitionId()), pa.int64()),
+            pa.array([total[k].tobytes() for k in full], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["slab", "task", "part"])
+
+    def add_up(group: pd.DataFrame) -> pd.DataFrame:
+        parts = group.sort_values("task")["part"]
+        part = sum(np.frombuffer(x, np.float32).astype(float) for x in parts).tobytes()
+        return pd.DataFrame({"slab": group["slab"].iloc[:1], "part": [part]})
+
+    few = hashed.select("words").coalesce(FIT_TASKS * spark.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, "slab long, task long, part binary").groupBy("slab")
+    out = np.zeros((SLABS, BUCKETS // SLABS * width))
+    for r in parts.applyInPandas(add_up, "slab long, part binary").collect():  # 10 MB in all
+        out[r["slab"]] = np.frombuffer(r["part"])
+    return out.reshape(BUCKETS, width)
+
+
+def fit_space(hashed: DataFrame, passages: int, queries: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Basis (BUCKETS x RANK) of the main right singular space of the TF-IDF
-    rows of the queries and some passages.
+    rows of the queries and all passages (``passages`` in number).
 
     Queries weigh as much as the passages in total, so that the space tells
-    them apart. Each task multiplies its own rows; the driver only
-    orthogonalises sums of a fixed size (5 MB a task, ``FIT_TASKS`` tasks).
+    them apart. The main space of the queries alone, which are few, is found
+    first; one pass of all passages multiplies it, and the product gives the
+    space of both by a Nystroem approximation.
     """
-    spark = passages.sparkSession
-    heavy = float(np.sqrt(max(1.0, passages.count() / max(len(queries), 1))))
-    own = spark.createDataFrame([(q.astype("<u4").tobytes(), heavy) for q in queries], "words binary, weight double")
-    rows = stored(passages.withColumn("weight", F.lit(1.0)).union(own).repartition(FIT_TASKS), "fit-passages")
-
-    def product(space: np.ndarray) -> np.ndarray:
-        """A'A times ``space``."""
-        given = spark.sparkContext.broadcast((space.astype(np.float32), idf.astype(np.float32)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            space, idf = given.value
-            total = np.zeros_like(space)
-            for batch in batches:
-                for raw, weight in zip(batch["words"], batch["weight"]):
-                    b, tf = np.unique(buckets(np.frombuffer(raw, "<u4")), return_counts=True)
-                    a = tf * idf[b]
-                    a *= weight / (np.linalg.norm(a) or 1.0)
-                    total[b] += np.outer(a, a @ space[b])
-            yield pd.DataFrame({"part": [total.tobytes()]})
-
-        parts = rows.mapInPandas(run, "part binary").collect()
-        return sum(np.frombuffer(p["part"], np.float32).reshape(space.shape).astype(float) for p in parts)
-
-    basis = np.random.default_rng(SEED).standard_normal((BUCKETS, RANK + EXTRA))
-    for _ in range(2):
-        basis = np.linalg.qr(product(basis))[0]
-    values, turn = np.linalg.eigh(basis.T @ product(basis))
-    discard(rows)
-    return basis @ turn[:, np.argsort(-values)[:RANK]]
+    rows = []
+    for q in queries:
+        b, tf = np.unique(q, return_counts=True)
+        a = tf * idf[b]
+        rows.append((b, a / (np.linalg.norm(a) or 1.0)))
+
+    def own(space: np.ndarray) -> np.ndarray:
+        total = np.zeros_like(space)
+        for b, a in rows:
+            total[b] += np.outer(a, a @ space[b])
+        return total
+
+    start = np.random.default_rng(SEED).standard_normal((BUCKETS, RANK + EXTRA))
+    for _ in range(3):
+        start = np.linalg.qr(own(start))[0]
+    product = passages_times(hashed, start, idf) + max(1.0, passages / max(len(queries), 1)) * own(start)
+    core = start.T @ product
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    sure = values > 1e-6 * max(values[-1], 1e-9)
+    basis, long, _ = np.linalg.svd(product @ (turn[:, sure] / np.sqrt(values[sure])), full_matrices=False)
+    return basis[:, np.argsort(-long)[:RANK]]
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -350,17 +416,11 @@ class Search:
     def candidates(self, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, passage, chunk, cosine) with a high cosine, over the bucket
         arrays of some texts."""
-        strides = np.array([-(-len(b) // STRIDE) for b in each])
-        flat = np.full((int(strides.sum()), STRIDE), BUCKETS, np.int64)
-        first = np.cumsum(strides) - strides
-        line = flat.reshape(-1)
-        for at, b in zip((first * STRIDE).tolist(), each):
-            line[at : at + len(b)] = b
+        flat, first, text = in_strides(each)
         sums = np.empty((len(flat), self.table.shape[1]), np.float32)
         for at in range(0, len(flat), 512):
             self.table[flat[at : at + 512]].sum(1, out=sums[at : at + 512])
         # a passage is a stride and the next one of the same text
-        text = np.repeat(np.arange(len(each)), strides)
         joined = text[1:] == text[:-1]
         sums[:-1][joined] += sums[1:][joined]
         norm = np.sqrt(np.maximum(sums[:, -1:], 1e-9))
@@ -420,8 +480,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeat a doc_id give a row each, a null doc_id too. Items without an id give
     a row of a null item_id, one for all of them in a block. The benchmark is a
     query set: blocks of about ``ITEMS`` items have a space each, fitted with
-    one sample of passages, so that what is broadcast is bounded. The word
-    hashes are searched once for each block.
+    all passages, so that what is broadcast is bounded. The word hashes are
+    multiplied and searched once for each block.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -430,12 +490,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = inverse_frequency(hashed)
     found = spark.createDataFrame([], kind)
     blocks = -(-benchmark.count() // ITEMS)
-    passages = sample_passages(hashed)
+    passages = hashed.select(F.sum(F.ceil(F.length("words") / (4 * STRIDE)))).first()[0] or 0
     for block in range(blocks):
         items = read_items(benchmark, block, blocks)
         if not items:
             continue
-        basis = fit_space(passages, chunked(items)[0], idf)
+        basis = fit_space(hashed, passages, chunked(items)[0], idf)
         shared = shipped(spark, Search(items, basis, idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -450,7 +510,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
         found = found.unionByName(hashed.mapInArrow(run, kind))
-    discard(passages)
     return found
 
 

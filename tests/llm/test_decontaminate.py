@@ -203,3 +203,26 @@ def test_query_finds_verbatim_items(spark):
     got = {(r["doc_id"], r["item_id"]) for r in queries.op1_decontaminate(spark, sf).collect()}
     assert want
     assert got == want
+
+
+def test_space_is_fitted_with_every_passage(spark, documents, monkeypatch):
+    """The product that the space comes from, over all passages of all texts."""
+    monkeypatch.setattr(decontaminate, "SLICE", 7)
+    rnd = random.Random(4)
+    texts = [" ".join(prose(rnd, n)) for n in (1, 15, 16, 17, 32, 33, 400)] + ["x " * 50, "", None, "a b a"]
+    hashed = decontaminate.numbered(documents(list(enumerate(texts))))
+    gen = np.random.default_rng(1)
+    idf, space = gen.random(decontaminate.BUCKETS) + 0.1, gen.standard_normal((decontaminate.BUCKETS, 5))
+    want = np.zeros_like(space)
+    for text in texts:
+        b = decontaminate.buckets(decontaminate.numbers(decontaminate.words(text), {}))
+        for at in range(0, len(b), 16):
+            own, tf = np.unique(b[at : at + 32], return_counts=True)
+            a = tf * idf[own]
+            a /= np.linalg.norm(a)
+            want[own] += np.outer(a, a @ space[own])
+    assert np.allclose(decontaminate.passages_times(hashed, space, idf), want, atol=1e-4)
+    # a text that a sample could miss shapes the space
+    item = [decontaminate.buckets(decontaminate.numbers(decontaminate.words("one two three four"), {}))]
+    basis = decontaminate.fit_space(hashed, 100, item, idf)
+    assert basis.shape[0] == decontaminate.BUCKETS and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-6)
