@@ -142,3 +142,30 @@ def test_guards_give_no_verdict(documents):
     got = quality.judge(documents([(1, "$ " * 60, "xx"), (2, "a " * 10, "en")])).collect()
     assert all(r["class_distance"] is None and r["word_distance"] is None for r in got)
     assert quality.judge(documents([])).count() == 0
+
+
+def test_word_distances_of_many_languages_like_the_dense_ones():
+    rnd = np.random.default_rng(5)
+    counts = rnd.integers(0, 5, (30, 12)).astype(float)
+    counts[:, 0] += 1
+    models = rnd.random((40, 12)) * (rnd.random((40, 12)) < 0.4)
+    models[3] = 0
+    refs = [quality.Reference(np.zeros(9), np.flatnonzero(m), m[m > 0], 11) for m in models]
+    got = quality.WordReferences(refs, 11).distances(counts)
+    assert np.allclose(got, quality.distances(counts, models), atol=1e-7)
+
+
+def test_every_language_gets_a_reference(spark):
+    """Seventy languages of as many documents; the junk of each one is told."""
+    rows = []
+    for k in range(70):
+        own = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in "abcdefghijklmnop"]
+        rnd = np.random.default_rng(k)
+        rows += [(100 * k + i, " ".join(rnd.choice(own, 80)), f"lang{k:02}") for i in range(24)]
+        rows.append((100 * k + 99, " ".join(rnd.choice(list("#$%&"), 300)), f"lang{k:02}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert len(quality.languages(docs)) == 70
+    assert all(r["class_distance"] is not None for r in got.values())
+    assert all(r["word_distance"] is not None for i, r in got.items() if i % 100 != 99)
+    assert all(got[100 * k + 99]["class_distance"] > 0.5 for k in range(70))
