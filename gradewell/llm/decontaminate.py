@@ -32,6 +32,7 @@ RANK, EXTRA = 64, 16  # dimensions of the latent space; more while it is sought
 SEED = 7
 FIT_TASKS = 2  # for each core, when the space is fitted
 SLICE = 512  # passages multiplied at once
+RARE = 4  # occurrences of a word in a slice
 SLABS = 64  # parts of the product that are added on their own
 LEAST_COSINE = 0.36  # of a passage and an item, times the share of the item that the space holds
 LEAST_SHARE = 0.4  # an item of which the space holds less is looked up by its words
@@ -155,17 +156,46 @@ def in_strides(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat, first, np.repeat(np.arange(len(each)), strides)
 
 
-def squares(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Squared length of the TF-IDF vector of each row of buckets: a word's n
-    occurrences count 1 + 3 + ... + (2 n - 1)."""
+def stride_sums(strides: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows of each stride's words."""
+    sums = table.take(strides[:, 0], axis=0)
+    for k in range(1, STRIDE):
+        sums += table.take(strides[:, k], axis=0)
+    return sums
+
+
+def repeats(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the words that a row of buckets repeats add to its squared length:
+    a word's n occurrences count n * n, so each pair of them counts twice."""
     rows = np.sort(rows, axis=1)
-    times = np.ones(rows.shape, np.float32)
+    out = np.zeros(len(rows))
     for back in range(1, rows.shape[1]):
-        same = (rows[:, back:] == rows[:, :-back]) & (rows[:, back:] < BUCKETS)
-        if not same.any():
+        row, at = np.nonzero((rows[:, back:] == rows[:, :-back]) & (rows[:, back:] < BUCKETS))
+        if not len(row):
             break
-        times[:, back:] += 2 * same
-    return (times * weights[rows]).sum(1)
+        out += 2 * np.bincount(row, weights[rows[row, at]], len(rows))
+    return out
+
+
+def add_rows(words: np.ndarray, given: np.ndarray, total: np.ndarray) -> None:
+    """Add the row of each stride to the rows of its words. Rarer words are
+    added by their first, second ... occurrence, frequent ones by a matrix of
+    their counts."""
+    order = np.argsort(words.reshape(-1), kind="stable")
+    words = words.reshape(-1)[order]
+    row = order // STRIDE
+    starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+    many = np.diff(np.append(starts, len(words)))
+    rare = starts[many <= RARE]
+    for place in range(RARE):
+        at = rare[many[many <= RARE] > place] + place
+        total[words[at]] += given[row[at]]
+    often = np.flatnonzero(many > RARE)
+    n = many[often]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[often], n)
+    cell = np.repeat(np.arange(len(often)), n) * len(given) + row[at]
+    counts = np.bincount(cell, minlength=len(often) * len(given)).reshape(len(often), -1)
+    total[words[starts[often]]] += counts.astype(np.float32) @ given
 
 
 def add_products(each: list[np.ndarray], table: np.ndarray, weights: np.ndarray, total: np.ndarray) -> None:
@@ -173,24 +203,23 @@ def add_products(each: list[np.ndarray], table: np.ndarray, weights: np.ndarray,
     word of each passage, the passage's projection by ``table`` over its
     squared length. The last row of all three is no word."""
     flat, _, text = in_strides(each)
+    flat = flat.astype(np.int16)
     whole = np.append(text[1:] == text[:-1], False)[: len(text)]  # the passage has a second stride
     for at in range(0, len(flat), SLICE):
         two = whole[at : at + SLICE, None]
         n = len(two)
         own = flat[at : at + n + 1]
         if len(own) == n:
-            own = np.concatenate([own, np.full((1, STRIDE), BUCKETS)])
-        sums = table[own].sum(1)
-        square = squares(np.concatenate([own[:-1], np.where(two, own[1:], BUCKETS)], axis=1), weights)
-        passage = (sums[:-1] + two * sums[1:]) / np.maximum(square, 1e-9)[:, None]
+            own = np.concatenate([own, np.full((1, STRIDE), BUCKETS, np.int16)])
+        sums = stride_sums(own, table)
+        square = weights[own].sum(1)
+        square = square[:-1] + two[:, 0] * square[1:]
+        square = square + repeats(np.concatenate([own[:-1], np.where(two, own[1:], np.int16(BUCKETS))], axis=1), weights)
+        passage = (sums[:-1] + two * sums[1:]) / np.maximum(square, 1e-9).astype(np.float32)[:, None]
         given = np.zeros_like(sums)
         given[:-1] = passage
         given[1:] += two * passage
-        words = own.reshape(-1)
-        order = np.argsort(words, kind="stable")
-        words = words[order]
-        heads = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        total[words[heads]] += np.add.reduceat(given[order // STRIDE], heads)
+        add_rows(own, given, total)
 
 
 def passages_times(hashed: DataFrame, space: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -207,10 +236,12 @@ def passages_times(hashed: DataFrame, space: np.ndarray, idf: np.ndarray) -> np.
         table = np.zeros((BUCKETS + 1, width), np.float32)
         table[:-1] = space * idf[:, None]
         weights = np.append(idf**2, np.float32(0))
-        total = np.zeros((BUCKETS + 1, width))
+        total, part = np.zeros((BUCKETS + 1, width)), np.zeros((BUCKETS + 1, width), np.float32)
         for batch in batches:
             texts = [buckets(np.frombuffer(x.as_buffer(), "<u4")) for x in batch.column("words")]
-            add_products([x for x in texts if len(x)], table, weights, total)
+            part[:] = 0
+            add_products([x for x in texts if len(x)], table, weights, part)
+            total += part
         total = (total[:-1] * idf[:, None]).astype(np.float32).reshape(SLABS, -1)
         full = np.flatnonzero(total.any(1))
         columns = [
@@ -419,7 +450,7 @@ class Search:
         flat, first, text = in_strides(each)
         sums = np.empty((len(flat), self.table.shape[1]), np.float32)
         for at in range(0, len(flat), 512):
-            self.table[flat[at : at + 512]].sum(1, out=sums[at : at + 512])
+            sums[at : at + 512] = stride_sums(flat[at : at + 512], self.table)
         # a passage is a stride and the next one of the same text
         joined = text[1:] == text[:-1]
         sums[:-1][joined] += sums[1:][joined]
