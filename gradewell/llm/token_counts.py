@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.byte_tokens import Encoder, read_spec
+from gradewell.llm.byte_tokens import encoded, read_spec, shared_encoder
 from gradewell.llm.common import small_batches, stored
 from gradewell.llm.token_store import in_order
 
@@ -75,13 +75,11 @@ def write_flat(
     text = read_spec(tokenizer_path)
     check_width(text, end_id, kind)
     small_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(text)
+    spec = docs.sparkSession.sparkContext.broadcast({"spec": text})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = None, 0
-        for batch in batches:
-            encoder = encoder or Encoder(spec.value, special=False)
-            each = encoder.encode(batch.column("text").to_pylist())
+        encoder, place = shared_encoder(spec, special=False), 0
+        for batch, each in encoded(encoder, batches):
             raw = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in each]
             ids = batch.column("doc_id").to_pylist()
             raw += [f"{place + k} {'' if i is None else i}".encode() for k, i in enumerate(ids)]

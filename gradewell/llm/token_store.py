@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.byte_tokens import Encoder, read_spec
+from gradewell.llm.byte_tokens import encoded, read_spec, shared_encoder
 from gradewell.llm.common import small_batches
 
 ORC_OPTIONS = {
@@ -39,16 +39,16 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     ``part_start`` counts the ids before the document in its partition.
     """
     small_batches(docs.sparkSession)
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    spec = docs.sparkSession.sparkContext.broadcast({"spec": read_spec(tokenizer_path)})
     names = ["part", "doc_id", "part_start", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encoder, end = TaskContext.get().partitionId(), 0, None, np.uint32(end_id).tobytes()
-        for batch in batches:
-            encoder = encoder or Encoder(spec.value)
-            raw = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+        part, at, end = TaskContext.get().partitionId(), 0, np.uint32(end_id).tobytes()
+        encoder = shared_encoder(spec)
+        for batch, raw in encoded(encoder, batches):
+            raw = [x + end for x in raw]
             sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
             offsets = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(

@@ -210,3 +210,37 @@ def test_ids_that_do_not_fit_and_a_known_end_id_are_refused(documents):
             token_counts.check_width(spec(0, 0xC580), known, ">u2")
     with pytest.raises(ValueError, match="in the vocabulary"):
         token_counts.write_flat(documents([(1, "a")]), f"{tempfile.mkdtemp()}/flat", BYTE_BPE, end_id=2)
+
+
+def test_encoder_takes_known_chunks_over_from_a_full_memo(monkeypatch):
+    monkeypatch.setattr("gradewell.llm.byte_tokens.CACHED", 12)
+    encoder = Encoder(read_spec(BYTE_BPE))
+    seen, ids = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: seen.extend(texts) or ids(texts))
+    texts = ["a often words", "b often new1 new2 new3 new4", "c often new5 new6 new7 new8", "d often, \n x", "e often new9"]
+    want = [library(True).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in texts] == want
+    assert sum("often" in t.split(" ") for t in seen) == 1
+    assert len(encoder.known) <= 12 + 5 and len(encoder.before) <= 12 + 5
+
+
+def test_tasks_share_the_encoder_of_a_process(spark):
+    """The encoder stays in the broadcast's value from task to task."""
+    from gradewell.llm.byte_tokens import shared_encoder
+
+    spec = spark.sparkContext.broadcast({"spec": read_spec(BYTE_BPE)})
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        had = True in spec.value
+        shared_encoder(spec)
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([had]), pa.array([n])], ["pid", "had", "n"])
+
+    rows = spark.range(0, 64, 1, 32).mapInArrow(run, "pid long, had boolean, n long").collect()
+    assert sum(r["n"] for r in rows) == 64
+    # one construction a process at most, whatever the number of tasks
+    assert sum(not r["had"] for r in rows) == len({r["pid"] for r in rows})
