@@ -74,8 +74,15 @@ def _ci_literal(literal: str) -> str:
 
 
 def extract_tagged(c: Column | str, start: str, end: str) -> Column:
-    """First ``start(.*?)end``, dot matches newline, case-insensitive, stripped."""
-    pattern = "(?is)" + _ci_literal(start) + "(.*?)" + _ci_literal(end)
+    """First ``start(.*?)end``, dot matches newline, case-insensitive, stripped.
+
+    The text between is written as runs without the end's first character, which
+    Java's matcher passes faster than it tries ``end`` at every place.
+    """
+    first, rest = _ci_literal(end[0]), _ci_literal(end[1:])
+    run = "[^" + first.strip("[]") + "]*+" if first[0] == "[" else f"[^{first}]*+"
+    between = f"({run}(?:{first}(?!{rest}){run})*+)"
+    pattern = "(?is)" + _ci_literal(start) + between + first + rest
     return py_strip(F.regexp_extract(F.coalesce(_col(c), F.lit("")), pattern, 1))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from os.path import commonprefix
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -27,6 +28,7 @@ from ..functions.numeric import (
 from ..functions.chat import completion_text
 from ..functions.text import (
     PY_SPACE,
+    _quote,
     extract_number,
     extract_tagged,
     is_truthy_string,
@@ -138,21 +140,27 @@ def _overlap_free(tags: list[str]) -> bool:
     return True
 
 
+def _any_tag(tags: list[str]) -> str:
+    """Pattern of any of the tags; what all begin with is written once, so most places fail at its first character."""
+    head = commonprefix(tags)
+    return _quote(head) + "(?:" + "|".join(_quote(t[len(head) :]) for t in tags) + ")"
+
+
 def format_gate(c: str, tag_pairs=K.TAG_PAIRS) -> Column:
     """O-31: 1.0 when each of the six tags occurs exactly once (case-sensitive).
 
-    A text holds a tag once when it has it and nothing is cut off at its second
-    occurrence. Tags that could overlap fall back to counting by replacement.
+    One scan finds the tags of a text; sorted, they must be the list of tags.
+    Tags that could overlap fall back to counting each by replacement.
     """
     tags = [t for pair in tag_pairs for t in pair]
+    if _overlap_free(tags):
+        found = F.sort_array(F.regexp_extract_all(F.coalesce(F.col(_q(c)), F.lit("")), F.lit(_any_tag(tags)), F.lit(0)))
+        return F.when(found == F.array(*[F.lit(t) for t in sorted(set(tags))]), F.lit(1.0)).otherwise(F.lit(0.0))
     txt = f"coalesce({_q(c)}, '')"
     guard = " AND ".join(_has(txt, t) for t in tags)
-    if _overlap_free(tags):
-        exact = " AND ".join(f"octet_length(substring_index({txt}, {_lit(t)}, 2)) = octet_length({txt})" for t in tags)
-    else:
-        exact = " AND ".join(
-            f"octet_length({txt}) - octet_length(replace({txt}, {_lit(t)}, '')) = {len(t.encode('utf-8'))}" for t in tags
-        )
+    exact = " AND ".join(
+        f"octet_length({txt}) - octet_length(replace({txt}, {_lit(t)}, '')) = {len(t.encode('utf-8'))}" for t in tags
+    )
     return F.expr(f"CASE WHEN {guard} AND {exact} THEN 1.0D ELSE 0.0D END")
 
 

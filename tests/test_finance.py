@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gradewell import constants as K
 from gradewell.functions.numeric import parse_python_float, softmax
+from gradewell.functions.text import extract_tagged
 from gradewell.operators import rewards
 from gradewell.plans import fixtures as X
 
@@ -187,3 +188,29 @@ def test_gate_counts_tags_of_other_alphabets_and_repeats(spark):
     rows = [(once, 1.0), (once + "<SENTIMENT>", 0.0), (once + once, 0.0), (None, 0.0), ("", 0.0), (once + "<SENTIMENT", 1.0)]
     got = spark.createDataFrame(rows, "c string, want double").select("want", rewards.format_gate("c").alias("gate")).collect()
     assert [r.gate for r in got] == [r.want for r in got]
+
+
+def test_gate_and_tags_on_odd_texts(spark):
+    """The gate scans a text once; what is between two tags may hold anything."""
+    tags = [t for pair in K.TAG_PAIRS for t in pair]
+    whole = "".join(tags)
+    rows = [
+        (whole, 1.0, ""),
+        ("<" + "<".join(reversed(tags)) + "<", 1.0, ""),
+        (whole.lower(), 0.0, ""),
+        (whole + tags[0], 0.0, ""),
+        (whole.replace(tags[1], ""), 0.0, ""),
+        (None, 0.0, ""),
+        ("", 0.0, ""),
+        ("<REASONING> a<b </reasonin> <</REAſONıNG> c</REASONING>", 0.0, "a<b </reasonin> <"),
+        ("</REASONING><reasoning>x\n <REASONING>y</REASONING>", 0.0, "x\n <REASONING>y"),
+        ("<REASONING>" * 3 + "no end <", 0.0, ""),
+    ]
+    df = spark.createDataFrame(rows, "c string, gate double, reasoning string")
+    gate = rewards.format_gate("c")
+    for r in rewards.extract_components(df.withColumn("got", gate).withColumnRenamed("reasoning", "want"), "c").collect():
+        assert (r.got, r.reasoning) == (r.gate, r.want), r.c
+    assert str(gate).count("coalesce") == 1
+    same = [("[", "i"), ("I", "]")]
+    text = spark.createDataFrame([("x[abı I] ]",)], "c string")
+    assert [text.select(extract_tagged("c", a, b)).first()[0] for a, b in same] == ["ab", "I"]
