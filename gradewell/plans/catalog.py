@@ -24,6 +24,7 @@ from ..streaming import quarantine, streams, tracking
 from . import fixtures as X
 
 GEN_KEY = X.GEN_KEY
+ROWS_PER_FILE = 100_000
 
 
 # ------------------------------------------------------------- verifiable reward
@@ -611,9 +612,10 @@ def q_track_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     over several micro-batches; nothing is late under this watermark."""
     rows = X.timed_completions(spark, sf_dir)
     source, sink, state = (shared_path(spark, f"track-{x}") for x in ("source", "sink", "state"))
-    # every task writes its own rows; four files at least, half of all files a batch
-    most = -(-X.table(spark, sf_dir, "lineitem").count() // 4)
-    rows.write.option("maxRecordsPerFile", max(most, 1)).json(source)
+    # every task writes its own rows, compressed, as plain JSON takes most of the job's disk; one task reads a
+    # gzip file, so files stay short; four files at least, half of all files a batch
+    most = min(-(-X.table(spark, sf_dir, "lineitem").count() // 4), ROWS_PER_FILE)
+    rows.write.option("maxRecordsPerFile", max(most, 1)).json(source, compression="gzip")
     files = len(spark.read.text(source).inputFiles())
     arriving = readers.stream_examples(spark, source, rows.schema, files_per_batch=max(1, -(-files // 2)))
     probs = rewards.teacher_probabilities(X.teacher_table(spark, sf_dir), "prompt_id")
